@@ -34,20 +34,26 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str, columns: Mapping[st
 
 
 def read_named_csvs(spark: SparkSession, pattern: str, name_pattern: str, key: str, columns: Mapping[str, str], *,
-                    prefix: str | None = None, prefix_length: int = 2) -> DataFrame:
+                    anchor: str, prefix: str | None = None, prefix_length: int = 2) -> DataFrame:
     """Many CSVs whose key is part of the file name; columns a file lacks come out null.
 
     ``name_pattern`` is a regular expression with one group, ``prefix`` names a column for the
-    leading characters of the key.
+    leading characters of the key. ``anchor`` is a column every file has: the files are grouped by
+    their header line, found by that name, so that each group is read by its own column order.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(pattern)
-    code = F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)
-    picked = [code.alias(key)]
-    if prefix:
-        picked.append(F.substring(code, 1, prefix_length).alias(prefix))
-    for name, kind in columns.items():
-        picked.append((F.col(f"`{name}`").try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name))
-    return clean_nan(raw.select(*picked))
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
+    variants = lines.where(F.array_contains(F.split("value", ","), anchor)).groupBy("value").agg(F.collect_set("path").alias("paths"))
+    frames = []
+    for header in variants.collect():  # one row per distinct header line
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(header["paths"])
+        code = F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)
+        picked = [code.alias(key)] + ([F.substring(code, 1, prefix_length).alias(prefix)] if prefix else [])
+        for name, kind in columns.items():
+            picked.append((F.col(f"`{name}`").try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name))
+        frames.append(raw.select(*picked))
+    if not frames:
+        raise FileNotFoundError(f"no file with a column {anchor} at {pattern}")
+    return clean_nan(union_frames(frames))
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
