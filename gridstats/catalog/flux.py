@@ -117,12 +117,12 @@ def _(t):
 
 
 @query("two_level_error", "A10 P32 U1", """
-with s as (select n_regionkey as r, n_nationkey as n, (l_tax + l_discount) * l_extendedprice / 2 as sigma
+with s as (select n_regionkey as r, n_nationkey as n, (l_tax + l_discount) * l_extendedprice / 2e6 as sigma
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 b as (select r, n, sum(sigma) as s from s group by r, n)
-select r as n_regionkey, round(sqrt(sum(s * s)), 4) as sigma_block, round(sum(s), 4) as sigma_linear from b group by r""", digits=4)
+select r as n_regionkey, round(sqrt(sum(s * s)), 6) as sigma_block, round(sum(s), 6) as sigma_linear from b group by r""")
 def _(t):
-    price = F.col("l_extendedprice")
+    price = F.col("l_extendedprice") / 1e6
     rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
         t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.withColumn("sigma", half_width(price * (1 - F.col("l_discount")), price * (1 + F.col("l_tax"))))
