@@ -57,9 +57,9 @@ def _(t):
 
 
 @query("static_attributes_by_month", "J5 P31", """
-select l_suppkey, year(l_shipdate)::int as year, month(l_shipdate)::int as month, round(avg(l_quantity), 6) as quantity,
-  round(any_value(s_acctbal) * (1 + month(l_shipdate) / 100.0), 6) as attribute
-from lineitem join supplier on s_suppkey = l_suppkey group by all""")
+with g as (select l_suppkey, year(l_shipdate)::int as year, month(l_shipdate)::int as month, avg(l_quantity) as quantity from lineitem group by all)
+select l_suppkey, year, month, round(quantity, 6) as quantity, round(s_acctbal * (1 + month / 100.0::double), 6) as attribute
+from g join supplier on s_suppkey = l_suppkey""")
 def _(t):
     from gridstats.operators.features import months_to_rows
     wide = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), *[

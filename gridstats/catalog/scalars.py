@@ -218,11 +218,11 @@ def _(t):
 
 @query("interval_rescale", "P26", """
 with v as (select *, ((l_extendedprice + l_extendedprice * l_tax) - (l_extendedprice - l_extendedprice * l_discount)) / 2 * (1.645::double / 1.960::double) as half from lineitem)
-select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice - half, 4) as low, round(l_extendedprice + half, 4) as high from v""", digits=4)
+select l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - half) / 7, 6) as low, round((l_extendedprice + half) / 7, 6) as high from v""")
 def _(t):
     p = F.col("l_extendedprice")
     low, high = rescale_interval(p, p - p * F.col("l_discount"), p + p * F.col("l_tax"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", low.alias("low"), high.alias("high"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (low / 7).alias("low"), (high / 7).alias("high"))
 
 
 @query("month_column_selection", "P31", """
