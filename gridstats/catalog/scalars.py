@@ -217,12 +217,13 @@ def _(t):
 
 
 @query("interval_rescale", "P26", """
-with v as (select *, ((l_extendedprice + l_extendedprice * l_tax) - (l_extendedprice - l_extendedprice * l_discount)) / 2 * (1.645::double / 1.960::double) as half from lineitem)
-select l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - half) / 7, 6) as low, round((l_extendedprice + half) / 7, 6) as high from v""")
+with v as (select l_suppkey, avg(l_extendedprice) as p, avg(l_extendedprice * (1 - l_discount)) as lo, avg(l_extendedprice * (1 + l_tax)) as hi from lineitem group by l_suppkey)
+select l_suppkey, round((p - (hi - lo) / 2 * (1.645 / 1.960)) / 7.3e3, 6) as low, round((p + (hi - lo) / 2 * (1.645 / 1.960)) / 7.3e3, 6) as high from v""")
 def _(t):
     p = F.col("l_extendedprice")
-    low, high = rescale_interval(p, p - p * F.col("l_discount"), p + p * F.col("l_tax"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (low / 7).alias("low"), (high / 7).alias("high"))
+    v = t.lineitem.groupBy("l_suppkey").agg(F.avg(p).alias("p"), F.avg(p * (1 - F.col("l_discount"))).alias("lo"), F.avg(p * (1 + F.col("l_tax"))).alias("hi"))
+    low, high = rescale_interval("p", "lo", "hi")
+    return v.select("l_suppkey", (low / 7.3e3).alias("low"), (high / 7.3e3).alias("high"))
 
 
 @query("month_column_selection", "P31", """

@@ -12,3 +12,15 @@ def attach_scalars(df: DataFrame, one_row: DataFrame, name: str = "scalars") ->
     ``one_row`` must be a global aggregate: exactly one row whatever the input holds.
     """
     return df.select("*", one_row.select(F.struct("*")).scalar().alias(name))
+
+
+def literal_row(one_row: DataFrame) -> dict:
+    """Evaluate a global aggregate once, as literal columns by name (a fit step)."""
+    row = one_row.first()
+
+    def literal(value, kind):
+        if isinstance(value, (list, tuple)):
+            return F.array(*[F.lit(v) for v in value])
+        return F.lit(value).cast(kind)
+
+    return {f.name: literal(row[f.name], f.dataType) for f in one_row.schema.fields}

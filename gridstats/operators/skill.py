@@ -10,6 +10,7 @@ from gridstats.functions.columns import clip
 from gridstats.operators.quantiles import exact_quantiles, melt, weighted_median
 from gridstats.operators.ranking import empirical_cdf
 from gridstats.operators.scalars import attach_scalars
+from gridstats.session import cut_lineage
 
 METRICS = ("r2", "rmse", "mae", "mape", "smpe", "rmsle", "relative_error", "mean_bias", "abs_norm_bias",
            "pbias", "log_bias", "nse", "kge", "rrmse")
@@ -71,8 +72,11 @@ def group_counts(df: DataFrame, group: str, min_n: int) -> DataFrame:
 
 
 def aggregate_over_groups(per_group: DataFrame, metrics: Sequence[str] = METRICS, weight: str = "n_samples") -> DataFrame:
-    """Mean, median, spread and size-weighted mean and median of each metric over groups."""
-    long = melt(per_group, [weight], metrics, name="metric").where(F.col("value").isNotNull())
+    """Mean, median, spread and size-weighted mean and median of each metric over groups.
+
+    The per-group rows are materialised once: the medians below look at them several times.
+    """
+    long = melt(cut_lineage(per_group), [weight], metrics, name="metric").where(F.col("value").isNotNull())
     plain = long.groupBy("metric").agg(
         F.avg("value").alias("unweighted_mean"), F.stddev_pop("value").alias("unweighted_std"),
         F.try_divide(F.sum(F.col("value") * F.col(weight)), F.sum(weight)).alias("weighted_mean"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridstats.functions.binning import edge_bin, hex_cell, width_bin
 from gridstats.functions.columns import safe_log10
 from gridstats.operators.quantiles import (_same, exact_median, exact_quantiles, feature_quantiles, melt)
-from gridstats.operators.scalars import attach_scalars
+from gridstats.operators.scalars import attach_scalars, literal_row
 
 
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,17 +81,21 @@ def quantile_edges(df: DataFrame, value: str, q: int) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, value: str, q: int, name: str = "bin") -> DataFrame:
-    """0-based right-closed quantile bin; repeated edges merge, ties share a bin."""
-    marked = attach_scalars(df, quantile_edges(df, value, q), "__edges")
-    return marked.withColumn(name, edge_bin(value, "__edges.edges")).drop("__edges")
+    """0-based right-closed quantile bin; repeated edges merge, ties share a bin.
+
+    A fit step: the q + 1 edges are evaluated once and enter the plan as literals.
+    """
+    edges = literal_row(quantile_edges(df, value, q))["edges"]
+    return df.withColumn(name, edge_bin(value, edges))
 
 
 def running_median(df: DataFrame, x: str, y: str, q: int = 20) -> DataFrame:
     """Median x and median y in each quantile bin of x."""
     binned = quantile_bins(df.where(F.col(x).isNotNull()), x, q)
-    mx = exact_median(binned, ["bin"], x, "median_x").withColumnRenamed("n", "n_x")
-    my = exact_median(binned, ["bin"], y, "median_y").drop("n")
-    return mx.join(my, "bin", "left")
+    both = binned.select("bin", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    medians = exact_median(melt(both, ["bin"], ["x", "y"]), ["bin", "feature"], "value")
+    picked = {f"{stat}_{f}": F.max(F.when(F.col("feature") == f, F.col(stat))) for f in ("x", "y") for stat in ("median", "n")}
+    return medians.groupBy("bin").agg(*[e.alias(n) for n, e in picked.items() if n != "n_y"])
 
 
 def binned_profile(df: DataFrame, by: str, features: Sequence[str], q: int = 8) -> DataFrame:
