@@ -32,7 +32,7 @@ b as (select o, k.i as i, sum(flux) as flux, sum(area) as area, sum(len) as len,
 m as (select o, median(ex) filter (river) as mr, median(ex) filter (not river) as ml from k group by o)
 select b.o as "outer", round(sum(flux) / 1e9, 6) as flux_g, round(sum(area) / 1e9, 6) as area_m2, round(sum(len) / 1e3, 6) as length_km, sum(n)::bigint as n_reaches, sum(nf)::bigint as n_filtered_out,
   sum(nr)::bigint as n_rivers, sum(nl)::bigint as n_lakes, count(*) as n_inner, round(sum(mrate * n) / sum(n), 6) as mean_rate, round(sum(mppm * n) / sum(n), 6) as mean_ppm, round(sum(mw * n) / sum(n), 6) as mean_width_m,
-  round(sum(mq * n) / sum(n), 6) as mean_discharge, round(any_value(mr), 8) as exchange_river, round(any_value(ml), 8) as exchange_lake, round(sum(flux) * 1e-12, 6) as flux_tg, round(sum(area) / 1e6 / 1e3, 6) as area_km2,
+  round(sum(mq * n) / sum(n), 6) as mean_discharge, round(any_value(mr), 6) as exchange_river, round(any_value(ml), 6) as exchange_lake, round(sum(flux) * 1e-12, 6) as flux_tg, round(sum(area) / 1e6 / 1e3, 6) as area_km2,
   round(sum(rf) / sum(flux) * 100, 6) as river_share_pct from b join m using (o) group by b.o""")
 def _(t):
     out = k.reach_efflux(reaches(t)).drop("river_flux_g", "lake_flux_g", "river_area_m2", "lake_area_m2")

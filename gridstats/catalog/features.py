@@ -1 +1,124 @@
+"""Feature preparation and leakage-safe splits."""
 
+from pyspark.sql import functions as F
+
+from gridstats.catalog import query
+from gridstats.operators import features as f
+from gridstats.operators import splits
+
+
+def gaps(t):
+    """Event values with gaps: errors carry none, purchases only large ones."""
+    kind = F.col("event_type")
+    value = F.when((kind != "error") & ((kind != "purchase") | (F.col("value") > 5)), F.col("value"))
+    return t.events.select("event_id", "user_id", "event_type", value.alias("value"),
+                           F.when(kind != "view", F.get_json_object("props", "$.k").cast("double")).alias("k"))
+
+
+SQL_GAPS = """
+with v as (select event_id, user_id, event_type, case when event_type <> 'error' and (event_type <> 'purchase' or value > 5) then value end as value,
+  case when event_type <> 'view' then json_extract_string(props, '$.k')::double end as k from events)"""
+
+
+def sql_skew(x: str, where: str = "") -> str:
+    return f"(avg({x} ** 3) - 3 * avg({x}) * avg({x} ** 2) + 2 * avg({x}) ** 3) / nullif((avg({x} ** 2) - avg({x}) ** 2), 0) ** 1.5"
+
+
+SQL_FILLS = SQL_GAPS + f"""
+, s as (select case when abs({sql_skew('value')}) > 1 then median(value) else avg(value) end as fv, case when abs({sql_skew('k')}) > 1 then median(k) else avg(k) end as fk from v)"""
+
+
+@query("imputation", "M6 P23", SQL_FILLS + """
+select event_id, round(coalesce(value, fv), 6) as value, round(coalesce(k, fk), 6) as k from v cross join s""")
+def _(t):
+    v = gaps(t)
+    return f.impute(v, f.fit_imputer(v, ["value", "k"]), ["value", "k"]).select("event_id", "value", "k")
+
+
+@query("share_missing", "M7 P24", SQL_GAPS + """
+select round(greatest(avg((value is null)::int), avg((k is null)::int)), 6) as worst_share, greatest(avg((value is null)::int), avg((k is null)::int)) > 0.5 as high_missing from v""")
+def _(t):
+    return f.high_missing(gaps(t), ["value", "k"])
+
+
+SQL_SCALED = """
+with v as (select event_id, value, json_extract_string(props, '$.k')::double as k, user_id::double as u from events),
+m as (select {x} as x, event_id from v), a as (select {skew} as sk, min(x) as mn from m),
+sh as (select *, case when abs(sk) > 1.5 and mn <= 0 then abs(mn) + 1 else 0 end as shift from a),
+lg as (select {lskew} as lsk from (select ln(x + shift + 1) as l from m cross join sh)),
+c as (select shift, abs(sk) > 1.5 and abs(lsk) < abs(sk) as ul from sh cross join lg),
+z as (select event_id, case when ul then ln(x + shift + 1) else x end as z from m cross join c),
+q as (select quantile_cont(z, 0.25) as q1, median(z) as q2, quantile_cont(z, 0.75) as q3, avg(z) as mu, stddev_pop(z) as sd from z),
+o as (select count(*) filter (z < q1 - 1.5 * (q3 - q1) or z > q3 + 1.5 * (q3 - q1)) / count(*) > 0.1 as rb from z cross join q)
+select event_id, round((z - case when rb then q2 else mu end) / case when rb then q3 - q1 else sd end, 6) as {name} from z cross join q cross join o"""
+
+
+def _scaling(name, source):
+    sql = SQL_SCALED.format(x=source, skew=sql_skew("x"), lskew=sql_skew("l"), name=name)
+
+    @query(f"adaptive_scaling_{name}", "M8", sql)
+    def _(t):
+        v = t.events.select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("user_id").cast("double").alias("u"))
+        v = v.select("event_id", F.expr(source).alias(name))
+        return f.scale(v, f.fit_scaler(v, [name]), [name])
+
+
+_scaling("heavy_tail", "value")
+_scaling("shifted_tail", "power(value, 2) - 50")
+_scaling("flat", "k")
+_scaling("spiky", "case when k < 80 then u / 1000 else u end")
+
+
+@query("ordinal_codes", "M9 P19", """
+with c as (select distinct c_mktsegment as s from customer where c_acctbal > 0 and c_mktsegment <> 'FURNITURE'), r as (select s, row_number() over (order by s) - 1 as code from c)
+select c_custkey, coalesce(code, -1)::int as code from customer left join r on s = c_mktsegment""")
+def _(t):
+    table = f.fit_ordinal(t.customer.where("c_acctbal > 0 and c_mktsegment <> 'FURNITURE'"), "c_mktsegment")
+    return f.apply_ordinal(t.customer, table, "c_mktsegment", "encoded").select("c_custkey", F.col("encoded").alias("code"))
+
+
+@query("target_encoding", "M10", """
+with tr as (select * from events where event_type <> 'signup'), pr as (select avg(value) as p from tr),
+e as (select event_type, avg(value) as m, count(*) as n from tr group by event_type)
+select event_id, round(coalesce(p * (1 - 1 / (1 + exp(-(n - 1990) / 25.0))) + m * (1 / (1 + exp(-(n - 1990) / 25.0))), p), 6) as encoded from events cross join pr left join e using (event_type)""")
+def _(t):
+    encoder = f.fit_target_encoder(t.events.where("event_type <> 'signup'"), "event_type", "value", min_leaf=1990)
+    return f.apply_target_encoder(t.events, encoder, "event_type", "encoded").select("event_id", "encoded")
+
+
+@query("one_hot_columns", "M11", """
+select c_custkey, (c_mktsegment = 'BUILDING')::int::double as c_mktsegment_building, (c_mktsegment = 'HOUSEHOLD')::int::double as c_mktsegment_household, (c_mktsegment = 'MACHINERY')::int::double as c_mktsegment_machinery from customer""")
+def _(t):
+    levels = f.one_hot_levels(t.customer.where("c_mktsegment <> 'FURNITURE'"), "c_mktsegment")
+    wide = f.apply_one_hot(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", levels).drop("c_mktsegment")
+    return wide.select(*[F.col(c).cast("double").alias(c.lower()) if c != "c_custkey" else F.col(c) for c in wide.columns])
+
+
+def labelled(t):
+    return t.events.select("event_id", "user_id", "value")
+
+
+@query("grouped_train_test_split", "M3 J13 SET3")
+def _(t):
+    split = splits.train_test_groups(labelled(t), "user_id", "value")
+    return split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_groups"))
+
+
+@query("strata_of_groups", "M3 P22 A1", """
+with g as (select user_id, median(value) as m from events group by user_id), e as (select list_sort(list_distinct(quantile_cont(m, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) as edges from g)
+select user_id, round(m, 6) as median_label, greatest(len(list_filter(edges, lambda x: x < m)) - 1, 0)::int as stratum from g cross join e""")
+def _(t):
+    return splits.stratified_groups(labelled(t), "user_id", "value")
+
+
+@query("calibration_group_split", "M4")
+def _(t):
+    groups = splits.stratified_groups(labelled(t), "user_id", "value")
+    drawn = splits.train_fit_calibration_groups(groups, "user_id", share=0.25, seed=2)
+    return drawn.groupBy("stratum", "is_calibration").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("group_folds", "M5")
+def _(t):
+    folds = splits.group_folds(labelled(t), "user_id", 5)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_groups"))
