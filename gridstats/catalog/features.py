@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridstats.catalog import query
 from gridstats.operators import features as f
 from gridstats.operators import splits
+from gridstats.operators.neighbours import knn_impute
 
 
 def gaps(t):
@@ -41,6 +42,26 @@ def _(t):
     return f.high_missing(gaps(t), ["value", "k"])
 
 
+SQL_KNN = """
+with v as (select event_id, case when event_type <> 'error' then value end as a, case when event_type <> 'view' then json_extract_string(props, '$.k')::double end as b, user_id::double as c from events),
+q as (select * from v where a is null or b is null),
+p as (select q.event_id as q, d.event_id as id, d.a, d.b, q.a as qa, q.b as qb, sqrt(coalesce((q.a - d.a) ** 2, 0) + coalesce((q.b - d.b) ** 2, 0) + (q.c - d.c) ** 2)
+  * sqrt(3.0::double / (1 + (q.a is not null and d.a is not null)::int + (q.b is not null and d.b is not null)::int)) as dist from q cross join v d),
+ra as (select q, a, dist, row_number() over (partition by q order by dist, id) as r from p where qa is null and a is not null),
+rb as (select q, b, dist, row_number() over (partition by q order by dist, id) as r from p where qb is null and b is not null),
+ea as (select q, case when min(dist) = 0 then avg(a) filter (dist = 0) else sum(a / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) end as a from ra where r <= 5 group by q),
+eb as (select q, case when min(dist) = 0 then avg(b) filter (dist = 0) else sum(b / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) end as b from rb where r <= 5 group by q)
+select event_id, round(coalesce(v.a, ea.a), 6) as a, round(coalesce(v.b, eb.b), 6) as b, c from v left join ea on ea.q = event_id left join eb on eb.q = event_id"""
+
+
+@query("nearest_neighbour_imputation", "M7 J12", SQL_KNN)
+def _(t):
+    kind = F.col("event_type")
+    v = t.events.select("event_id", F.when(kind != "error", F.col("value")).alias("a"),
+                        F.when(kind != "view", F.get_json_object("props", "$.k").cast("double")).alias("b"), F.col("user_id").cast("double").alias("c"))
+    return knn_impute(v, v, ["a", "b", "c"], "event_id", 5)
+
+
 SQL_SCALED = """
 with v as (select event_id, value, json_extract_string(props, '$.k')::double as k, user_id::double as u from events),
 m as (select {x} as x, event_id from v), a as (select {skew} as sk, min(x) as mn from m),
@@ -98,27 +119,37 @@ def labelled(t):
     return t.events.select("event_id", "user_id", "value")
 
 
-@query("grouped_train_test_split", "M3 J13 SET3")
+SQL_STRATA = """
+with g as (select user_id, median(value) as m from events group by user_id), e as (select list_sort(list_distinct(quantile_cont(m, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) as edges from g),
+st as (select user_id, m, greatest(len(list_filter(edges, lambda x: x < m)) - 1, 0)::int as stratum from g cross join e)"""
+
+
+@query("grouped_train_test_split", "M3 J13 SET3", SQL_STRATA + """
+, s as (select stratum, count(*) as n, ceil(count(*) * 0.2) as h from st group by stratum)
+select sum(n)::bigint as n_groups, sum(h)::bigint as n_test_groups, (select count(*) from events) as n_rows, 0::bigint as n_shared from s""")
 def _(t):
+    # Which groups are drawn depends on the hash; how many, and that none is split, does not.
     split = splits.train_test_groups(labelled(t), "user_id", "value")
-    return split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_groups"))
+    groups = split.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("is_test").cast("int")).alias("hi"), F.min(F.col("is_test").cast("int")).alias("lo"))
+    return groups.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("hi").alias("n_test_groups"), F.sum("n").alias("n_rows"), F.count_if(F.col("hi") != F.col("lo")).alias("n_shared"))
 
 
-@query("strata_of_groups", "M3 P22 A1", """
-with g as (select user_id, median(value) as m from events group by user_id), e as (select list_sort(list_distinct(quantile_cont(m, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) as edges from g)
-select user_id, round(m, 6) as median_label, greatest(len(list_filter(edges, lambda x: x < m)) - 1, 0)::int as stratum from g cross join e""")
+@query("strata_of_groups", "M3 P22 A1", SQL_STRATA + " select user_id, round(m, 6) as median_label, stratum from st")
 def _(t):
     return splits.stratified_groups(labelled(t), "user_id", "value")
 
 
-@query("calibration_group_split", "M4")
+@query("calibration_group_split", "M4", SQL_STRATA + """
+select stratum, count(*) as n_groups, ceil(count(*) * 0.25)::bigint as n_calibration from st group by stratum""")
 def _(t):
     groups = splits.stratified_groups(labelled(t), "user_id", "value")
     drawn = splits.train_fit_calibration_groups(groups, "user_id", share=0.25, seed=2)
-    return drawn.groupBy("stratum", "is_calibration").agg(F.count(F.lit(1)).alias("n_groups"))
+    return drawn.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("is_calibration").alias("n_calibration"))
 
 
-@query("group_folds", "M5")
+@query("group_folds", "M5", """
+with g as (select count(distinct user_id) as n from events), r as (select unnest(range(0, (select n from g))) % 10 as t)
+select (case when t < 5 then t else 9 - t end)::int as fold, count(*) as n_groups from r group by 1""")
 def _(t):
-    folds = splits.group_folds(labelled(t), "user_id", 5)
-    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_groups"))
+    folds = splits.group_folds(labelled(t), "user_id", 5).groupBy("fold", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"))

@@ -1,11 +1,11 @@
 """Exact k nearest neighbours in feature space, without a cross join.
 
-1. Copies of a vector collapse to one row with its multiplicity, so copies never meet each other.
+1. Copies of a vector collapse to one row with its first few ids, so copies never meet each other.
 2. Distinct vectors go to the cell of their nearest pivot; a large cell is split into blocks by hash.
-3. Every block searches itself. The distance found so far to the k-th neighbour bounds the search.
+3. A query vector first visits one block of its own cell. The k-th distance found bounds the search.
 4. The triangle inequality rules out cells too far from a vector to hold anything closer; a vector
    visits only the blocks of the remaining cells, each pair of blocks being one bounded task.
-5. Each visit returns at most k rows per vector; they are merged with a top-k aggregate.
+5. Each visit returns at most k rows per vector; they are merged with a top-k window.
 
 Nothing is approximated: a pruned cell provably holds no nearer vector.
 """
@@ -24,7 +24,7 @@ from gridstats.session import cut_lineage
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024
-FOUND = "vec array<double>, cell int, block int, best array<struct<dist:double,id:bigint>>, reach double"
+FOUND = "vec array<double>, best array<struct<dist:double,id:bigint>>"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -66,14 +66,17 @@ def _distinct_vectors(df: DataFrame, vec: Column, row_id: str | None, k: int) ->
     return first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _search(vectors: DataFrame, k: int, block_rows: int, max_pivots: int) -> DataFrame:
-    """vec -> best: the k + 1 closest (distance, id) over all rows, the vector itself included."""
-    vectors = cut_lineage(vectors)
-    n = vectors.count()
+def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, max_pivots: int) -> DataFrame:
+    """vec -> best: the ``want`` closest (distance, id) among all donors, per distinct query vector.
+
+    ``queries`` holds distinct ``vec``; ``donors`` distinct ``vec`` with their ``ids``,
+    already materialised.
+    """
+    n = donors.count()
     cells = max(1, min(max_pivots, math.ceil(n / block_rows)))
-    pivots = [r["vec"] for r in vectors.orderBy(F.xxhash64("vec"), "vec").limit(cells).select("vec").collect()]
+    # At most max_pivots vectors come to the driver, whatever the size of the data.
+    pivots = [r["vec"] for r in donors.orderBy(F.xxhash64("vec"), "vec").limit(cells).select("vec").collect()]
     pivot_matrix = np.array(pivots, dtype=np.float64).reshape(len(pivots), -1)
-    want = k + 1
 
     @F.pandas_udf("struct<cell:int,dist:double>")
     def home(column: pd.Series) -> pd.DataFrame:
@@ -81,26 +84,41 @@ def _search(vectors: DataFrame, k: int, block_rows: int, max_pivots: int) -> Dat
         at = d.argmin(axis=1)
         return pd.DataFrame({"cell": at.astype("int32"), "dist": d[np.arange(len(d)), at]})
 
-    placed = vectors.withColumn("home", home("vec")).select("vec", "ids", "home.cell", "home.dist")
+    def blocks_of(side: DataFrame, sizes: DataFrame) -> DataFrame:
+        # One row per pivot: at most max_pivots rows.
+        split = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+        return side.join(split, "cell").withColumn("block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("blocks")).cast("int"))
+
+    placed = donors.withColumn("home", home("vec")).select("vec", "ids", "home.cell", "home.dist")
     shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"), F.min("dist").alias("inner"))
-    # One row per pivot: at most max_pivots rows.
-    known = {r["cell"]: (r["n"], r["radius"], r["inner"]) for r in shape.collect()}
-    outer = np.array([known[c][1] if c in known else -1.0 for c in range(len(pivots))])
-    inner = np.array([known[c][2] if c in known else math.inf for c in range(len(pivots))])
-    split = F.broadcast(shape.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
-    placed = placed.join(split, "cell").withColumn(
-        "block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("blocks")).cast("int")).select("vec", "ids", "cell", "block")
-    placed = cut_lineage(placed)
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf["vec"])
-        best = _nearest(m, m, pdf["ids"].tolist(), want)
-        reach = [b[-1]["dist"] if len(b) == want else math.inf for b in best]
-        return pd.DataFrame({"vec": pdf["vec"], "cell": pdf["cell"], "block": pdf["block"], "best": best, "reach": reach})
-
-    local = placed.groupBy("cell", "block").applyInPandas(within, FOUND)
-    if n <= block_rows and len(pivots) == 1 and known[0][0] <= block_rows:
-        return local.select("vec", "best")
+    known = {r["cell"]: r for r in shape.collect()}
+    outer = np.array([known[c]["radius"] if c in known else -1.0 for c in range(len(pivots))])
+    inner = np.array([known[c]["inner"] if c in known else math.inf for c in range(len(pivots))])
+    targets = cut_lineage(blocks_of(placed, shape).select(
+        F.col("vec").alias("t_vec"), F.col("ids").alias("t_ids"), F.col("cell").alias("p_t_cell"), F.col("block").alias("p_t_block")))
+    blocks = F.broadcast(shape.select(F.col("cell").alias("t_cell"), F.ceil(F.col("n") / block_rows).cast("int").alias("t_blocks")))
+
+    asked = queries.withColumn("home", home("vec")).select("vec", "home.cell")
+    asked = blocks_of(asked, asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).select("vec", "cell", "block")
+    first = asked.join(blocks, F.col("cell") == F.col("t_cell")).withColumn("t_block", F.col("block") % F.col("t_blocks"))
+    group = ["cell", "block", "t_cell", "t_block"]
+
+    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"vec": [], "best": []})
+        best = _nearest(_matrix(left["vec"]), _matrix(right["t_vec"]), right["t_ids"].tolist(), want)
+        return pd.DataFrame({"vec": left["vec"], "best": best})
+
+    def visit(visits: DataFrame) -> DataFrame:
+        # Fresh column names: the two sides of the co-group must not share attributes.
+        pairs = visits.select(*[F.col(c).alias(f"p_{c}") for c in group]).distinct()
+        members = pairs.join(targets, ["p_t_cell", "p_t_block"])
+        return visits.select("vec", *group).groupBy(*group).cogroup(
+            members.groupBy(*[f"p_{c}" for c in group])).applyInPandas(across, FOUND)
+
+    local = visit(first)
+    if len(known) == 1 and next(iter(known.values()))["n"] <= block_rows:
+        return local  # a single block: every donor has been seen
     local = cut_lineage(local)
 
     @F.pandas_udf("array<int>")
@@ -111,26 +129,13 @@ def _search(vectors: DataFrame, k: int, block_rows: int, max_pivots: int) -> Dat
         open_cells = (bound <= reach.to_numpy()[:, None] + slack) & (outer >= 0)
         return pd.Series([np.flatnonzero(r).astype("int32").tolist() for r in open_cells])
 
-    visits = local.select("vec", "cell", "block", F.explode(reachable("vec", "reach")).alias("t_cell"))
-    blocks = placed.select(F.col("cell").alias("t_cell"), F.col("block").alias("t_block")).distinct()
-    visits = visits.join(blocks, "t_cell").where((F.col("t_cell") != F.col("cell")) | (F.col("t_block") != F.col("block")))
-    group = ["cell", "block", "t_cell", "t_block"]
-    # Fresh column names: the two sides of the co-group must not share attributes.
-    pairs = visits.select(*[F.col(c).alias(f"p_{c}") for c in group]).distinct()
-    members = placed.select(F.col("cell").alias("p_t_cell"), F.col("block").alias("p_t_block"), F.col("vec").alias("t_vec"),
-                            F.col("ids").alias("t_ids"))
-    targets = pairs.join(members, ["p_t_cell", "p_t_block"])
-
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"vec": [], "best": []})
-        best = _nearest(_matrix(left["vec"]), _matrix(right["t_vec"]), right["t_ids"].tolist(), want)
-        return pd.DataFrame({"vec": left["vec"], "best": best})
-
-    far = visits.groupBy(*group).cogroup(targets.groupBy(*[f"p_{c}" for c in group])).applyInPandas(
-        across, "vec array<double>, best array<struct<dist:double,id:bigint>>")
-    # Bounded merge: each visit brings at most k + 1 candidates, and the fold keeps k + 1.
-    merged = local.select("vec", "best").unionByName(far).select("vec", F.inline("best"))
+    reach = F.when(F.size("best") == want, F.element_at("best", -1)["dist"]).otherwise(float("inf"))
+    more = first.select("vec", "cell", "block", F.col("t_block").alias("seen")).join(local.select("vec", reach.alias("reach")), "vec")
+    more = more.withColumn("t_cell", F.explode(reachable("vec", "reach"))).join(blocks, "t_cell")
+    more = more.withColumn("t_block", F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)))
+    more = more.where((F.col("t_cell") != F.col("cell")) | (F.col("t_block") != F.col("seen")))
+    # Bounded merge: each visit brings at most ``want`` candidates, and the window limit keeps ``want``.
+    merged = local.unionByName(visit(more)).select("vec", F.inline("best"))
     rn = F.row_number().over(Window.partitionBy("vec").orderBy("dist", "id"))
     top = merged.withColumn("rn", rn).where(F.col("rn") <= want)
     return top.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("dist", "id"))).alias("best"))
@@ -140,7 +145,8 @@ def knn_join(df: DataFrame, row_id: str, vec: str, k: int = 5, *, block_rows: in
              max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """k nearest other rows per row: (id, rank, neighbour, distance); ties go to the smaller id."""
     v = F.col(vec).cast("array<double>")
-    found = _search(_distinct_vectors(df, v, row_id, k), k, block_rows, max_pivots)
+    vectors = cut_lineage(_distinct_vectors(df, v, row_id, k))
+    found = _search(vectors.select("vec"), vectors, k + 1, block_rows, max_pivots)
     rows = df.select(F.col(row_id).alias("id"), v.alias("vec")).join(found, "vec")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)
     return rows.select("id", F.posexplode(others).alias("rank", "b")).select(
@@ -152,7 +158,8 @@ def mean_neighbour_distance(df: DataFrame, features: list[str], k: int = 5, *, n
     """Rows without null features, with the mean distance to their k nearest other rows."""
     complete = df.dropna(subset=list(features))
     vec = F.array(*[F.col(f).cast("double") for f in features])
-    found = _search(_distinct_vectors(complete, vec, None, k), k, block_rows, max_pivots)
+    vectors = cut_lineage(_distinct_vectors(complete, vec, None, k))
+    found = _search(vectors.select("vec"), vectors, k + 1, block_rows, max_pivots)
     others = F.transform(F.slice("best", 2, k), lambda b: b["dist"])
     means = found.select("vec", (F.aggregate(others, F.lit(0.0), lambda a, d: a + d) / F.size(others)).alias(name))
     return complete.withColumn("vec", vec).join(means, "vec").drop("vec")
@@ -164,3 +171,54 @@ def isolation_filter(df: DataFrame, features: list[str], *, k: int = 5, share: f
     scored = mean_neighbour_distance(df, features, k, name="__d", block_rows=block_rows, max_pivots=max_pivots)
     limit = exact_quantiles(scored, [], "__d", {"limit": share})
     return attach_scalars(scored, limit, "__l").where(F.col("__d") <= F.col("__l.limit")).drop("__d", "__l")
+
+
+def knn_impute(train: DataFrame, df: DataFrame, features: list[str], row_id: str, k: int = 5, *,
+               block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """Fill nulls by the distance-weighted mean of the k nearest training rows that have the value.
+
+    Distances use the features both rows have, scaled up by the share of features used. Rows fall
+    into patterns of present features; for one pair of patterns the shared features are fixed, and
+    the exact search applies. The loop runs over pairs of patterns that occur, not over rows.
+    A value no training row can supply falls back to the training mean.
+    """
+    def with_pattern(frame: DataFrame) -> DataFrame:
+        bits = [F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(0) for i, f in enumerate(features)]
+        return frame.withColumn("__p", sum(bits[1:], bits[0]))
+
+    lacking = with_pattern(df).where(F.col("__p") != (1 << len(features)) - 1)
+    donors = with_pattern(train)
+    asking = [r[0] for r in lacking.select("__p").distinct().collect()]
+    giving = [r[0] for r in donors.select("__p").distinct().collect()]
+    found = None
+    for a in asking:
+        for b in giving:
+            shared = [f for i, f in enumerate(features) if a & b & (1 << i)]
+            wanted = [f for i, f in enumerate(features) if b & ~a & (1 << i)]
+            if not shared or not wanted:
+                continue
+            vec = F.array(*[F.col(f).cast("double") for f in shared])
+            rows = lacking.where(F.col("__p") == a).select(F.col(row_id).alias("q"), vec.alias("vec"))
+            given = cut_lineage(_distinct_vectors(donors.where(F.col("__p") == b), vec, row_id, k - 1))
+            best = _search(rows.select("vec").distinct(), given, k, block_rows, max_pivots)
+            best = rows.join(best, "vec").select("q", F.inline("best"))
+            scaled = best.select("q", "id", (F.col("dist") * math.sqrt(len(features) / len(shared))).alias("dist"))
+            scaled = scaled.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in wanted])))
+            found = scaled if found is None else found.unionByName(scaled)
+    means = train.agg(*[F.avg(f).alias(f) for f in features])
+    filled = df
+    if found is not None:
+        rn = F.row_number().over(Window.partitionBy("q", "feature").orderBy("dist", "id"))
+        nearest = found.withColumn("rn", rn).where(F.col("rn") <= k)
+        pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+        values = train.select(F.col(row_id).alias("id"), F.inline(F.array(*pairs)))
+        nearest = nearest.join(values, ["id", "feature"])
+        exact = F.count_if(F.col("dist") == 0) > 0
+        at_zero = F.avg(F.when(F.col("dist") == 0, F.col("value")))
+        by_distance = F.sum(F.try_divide("value", "dist")) / F.sum(F.try_divide(F.lit(1.0), "dist"))
+        values = nearest.groupBy("q", "feature").agg(F.when(exact, at_zero).otherwise(by_distance).alias("value"))
+        wide = values.groupBy("q").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"__{f}") for f in features])
+        filled = df.join(wide.withColumnRenamed("q", row_id), row_id, "left")
+    marked = attach_scalars(filled, means, "__m")
+    out = {f: F.coalesce(F.col(f).cast("double"), *([F.col(f"__{f}")] if found is not None else []), F.col(f"__m.{f}")) for f in features}
+    return marked.withColumns(out).select(*df.columns)
