@@ -1 +1,136 @@
+"""Boosted trees on the tables: the price of an order line from its other columns.
 
+Results depend on the tree learner, so these have no SQL; the tests check their properties.
+"""
+
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import functions as F
+
+from gridstats.catalog import query
+from gridstats.operators import boosting as b
+from gridstats.operators import skill, splits
+from gridstats.operators.features import interaction_terms
+from gridstats.operators.uncertainty import coverage, percent
+from gridstats.plans.scoring import model_input, score_grid, static_by_month
+from gridstats.session import cut_lineage
+from gridstats.sources.writers import load_fitted, save_fitted, write_partitions
+
+LEVELS = (0.68, 0.90, 0.95)
+CONFIG = b.BoostingConfig(trees=8, depth=4, rate=0.3)
+SMALL = b.BoostingConfig(trees=3, depth=3, rate=0.3)
+NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "size_price"]
+CATEGORICAL = {"p_type": "target", "p_brand": "ordinal"}
+
+
+def lines(t):
+    """Order lines with part attributes and log price; discounts of zero count as missing."""
+    p = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "p_type", "p_brand")
+    l = t.lineitem.select("l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_tax", "l_extendedprice",
+                          F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"))
+    rows = interaction_terms(l.join(p, F.col("l_partkey") == F.col("p_partkey")), [("size_price", "p_size", "p_retailprice", "multiply")])
+    return b.log_target(rows, "l_extendedprice")
+
+
+def split(t):
+    rows = cut_lineage(splits.train_test_groups(lines(t), "l_suppkey", "log_target"))
+    return rows.where(~F.col("is_test")), rows.where("is_test")
+
+
+def prepared(t):
+    train, test = split(t)
+    fitted = b.fit_features(train, NUMERIC, CATEGORICAL, "log_target")
+    return fitted, cut_lineage(fitted.apply(train)), fitted.apply(test)
+
+
+@query("boosted_trees_skill", "M12 M13 M3 M6 M8 M9 M10 A23")
+def _(t):
+    fitted, train, test = prepared(t)
+    model = b.fit_boosted(train, fitted.names, "log_target", CONFIG)
+    scored = b.score(model, test, fitted.names)
+    return skill.skill_metrics(scored.select("l_extendedprice", F.exp("log_prediction").alias("p")), "l_extendedprice", "p")
+
+
+@query("grouped_cross_validation", "M14 M5 A24")
+def _(t):
+    fitted, train, _ = prepared(t)
+    folds = cut_lineage(splits.group_folds(train, "l_suppkey", 3))
+    metrics, _ = b.cross_validate(folds, fitted.names, "log_target", "l_suppkey", 3, SMALL)
+    return metrics.select("fold", "r2", "rmse", "mae", "kge", "n_samples", "group_median_r2")
+
+
+@query("fold_importances", "A36 M14")
+def _(t):
+    fitted, train, _ = prepared(t)
+    folds = cut_lineage(splits.group_folds(train, "l_suppkey", 3))
+    _, imps = b.cross_validate(folds, fitted.names, "log_target", "l_suppkey", 3, SMALL)
+    return b.importance_rollup(imps)
+
+
+@query("feature_elimination", "M15")
+def _(t):
+    fitted, train, _ = prepared(t)
+    folds = cut_lineage(splits.group_folds(train, "l_suppkey", 2))
+    _, trail = b.eliminate_features(folds, fitted.numeric, "log_target", 2, SMALL, step=2, minimum=2)
+    return trail.select("n_features", "cv_mean", "cv_std", "selected")
+
+
+def calibrated(t):
+    fitted, train, test = prepared(t)
+    groups = splits.stratified_groups(train, "l_suppkey", "log_target")
+    drawn = splits.train_fit_calibration_groups(groups, "l_suppkey")
+    rows = cut_lineage(train.join(drawn.select("l_suppkey", "is_calibration"), "l_suppkey"))
+    model, radii = b.fit_with_intervals(rows.where(~F.col("is_calibration")), rows.where("is_calibration"), fitted.names, "log_target", LEVELS, CONFIG)
+    return fitted, model, radii, test
+
+
+@query("conformal_coverage", "M16 M4 P29 A43")
+def _(t):
+    fitted, model, radii, test = calibrated(t)
+    scored = cut_lineage(b.score_with_intervals(model, test, fitted.names, radii, LEVELS))
+    out = None
+    for level in LEVELS:
+        row = coverage(scored, "l_extendedprice", "predicted", f"lower_{percent(level)}", f"upper_{percent(level)}").withColumn("level", F.lit(level))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("feature_group_ablation", "M18 W8")
+def _(t):
+    train, test = split(t)
+    results = cut_lineage(b.ablate(train, test, NUMERIC, CATEGORICAL, "log_target", {"no_part": ["p_retailprice", "size_price"], "no_type": ["p_type"]}, SMALL))
+    deltas = skill.deltas_to_baseline(results, results.where("condition = 'FULL'"), "condition", ["r2", "rmsle", "kge"], ["r2", "kge"])
+    return results.select("condition", "n_features", "r2", "rmsle", "kge").join(deltas, "condition")
+
+
+@query("partitioned_scoring", "M17 J4 J5 P4 P5 P6 P29 SNK2")
+def _(t):
+    """Suppliers are cells: monthly line statistics joined to static attributes, scored, written, read back."""
+    cell = t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+    cell = cell.agg(F.avg("l_quantity").alias("l_quantity"), F.avg("l_discount").alias("l_discount"), F.avg("l_extendedprice").alias("price"))
+    place = {"latitude": F.col("l_suppkey") * 0.1, "longitude": F.lit(0.0)}
+    daily = cell.select("year", "month", "l_quantity", "price", *[v.alias(n) for n, v in place.items()])
+    other = cell.select("year", "month", "l_discount", *[v.alias(n) for n, v in place.items()])
+    static = t.supplier.select((F.col("s_suppkey") * 0.1).alias("latitude"), F.lit(0.0).alias("longitude"), *[
+        (F.col("s_acctbal") * (1 + m / 100)).alias(f"balance{m:02d}") for m in range(1, 13)])
+    rows = model_input(daily, [other], static_by_month(static, ["balance"]), {"balance": "account"}, [("load", "l_quantity", "l_discount", "multiply")])
+    rows = cut_lineage(b.log_target(rows, "price"))
+    features = ["l_quantity", "l_discount", "account", "load", "month_sin", "month_cos", "season"]
+    fitted = b.fit_features(rows, features, {}, "log_target")
+    ready = fitted.apply(rows)
+    held = F.col("year") >= 2000
+    model, radii = b.fit_with_intervals(cut_lineage(ready.where(~held)), ready.where(held), features, "log_target", LEVELS, SMALL)
+    path = t.scratch("scored")
+    write_partitions(score_grid(rows, fitted, model, radii, LEVELS, ["year", "month", "latitude", "longitude"]), path)
+    back = t.spark.read.parquet(path)
+    return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("predicted"), F.avg("lower_90").alias("lower_90"), F.avg("upper_90").alias("upper_90"))
+
+
+@query("fitted_model_round_trip", "SNK7 M13")
+def _(t):
+    fitted, train, test = prepared(t)
+    model = b.fit_boosted(train, fitted.names, "log_target", SMALL)
+    path = t.scratch("fitted")
+    save_fitted(model, {"fills": fitted.fills, "scaling": fitted.scaling}, path)
+    again, _ = load_fitted(t.spark, GBTRegressionModel, ["fills", "scaling"], path)
+    scored = b.score(again, b.score(model, test, fitted.names, "first"), fitted.names, "second")
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("first") - F.col("second"))).alias("largest_difference"))
