@@ -12,10 +12,10 @@ def parts_by_month(t):
 
 
 @query("csv_round_trip", "SRC1 SNK1 SRC5", """
-select c_custkey, c_name, c_nationkey, c_acctbal, case when c_mktsegment <> 'BUILDING' then c_acctbal / 1e3 end as gap from customer""")
+select c_custkey, c_name, c_nationkey, c_acctbal, case when c_mktsegment <> 'BUILDING' then round(c_acctbal / 7.3e3, 6) end as gap from customer""")
 def _(t):
     path = t.scratch("customer.csv")
-    gap = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") / 1e3).otherwise(F.lit(float("nan")))
+    gap = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") / 7.3e3).otherwise(F.lit(float("nan")))
     w.write_csv(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", gap.alias("gap")), path)
     return r.read_table(t.spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, gap double")
 

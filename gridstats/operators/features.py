@@ -1,7 +1,8 @@
 """Feature preparation fitted on training rows and applied anywhere.
 
-A fitted parameter set is a one-row frame (numeric features) or a table keyed by category; both
-stay distributed and are never broadcast unless their size is fixed by the number of features.
+A fitted parameter set is a one-row frame (numeric features) or a table keyed by category. One-row
+sets have a fixed size, a few numbers per feature: they are evaluated once and enter later plans as
+literals. Category tables stay distributed and are joined.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.columns import cyclic, missing_label, season_of
 from gridstats.operators.quantiles import feature_quantiles, melt, widen
-from gridstats.operators.scalars import attach_scalars
+from gridstats.operators.scalars import attach_scalars, literal_row
 
 Interaction = tuple[str, str, str | None, str]
 APPROXIMATE_MONTH_DAYS = 30.44
@@ -72,8 +73,8 @@ def fit_imputer(train: DataFrame, features: Sequence[str], skew_limit: float = 1
 
 
 def impute(df: DataFrame, fills: DataFrame, features: Sequence[str]) -> DataFrame:
-    marked = attach_scalars(df, fills, "__fill")
-    return marked.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"__fill.{f}")) for f in features}).drop("__fill")
+    fill = literal_row(fills)
+    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), fill[f]) for f in features})
 
 
 def high_missing(df: DataFrame, features: Sequence[str], limit: float = 0.5) -> DataFrame:
@@ -86,8 +87,8 @@ def high_missing(df: DataFrame, features: Sequence[str], limit: float = 0.5) ->
 # --- scaling --------------------------------------------------------------------------
 
 
-def _log(f: str, shift: str) -> Column:
-    return F.ln(F.col(f) + F.col(shift) + 1)
+def _log(f: str, shift: Column) -> Column:
+    return F.ln(F.col(f) + shift + 1)
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str], *, skew_limit: float = 1.5, outlier_share: float = 0.1,
@@ -97,46 +98,36 @@ def fit_scaler(train: DataFrame, features: Sequence[str], *, skew_limit: float =
     The logarithm is used when the skewness is large and falls by taking it. Features with many
     values beyond the whiskers are scaled by median and IQR, the others by mean and deviation.
     """
-    first = train.agg(*[F.skewness(f).alias(f"{f}__skew") for f in features], *[F.min(f).alias(f"{f}__min") for f in features])
-    first = first.select(*[F.col(f"{f}__skew") for f in features], *[
-        F.when((F.abs(f"{f}__skew") > skew_limit) & (F.col(f"{f}__min") <= 0), F.abs(f"{f}__min") + 1)
-         .otherwise(0.0).alias(f"{f}__shift") for f in features])
-    shifted = attach_scalars(train.select(*features), first, "p")
-    logs = shifted.agg(*[F.skewness(_log(f, f"p.{f}__shift")).alias(f"{f}__logskew") for f in features])
-    choice = attach_scalars(first, logs, "l").select(*[F.col(f"{f}__shift") for f in features], *[
-        F.coalesce((F.abs(f"{f}__skew") > skew_limit) & (F.abs(f"l.{f}__logskew") < F.abs(f"{f}__skew")), F.lit(False))
-         .alias(f"{f}__use_log") for f in features])
-    chosen = attach_scalars(train.select(*features), choice, "p").select(*[
-        F.when(F.col(f"p.{f}__use_log"), _log(f, f"p.{f}__shift")).otherwise(F.col(f).cast("double")).alias(f) for f in features])
-    quart = widen(feature_quantiles(chosen, features, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), features, ["q25", "q50", "q75"])
-    placed = attach_scalars(chosen, quart, "q")
+    raw = literal_row(train.agg(*[F.skewness(f).alias(f"{f}__skew") for f in features], *[F.min(f).alias(f"{f}__min") for f in features]))
+    skew = {f: F.abs(raw[f"{f}__skew"]) for f in features}
+    shift = {f: F.when((skew[f] > skew_limit) & (raw[f"{f}__min"] <= 0), F.abs(raw[f"{f}__min"]) + 1).otherwise(0.0) for f in features}
+    logs = literal_row(train.agg(*[F.skewness(_log(f, shift[f])).alias(f) for f in features]))
+    use_log = {f: F.coalesce((skew[f] > skew_limit) & (F.abs(logs[f]) < skew[f]), F.lit(False)) for f in features}
+    chosen = train.select(*[F.when(use_log[f], _log(f, shift[f])).otherwise(F.col(f).cast("double")).alias(f) for f in features])
+    q = literal_row(widen(feature_quantiles(chosen, features, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), features, ["q25", "q50", "q75"]))
 
     def beyond(f: str) -> Column:
-        iqr = F.col(f"q.{f}__q75") - F.col(f"q.{f}__q25")
-        return (F.col(f) < F.col(f"q.{f}__q25") - reach * iqr) | (F.col(f) > F.col(f"q.{f}__q75") + reach * iqr)
+        margin = reach * (q[f"{f}__q75"] - q[f"{f}__q25"])
+        return (F.col(f) < q[f"{f}__q25"] - margin) | (F.col(f) > q[f"{f}__q75"] + margin)
 
-    last = placed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(beyond(f)).alias(f"{f}__out") for f in features],
+    last = chosen.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(beyond(f)).alias(f"{f}__out") for f in features],
         *[F.avg(f).alias(f"{f}__mean") for f in features], *[F.stddev_pop(f).alias(f"{f}__std") for f in features])
-    merged = attach_scalars(attach_scalars(last, quart, "q"), choice, "c")
     out = []
     for f in features:
-        robust = F.col(f"{f}__out") / F.col("rows") > outlier_share
-        scale = F.when(robust, F.col(f"q.{f}__q75") - F.col(f"q.{f}__q25")).otherwise(F.col(f"{f}__std"))
-        out += [F.col(f"c.{f}__use_log"), F.col(f"c.{f}__shift"), robust.alias(f"{f}__robust"),
-                F.when(robust, F.col(f"q.{f}__q50")).otherwise(F.col(f"{f}__mean")).alias(f"{f}__center"),
+        robust = F.try_divide(F.col(f"{f}__out"), F.col("rows")) > outlier_share
+        scale = F.when(robust, q[f"{f}__q75"] - q[f"{f}__q25"]).otherwise(F.col(f"{f}__std"))
+        out += [use_log[f].alias(f"{f}__use_log"), shift[f].alias(f"{f}__shift"), robust.alias(f"{f}__robust"),
+                F.when(robust, q[f"{f}__q50"]).otherwise(F.col(f"{f}__mean")).alias(f"{f}__center"),
                 F.when(scale == 0, 1.0).otherwise(scale).alias(f"{f}__scale")]
-    return merged.select(*out)
+    return last.select(*out)
 
 
 def scale(df: DataFrame, params: DataFrame, features: Sequence[str]) -> DataFrame:
-    marked = attach_scalars(df, params, "__sc")
-    out = {}
-    for f in features:
-        v = F.when(F.col(f"__sc.{f}__use_log"), _log(f, f"__sc.{f}__shift")).otherwise(F.col(f).cast("double"))
-        out[f] = (v - F.col(f"__sc.{f}__center")) / F.col(f"__sc.{f}__scale")
-    return marked.withColumns(out).drop("__sc")
+    p = literal_row(params)
+    return df.withColumns({
+        f: (F.when(p[f"{f}__use_log"], _log(f, p[f"{f}__shift"])).otherwise(F.col(f).cast("double")) - p[f"{f}__center"]) / p[f"{f}__scale"]
+        for f in features})
 
 
 # --- categories -----------------------------------------------------------------------
@@ -173,10 +164,10 @@ def fit_target_encoder(train: DataFrame, column: str, label: str, *, smoothing:
 
 def apply_target_encoder(df: DataFrame, encoder: DataFrame, column: str, name: str) -> DataFrame:
     """Encoded value per row; unseen categories get the overall mean."""
-    overall = encoder.agg(F.max("prior").alias("prior"))
+    prior = literal_row(encoder.agg(F.max("prior").alias("prior")))["prior"]
     table = encoder.select(F.col(column).alias("__k"), F.col("encoded").alias(name))
     joined = df.withColumn("__k", missing_label(column)).join(table, "__k", "left").drop("__k")
-    return attach_scalars(joined, overall, "__o").withColumn(name, F.coalesce(F.col(name), F.col("__o.prior"))).drop("__o")
+    return joined.withColumn(name, F.coalesce(F.col(name), prior))
 
 
 MAX_ONE_HOT = 1000

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.operators.quantiles import exact_median, select_ranks
 from gridstats.operators.ranking import value_ranks
+from gridstats.operators.scalars import attach_scalars
 from gridstats.operators.summaries import quantile_bins
+from gridstats.session import cut_lineage
 
 
 def draw(group: str | Column, seed: int) -> Column:
@@ -16,8 +18,11 @@ def draw(group: str | Column, seed: int) -> Column:
 
 
 def stratified_groups(df: DataFrame, group: str, label: str, *, strata: int = 5) -> DataFrame:
-    """One row per group: median label and its quantile stratum."""
-    medians = exact_median(df.where(F.col(group).isNotNull()), [group], label, "median_label").drop("n")
+    """One row per group: median label and its quantile stratum.
+
+    The medians are materialised once; edges and draws read them again and again.
+    """
+    medians = cut_lineage(exact_median(df.where(F.col(group).isNotNull()), [group], label, "median_label").drop("n"))
     return quantile_bins(medians, "median_label", strata, "stratum")
 
 
@@ -34,7 +39,6 @@ def draw_groups(groups: DataFrame, group: str, share: float, seed: int, stratum:
         # At most one row per stratum, and strata are few by construction.
         joined = drawn.join(F.broadcast(cut), keys, "left")
         return joined.withColumn(name, F.coalesce(F.col("__u") <= F.col("__cut"), F.lit(False))).drop("__u", "__cut")
-    from gridstats.operators.scalars import attach_scalars
     joined = attach_scalars(drawn, cut, "__c")
     return joined.withColumn(name, F.col("__u") <= F.col("__c.__cut")).drop("__u", "__c")
 

@@ -35,7 +35,7 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str, columns: Mapping[st
 
 def read_named_csvs(spark: SparkSession, pattern: str, name_pattern: str, key: str, columns: Mapping[str, str], *,
                     anchor: str, prefix: str | None = None, prefix_length: int = 2) -> DataFrame:
-    """Many CSVs whose key is part of the file name; columns a file lacks come out null.
+    """Many CSVs whose key is part of the file or directory name; columns a file lacks come out null.
 
     ``name_pattern`` is a regular expression with one group, ``prefix`` names a column for the
     leading characters of the key. ``anchor`` is a column every file has: the files are grouped by
@@ -46,7 +46,7 @@ def read_named_csvs(spark: SparkSession, pattern: str, name_pattern: str, key: s
     frames = []
     for header in variants.collect():  # one row per distinct header line
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(header["paths"])
-        code = F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)
+        code = F.regexp_extract(F.col("_metadata.file_path"), name_pattern, 1)
         picked = [code.alias(key)] + ([F.substring(code, 1, prefix_length).alias(prefix)] if prefix else [])
         for name, kind in columns.items():
             picked.append((F.col(f"`{name}`").try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name))
