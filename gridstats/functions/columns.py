@@ -14,6 +14,11 @@ def col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by exact name, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 # --- missing values -------------------------------------------------------------------
 
 

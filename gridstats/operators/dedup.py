@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridstats.functions.columns import quoted
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key combination: the first by ``order``, ties broken by the remaining columns.
@@ -14,8 +16,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     lead = [c for c in order if c not in keys]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*lead, *rest)).alias("__row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+    best = df.groupBy(*quoted(keys)).agg(F.min(F.struct(*quoted([*lead, *rest]))).alias("__row"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
 def first_value(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:

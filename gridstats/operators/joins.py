@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridstats.functions.columns import clip
+from gridstats.functions.columns import clip, quoted
 from gridstats.operators.scalars import attach_scalars
 
 
@@ -45,7 +45,7 @@ def suffix_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def join_new_columns(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Bring over only the columns the left side does not have yet."""
     fresh = [c for c in right.columns if c not in left.columns]
-    return left.join(right.select(*keys, *fresh), list(keys), how)
+    return left.join(right.select(*keys, *quoted(fresh)), list(keys), how)
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridstats.functions.columns import quoted
 from gridstats.operators.quantiles import exact_quantiles
 from gridstats.operators.scalars import attach_scalars
 from gridstats.session import cut_lineage
@@ -221,4 +222,4 @@ def knn_impute(train: DataFrame, df: DataFrame, features: list[str], row_id: str
         filled = df.join(wide.withColumnRenamed("q", row_id), row_id, "left")
     marked = attach_scalars(filled, means, "__m")
     out = {f: F.coalesce(F.col(f).cast("double"), *([F.col(f"__{f}")] if found is not None else []), F.col(f"__m.{f}")) for f in features}
-    return marked.withColumns(out).select(*df.columns)
+    return marked.withColumns(out).select(*quoted(df.columns))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridstats.functions.columns import null_count
+from gridstats.functions.columns import null_count, quoted
 from gridstats.operators.quantiles import exact_median, exact_quantiles, feature_quantiles, melt, widen
 from gridstats.operators.scalars import attach_scalars
 
@@ -33,7 +33,7 @@ def within_group_filter(df: DataFrame, group: str, value: str, *, max_deviation:
     joined = df.join(stats, group, "left")
     near = F.coalesce(F.abs(F.col(value) - F.col("__median")) <= max_deviation, F.lit(False))
     keep = F.col("__n").isNull() | (F.col("__n") < min_n) | near
-    return joined.where(keep).select(*df.columns)
+    return joined.where(keep).select(*quoted(df.columns))
 
 
 def stratified_iqr_filter(df: DataFrame, strata: Sequence[str], value: str, *, k: float = 3.5,
@@ -52,7 +52,7 @@ def stratified_iqr_filter(df: DataFrame, strata: Sequence[str], value: str, *, k
         (F.col("__q75") + k * (F.col("__q75") - F.col("__q25"))).alias("__hi"))
     joined = df.join(limits, list(strata), "left")
     outside = F.coalesce((F.col(value) < F.col("__lo")) | (F.col(value) > F.col("__hi")), F.lit(False))
-    return joined.where(~outside).select(*df.columns)
+    return joined.where(~outside).select(*quoted(df.columns))
 
 
 def outlier_votes(df: DataFrame, features: Sequence[str], *, method: str = "iqr", threshold: float = 3.0,

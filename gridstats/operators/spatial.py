@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridstats.functions.columns import quoted
+
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
 
 
@@ -76,7 +78,7 @@ def assign_region(points: DataFrame, regions: DataFrame, *, x: str, y: str, tile
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     hit = F.filter("candidates", lambda c: c["whole"] | F.coalesce(_strictly_inside(c["edges"], px, py), F.lit(False)))
     joined = placed.join(tiles, ["__tx", "__ty"], "left")
-    return joined.withColumn(name, F.get(hit, F.lit(0))["region"]).select(*points.columns, name)
+    return joined.withColumn(name, F.get(hit, F.lit(0))["region"]).select(*quoted(points.columns), name)
 
 
 def mask_outside(points: DataFrame, regions: DataFrame, value: str, *, x: str, y: str, tile: float,

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gridstats.functions.columns import nan_to_null
+from gridstats.functions.columns import nan_to_null, quoted
 
 CLIMATE_SCHEMA = "map<string,struct<temp:array<double>,prec:array<double>>>"
 
@@ -149,7 +149,7 @@ def read_landed_samples(spark: SparkSession, stations_path: str, results_path: s
     if end is not None:
         results = results.where(F.col(date) <= F.lit(end).cast("date"))
     fresh = [c for c in stations.columns if c not in results.columns or c == station]
-    return results.join(stations.select(*fresh), station, "left")
+    return results.join(stations.select(*quoted(fresh)), station, "left")
 
 
 def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridstats.functions.columns import quoted
 from gridstats.sources.readers import read_table
 
 
@@ -20,7 +21,7 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "mon
     Rows are brought together by partition value plus a salt, so a large partition is written by
     several tasks and a small one does not scatter into many files.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
+    salt = F.pmod(F.xxhash64(*quoted(df.columns)), F.lit(files_per_partition))
     spread = df.repartition(*by, salt) if files_per_partition > 1 else df.repartition(*by)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "compression", "snappy").partitionBy(*by).parquet(path)
