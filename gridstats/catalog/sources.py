@@ -57,7 +57,7 @@ def _(t):
 select l_suppkey, count(*) as n, round(sum(l_quantity), 6) as quantity from lineitem where year(l_shipdate) = 1998 and month(l_shipdate) in (3, 4) group by l_suppkey""")
 def _(t):
     path = t.scratch("partitioned")
-    w.write_partitions(parts_by_month(t), path, files_per_partition=2)
+    w.write_partitions(parts_by_month(t), path)
     return r.read_partitions(t.spark, path, 1998, [3, 4]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 

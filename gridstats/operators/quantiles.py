@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridstats.functions.binning import order_code
 
 COARSE_SHIFT = 12
-HOT_ROWS = 1_000_000
+HOT_ROWS = 2_000_000
 
 RankOf = Callable[[Column], Column]
 
@@ -43,7 +43,7 @@ def _narrow(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequence[str]) -> DataFrame:
-    """Join on null-safe group keys plus non-null code columns."""
+    """Join on null-safe group keys plus non-null code columns; a broadcast hint on ``right`` is kept."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in (*keys, *exact)})
     cond = [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys] + [left[e] == renamed[f"__{e}"] for e in exact]
     return left.join(renamed, cond, "inner").drop(*[f"__{k}" for k in (*keys, *exact)])
@@ -61,11 +61,13 @@ def _narrowed(base: DataFrame, keys: list[str], ranks: Mapping[str, RankOf]) ->
     )
     coarse = _narrow(coarse, keys, "__coarse")
 
-    fine = _same(base, coarse, keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
+    # Wanted bins number at most (groups x ranks), and the groups that come here are bounded: broadcasting
+    # them keeps the rows where they are, so the two refinements need no shuffle of the table.
+    fine = _same(base, F.broadcast(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
     fine = _narrow(fine, [*keys, "__coarse"], "__fine").drop("__coarse")
 
-    values = _same(base, fine, keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
+    values = _same(base, F.broadcast(fine), keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
     values = _narrow(values, [*keys, "__fine"], "__x")
 
@@ -87,7 +89,8 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[
     """One row per group: ``n`` and, per name, the value at a 0-based rank.
 
     Each rank is a function of the group size ``n``; nulls are not counted. Groups above
-    ``hot_rows`` (every group when it is 0, or when there are no keys) are never gathered.
+    ``hot_rows`` (every group when it is 0, or when there are no keys) are never gathered. Pass 0
+    only where the number of groups is small and known, such as one per column.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
@@ -144,9 +147,14 @@ def widen(long: DataFrame, features: Sequence[str], stats: Sequence[str], keys:
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-                    name: str = "weighted_median") -> DataFrame:
-    """First value in ascending order whose cumulative weight reaches half of the group's total."""
+                    name: str = "weighted_median", few_groups: bool = False) -> DataFrame:
+    """First value in ascending order whose cumulative weight reaches half of the group's total.
+
+    ``few_groups`` states that the groups are few and known (or none): the searched bins are then
+    broadcast and the rows are not shuffled.
+    """
     keys = list(keys)
+    small = F.broadcast if few_groups or not keys else (lambda frame: frame)
     base = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__x"), F.col(weight).alias("__w"))
     base = base.withColumn("__fine", order_code("__x")).withColumn("__coarse", F.shiftright("__fine", COARSE_SHIFT))
@@ -165,10 +173,10 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     coarse = base.groupBy(*keys, "__coarse").agg(F.sum("__w").alias("cnt"))
     coarse = coarse.withColumn("half", F.sum("cnt").over(Window.partitionBy(*keys)) / 2).withColumn("base", F.lit(0.0))
     coarse = first_reaching(coarse, keys, "__coarse")
-    fine = _same(base, coarse, keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
+    fine = _same(base, small(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
         F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
     fine = first_reaching(fine, [*keys, "__coarse"], "__fine").drop("__coarse")
-    values = _same(base, fine, keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
+    values = _same(base, small(fine), keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
         F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
     values = first_reaching(values, [*keys, "__fine"], "__x")
     return values.groupBy(*keys).agg(F.max("__x").alias(name))

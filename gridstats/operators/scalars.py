@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame, name: str = "scalars") -> DataFrame:
@@ -24,3 +24,9 @@ def literal_row(one_row: DataFrame) -> dict:
         return F.lit(value).cast(kind)
 
     return {f.name: literal(row[f.name], f.dataType) for f in one_row.schema.fields}
+
+
+def broadcast_within(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """Hint a broadcast when the measured size of a materialised table is within a limit."""
+    measured = df.agg(F.sum(size.cast("bigint"))).first()[0]
+    return F.broadcast(df) if (measured or 0) <= limit else df

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.columns import quoted
+from gridstats.operators.scalars import broadcast_within
+from gridstats.session import cut_lineage
 
+MAX_BROADCAST_EDGES = 2_000_000
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
 
 
@@ -72,8 +75,14 @@ def region_tiles(regions: DataFrame, tile: float, region: str = "region", rings:
 
 def assign_region(points: DataFrame, regions: DataFrame, *, x: str, y: str, tile: float, name: str = "region",
                   region: str = "region", rings: str = "rings") -> DataFrame:
-    """Add the id of the first region (in id order) a point lies strictly inside of, else null."""
-    tiles = region_tiles(regions, tile, region, rings).withColumnsRenamed({"tx": "__tx", "ty": "__ty"})
+    """Add the id of the first region (in id order) a point lies strictly inside of, else null.
+
+    The tile table is built once and measured. While it is small the points stay in place; beyond
+    the limit they are shuffled to the tiles.
+    """
+    tiles = cut_lineage(region_tiles(regions, tile, region, rings).withColumnsRenamed({"tx": "__tx", "ty": "__ty"}))
+    edges = F.aggregate("candidates", F.lit(1), lambda n, c: n + F.coalesce(F.size(c["edges"]), F.lit(0)))
+    tiles = broadcast_within(tiles, edges, MAX_BROADCAST_EDGES)
     placed = points.withColumns({"__tx": tile_index(x, tile), "__ty": tile_index(y, tile)})
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     hit = F.filter("candidates", lambda c: c["whole"] | F.coalesce(_strictly_inside(c["edges"], px, py), F.lit(False)))

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridstats.functions.columns import cell_key, ratio, wrap_longitude
 from gridstats.functions.units import TERAGRAM_PER_GRAM, cell_area_m2, flux_factor
 from gridstats.operators.joins import sample_grid
-from gridstats.operators.scalars import attach_scalars
 from gridstats.operators.spatial import assign_region
 from gridstats.operators.uncertainty import half_width, quadrature
 
@@ -126,10 +125,11 @@ def mean_over_years(yearly: DataFrame, zero_fill: bool = False) -> DataFrame:
     columns = ("flux", "estimate", "sigma_block", "sigma_linear")
     if not zero_fill:
         return yearly.groupBy("outer").agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n_years"))
-    sums = yearly.groupBy("outer").agg(*[F.sum(c).alias(c) for c in columns])
-    years = yearly.groupBy("year").agg(F.lit(1).alias("one")).agg(F.sum("one").alias("n"))
-    return attach_scalars(sums, years, "y").select(
-        "outer", *[(F.col(c) / F.col("y.n")).alias(c) for c in columns], F.col("y.n").alias("n_years"))
+    # The total row of the rollup knows the number of processed years; the window spans one row per region.
+    rolled = yearly.rollup("outer").agg(
+        *[F.sum(c).alias(c) for c in columns], F.count_distinct("year").alias("years"), F.grouping_id().alias("level"))
+    rolled = rolled.withColumn("n_years", F.max("years").over(Window.partitionBy(F.lit(0))))
+    return rolled.where(F.col("level") == 0).select("outer", *[(F.col(c) / F.col("n_years")).alias(c) for c in columns], "n_years")
 
 
 def total_flux(regional: DataFrame) -> DataFrame:

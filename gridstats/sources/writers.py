@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gridstats.functions.columns import quoted
 from gridstats.sources.readers import read_table
@@ -15,15 +15,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "month"), files_per_partition: int = 1) -> None:
+def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "month")) -> None:
     """One directory per partition value; only partitions present in ``df`` are replaced.
 
-    Rows are brought together by partition value plus a salt, so a large partition is written by
-    several tasks and a small one does not scatter into many files.
+    Rebalancing brings the rows of a partition together, so that small ones end up in one file,
+    and lets adaptive execution split a partition that holds far more rows than the others.
     """
-    salt = F.pmod(F.xxhash64(*quoted(df.columns)), F.lit(files_per_partition))
-    spread = df.repartition(*by, salt) if files_per_partition > 1 else df.repartition(*by)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+    balanced = df.hint("rebalance", *quoted(by))
+    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "compression", "snappy").partitionBy(*by).parquet(path)
 
 
