@@ -62,10 +62,10 @@ def _(t):
 
 @query("region_codes_and_box", "F5 F6", """
 select c_custkey, lpad(cast(c_nationkey as varchar), 2, '0') as code from customer
-where lpad(cast(c_nationkey as varchar), 2, '0') in ('01', '02', '05', '11', '18') and c_acctbal between 500 and 6000 and c_custkey between 100 and 1400""")
+where lpad(cast(c_nationkey as varchar), 2, '0') in ('01', '02', '05', '11', '18') and c_acctbal between 500 and 6000 and c_nationkey between 2 and 20""")
 def _(t):
     v = t.customer.withColumn("code", c.zero_pad("c_nationkey", 2))
-    v = v.where(F.col("code").isin("01", "02", "05", "11", "18") & F.col("c_acctbal").between(500, 6000) & F.col("c_custkey").between(100, 1400))
+    v = v.where(F.col("code").isin("01", "02", "05", "11", "18") & F.col("c_acctbal").between(500, 6000) & F.col("c_nationkey").between(2, 20))
     return v.select("c_custkey", "code")
 
 

@@ -137,13 +137,13 @@ def _(t):
     return s.histogram_2d(log_pairs(t), "x", "q")
 
 
-@query("smoothed_density", "A28", SQL_LATTICE.format(n=40) + """
+@query("smoothed_density", "A28", SQL_LATTICE.format(n=119) + """
 , k as (select d, exp(-0.5 * (d / 1.8) ** 2) as w from (select unnest(range(-7, 8)) as d)), kn as (select d, w / (select sum(w) from k) as w from k),
-a as (select s.i as i, h.j as j, sum(h.n * kn.w) as v from (select unnest(range(0, 40)) as i) s cross join kn join h on h.i = case when s.i + d < 0 then -1 - (s.i + d) when s.i + d > 39 then 79 - (s.i + d) else s.i + d end group by all),
-b as (select a.i as i, s.j as j, sum(a.v * kn.w) as v from (select unnest(range(0, 40)) as j) s cross join kn join a on a.j = case when s.j + d < 0 then -1 - (s.j + d) when s.j + d > 39 then 79 - (s.j + d) else s.j + d end group by all)
+a as (select s.i as i, h.j as j, sum(h.n * kn.w) as v from (select unnest(range(0, 119)) as i) s cross join kn join h on h.i = case when s.i + d < 0 then -1 - (s.i + d) when s.i + d > 118 then 237 - (s.i + d) else s.i + d end group by all),
+b as (select a.i as i, s.j as j, sum(a.v * kn.w) as v from (select unnest(range(0, 119)) as j) s cross join kn join a on a.j = case when s.j + d < 0 then -1 - (s.j + d) when s.j + d > 118 then 237 - (s.j + d) else s.j + d end group by all)
 select i::int as i, j::int as j, round(v, 6) as density from b""")
 def _(t):
-    return s.smooth_lattice(s.histogram_2d(log_pairs(t), "x", "q", bins=40), bins=40)
+    return s.smooth_lattice(s.histogram_2d(log_pairs(t), "x", "q"))
 
 
 @query("hexagonal_bins", "A29", SQL_PAIRS + """
