@@ -80,12 +80,12 @@ def _(t):
 
 
 @query("climate_file", "SRC11", """
-with m as (select c_mktsegment as s, c_nationkey % 12 as k, round(avg(c_acctbal), 3) as temp, count(*) / 2.0 as prec from customer group by all)
+with m as (select c_mktsegment as s, month(o_orderdate) - 1 as k, round(avg(o_totalprice) / 7.3e3, 3) as temp, count(*) / 2.0 as prec from orders join customer on o_custkey = c_custkey group by all)
 select s as "outer", (k + 1)::int as month, round(temp, 3) as temp, prec::double as prec from m""", digits=3)
 def _(t):
     from gridstats.plans.contribution import climate_rows
     path = t.scratch("climate.json")
-    m = t.customer.groupBy("c_mktsegment", (F.col("c_nationkey") % 12).alias("k")).agg(F.round(F.avg("c_acctbal"), 3).alias("temp"), (F.count(F.lit(1)) / 2).alias("prec"))
+    m = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", F.month("o_orderdate").alias("k")).agg(F.round(F.avg("o_totalprice") / 7.3e3, 3).alias("temp"), (F.count(F.lit(1)) / 2).alias("prec"))
     m = m.groupBy("c_mktsegment").agg(F.sort_array(F.collect_list(F.struct("k", "temp", "prec"))).alias("v"))
     entry = F.struct("c_mktsegment", F.struct(F.col("v.temp").alias("temp"), F.col("v.prec").alias("prec")))
     m.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)

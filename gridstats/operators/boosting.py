@@ -56,7 +56,10 @@ class FittedFeatures:
 
 
 def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Mapping[str, str], label: str) -> FittedFeatures:
-    """Fit imputation, scaling and encodings on training rows only; the small results are materialised."""
+    """Fit imputation, scaling and encodings on training rows only; the small results are materialised.
+
+    ``train`` is read about ten times: pass a stored or checkpointed frame.
+    """
     numeric = list(numeric)
     fills = cut_lineage(fit_imputer(train, numeric))
     filled = impute(train, fills, numeric)

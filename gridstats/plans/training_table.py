@@ -12,6 +12,7 @@ from gridstats.operators.dedup import keep_first
 from gridstats.operators.joins import suffix_join
 from gridstats.operators.neighbours import isolation_filter
 from gridstats.operators.outliers import in_ranges, stratified_iqr_filter, within_group_filter
+from gridstats.session import cut_lineage
 
 # Keys of the extractions, physical limits, excluded sites.
 KEYS = ["CO2_ppm", "Date", "MonitoringLocation", "PFAF_ID", "HYBAS_ID"]
@@ -43,13 +44,14 @@ def clean(points: DataFrame, features: Sequence[str], weather: Sequence[str], or
           k: int = 5) -> DataFrame:
     """Physical limits, own-site median, stratum spread, covariate isolation, duplicate weather, bad sites.
 
-    The filters are sequential: each one takes its statistics from the rows that are left.
+    The filters are sequential: each one takes its statistics from the rows that are left, and reads
+    them several times. Every stage is therefore written once; left lazy, the passes would multiply.
     """
-    out = in_ranges(points, LIMITS)
+    out = cut_lineage(in_ranges(points, LIMITS))
     out = out.withColumn("__log", safe_log10("CO2_aq"))
-    out = within_group_filter(out, "MonitoringLocation", "__log", max_deviation=2.0, min_n=4)
+    out = cut_lineage(within_group_filter(out, "MonitoringLocation", "__log", max_deviation=2.0, min_n=4))
     out = out.withColumn("__log", safe_log10(clip("CO2_aq", lower=1e-12)))
-    out = stratified_iqr_filter(out, ["season", "HUC2"], "__log", k=3.5, min_n=20).drop("__log")
+    out = cut_lineage(stratified_iqr_filter(out, ["season", "HUC2"], "__log", k=3.5, min_n=20).drop("__log"))
     out = isolation_filter(out, list(features), k=k, share=0.99)
     out = keep_first(out, list(weather), list(order))
     site = F.col("MonitoringLocation")
