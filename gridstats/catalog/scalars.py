@@ -227,26 +227,26 @@ def _(t):
 
 
 @query("month_column_selection", "P31", """
-with m as (select c_nationkey, month(o_orderdate) as month, avg(o_totalprice) / 1e3 as v, count(*) as n from orders join customer on o_custkey = c_custkey group by all),
+with m as (select c_nationkey, month(o_orderdate) as month, avg(o_totalprice) / 7.3e3 as v, count(*) as n from orders join customer on o_custkey = c_custkey group by all),
 g as (select n_nationkey, month from nation cross join (select unnest(range(1, 13)) as month))
 select n_nationkey, g.month::int as month, round(v, 6) as price, n::double as orders, cast(null as double) as absent from g left join m on n_nationkey = c_nationkey and g.month = m.month""")
 def _(t):
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("m", F.date_format("o_orderdate", "MM"))
     wide = o.groupBy(F.col("c_nationkey").alias("n_nationkey")).pivot("m", [f"{i:02d}" for i in range(1, 13)]).agg(
-        (F.avg("o_totalprice") / 1e3).alias("price"), F.count(F.lit(1)).alias("orders"))
+        (F.avg("o_totalprice") / 7.3e3).alias("price"), F.count(F.lit(1)).alias("orders"))
     names = {f"{i:02d}_{f}": f"{f}{i:02d}" for i in range(1, 13) for f in ("price", "orders")}
     return months_to_rows(wide.withColumnsRenamed(names), ["n_nationkey"], ["price", "orders", "absent"])
 
 
 @query("intermittency_fractions", "P34", """
-with v as (select p_partkey, p_size % 5 as ord, p_size::double as temp, p_retailprice / 20 as prec from part),
+with v as (select p_partkey, p_size % 5 as ord, p_size / 1.3::double as temp, p_retailprice / 23 as prec from part),
 k(ord, a, b, c, d, e, f) as (values (1, -0.009, 0.029, 0.77, -0.0019, 0.017, 0.026), (2, -0.009, 0.029, 0.61, -0.0021, 0.011, 0.088),
   (3, -0.008, 0.028, 0.44, -0.0018, 0.011, 0.058), (4, -0.005, 0.023, 0.27, -0.0028, 0.012, 0.127))
 select p_partkey, round(case when a is not null then least(greatest(a * prec + b * temp + c, 0.0), 0.9) * least(greatest(d * prec + e * temp + f, 0.0), 0.9) end, 6) as dry
 from v left join k using (ord)""")
 def _(t):
-    v = t.part.select("p_partkey", (F.col("p_size") % 5).alias("ord"), F.col("p_size").cast("double").alias("temp"),
-                      (F.col("p_retailprice") / 20).alias("prec"))
+    v = t.part.select("p_partkey", (F.col("p_size") % 5).alias("ord"), (F.col("p_size") / 1.3).alias("temp"),
+                      (F.col("p_retailprice") / 23).alias("prec"))
     return v.select("p_partkey", dry_share("ord", "temp", "prec").alias("dry"))
 
 
