@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.columns import cyclic, missing_label, season_of
-from gridstats.operators.quantiles import feature_quantiles, melt, widen
+from gridstats.operators.quantiles import feature_quantiles, widen
 from gridstats.operators.scalars import attach_scalars, literal_row
 
 Interaction = tuple[str, str, str | None, str]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.columns import ColumnLike, col, ratio
 from gridstats.functions.units import Z_90, Z_95
-from gridstats.operators.quantiles import exact_quantiles, select_ranks, _same
+from gridstats.operators.quantiles import exact_quantiles, select_ranks
 from gridstats.operators.scalars import attach_scalars
 
 
