@@ -57,8 +57,10 @@ def count_of(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
 
 
-def nonempty(df: DataFrame) -> bool:
-    return len(df.take(1)) > 0
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A materialised table of narrow rows, to be broadcast if it was counted to be short enough."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

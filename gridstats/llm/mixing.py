@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 BLOCK_WORDS, SHARDS, SEED = 64, 8, 7
 #: Rows of a source that one prefix-sum window holds, on average.
-SECTION_ROWS = 20_000
+SECTION_ROWS = 2_000
 
 
 def words(text: str | Column) -> Column:
@@ -71,12 +71,12 @@ def log_choose(n: Column, k: Column) -> Column:
 def hypergeometric(population: Column, marked: Column, draws: Column, uniform: Column) -> Column:
     """Marked items among ``draws`` without replacement, by inversion at ``uniform``.
 
-    Probabilities are summed over the support within 40 standard deviations of the mean; what lies
+    Probabilities are summed over the support within 12 standard deviations of the mean; what lies
     beyond is below the resolution of a double.
     """
     n, m, d = population.cast("double"), marked.cast("double"), draws.cast("double")
     mean = F.when(n > 0, d * m / n).otherwise(F.lit(0.0))
-    spread = F.when(n > 0, F.sqrt(mean * (1 - m / n))).otherwise(F.lit(0.0)) * 40 + 40
+    spread = F.when(n > 0, F.sqrt(mean * (1 - m / n))).otherwise(F.lit(0.0)) * 12 + 12
     low = F.greatest(draws - (population - marked), F.lit(0), F.floor(mean - spread))
     high = F.least(draws, marked, F.ceil(mean + spread))
 

@@ -136,7 +136,9 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def all_spans(found: DataFrame, more: DataFrame) -> DataFrame:
     """``_key``, ``_plain`` (base spans) and ``_spans`` (with flagged terms outside base spans)."""
     plain = F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    out = found.select("_key", "_text_hash", plain.alias("_plain")).join(more, "_text_hash", "left")
+    rows = found.select("_key", "_text_hash", plain.alias("_plain"))
+    out = rows.where(F.size("_plain") > 0).join(cut_lineage(more), "_text_hash", "left")
+    out = out.unionByName(rows.where(F.size("_plain") == 0), allowMissingColumns=True)
     return out.select("_key", "_text_hash", "_plain", F.array_sort(F.concat("_plain", clear_of(F.col("_plain"), F.col("_more")))).alias("_spans"))
 
 

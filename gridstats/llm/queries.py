@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from gridstats.llm import external_shuffle, mixing, pii, secret_scan
+from gridstats.llm import external_shuffle, langid, mixing, packing, pii, secret_scan, simhash
 
 QUERIES = {
     "op1_secret_scan": secret_scan.secret_scan,
+    "op2_packing": packing.packing,
     "op3_external_shuffle": external_shuffle.sharding,
     "op6_pii": pii.pii,
     "op7_mixing": mixing.mixing,
+    "op9_simhash": simhash.simhash,
+    "op10_language_id": langid.language_id,
 }
 ORACLES = {"op1_secret_scan": secret_scan.SQL.strip()}

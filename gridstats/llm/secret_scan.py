@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import count_of, empty, joined_spans, matches, table, whole
+from gridstats.session import cut_lineage
 
 BLOB, SPANS = "_blob", "_spans"
 
@@ -97,6 +98,8 @@ def findings_for(versions: DataFrame, key: str, text: str, ledger: DataFrame, ru
     current = F.array(*[F.lit(r.address) for r in rules])
     found = ledger.where((F.size("spans") > 0) & F.array_contains(current, F.concat_ws("@", "rule", F.col("version").cast("string"))))
     per_blob = found.groupBy(F.col("blob").alias(BLOB)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(SPANS))
+    # Both sides of the join are plain shuffles, so a blob with very many paths can be split.
+    per_blob = cut_lineage(per_blob)
     paths = versions.select(F.col(key).alias("_key"), blob_address(text).alias(BLOB))
     return paths.join(per_blob, BLOB, "left").withColumn(SPANS, F.coalesce(SPANS, empty("struct<s:int,k:int,e:int>")))
 
