@@ -63,6 +63,17 @@ def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_sample(df: DataFrame, order: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows, those with the least hash values; all rows of a smaller table.
+
+    Rows are picked where they lie, by a threshold, so no task gathers candidates.
+    """
+    count = df.count()
+    share = min(1.0, rows / max(1, count))
+    most = int(-(1 << 63) + share * (1 << 64)) - 1
+    return df.where(order <= F.lit(min(most, (1 << 63) - 1))).limit(2 * rows)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Root (smallest id reachable) of every node with an edge: columns ``node``, ``root``.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from gridstats.llm import external_shuffle, langid, mixing, packing, pii, secret_scan, simhash
+from gridstats.llm import adaptive_scan, external_shuffle, itq_dedup, langid, mixing, packing, pii, secret_scan, simhash, suffix_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.secret_scan,
     "op2_packing": packing.packing,
     "op3_external_shuffle": external_shuffle.sharding,
+    "op4_itq_dedup": itq_dedup.embedding_dedup,
+    "op5_adaptive_scan": adaptive_scan.nearest,
     "op6_pii": pii.pii,
     "op7_mixing": mixing.mixing,
+    "op8_suffix_dedup": suffix_dedup.repeated_passages,
     "op9_simhash": simhash.simhash,
     "op10_language_id": langid.language_id,
 }
