@@ -136,11 +136,11 @@ def _(t):
 
 
 @query("dominant_category", "A18 P40", """
-with n as (select o_custkey, count(*) filter (o_orderpriority = '1-URGENT') as a, count(*) filter (o_orderpriority in ('2-HIGH', '3-MEDIUM')) as b, count(*) filter (o_orderpriority = '5-LOW') as c from orders where o_orderstatus = 'F' group by o_custkey)
+with n as (select o_custkey, count(*) filter (o_orderpriority = '1-URGENT') as a, count(*) filter (o_orderpriority in ('2-HIGH', '3-MEDIUM')) as b, count(*) filter (o_orderpriority = '5-LOW') as c from orders group by o_custkey)
 select o_custkey, case when greatest(a, b, c) = 0 then 'none' when a >= b and a >= c then 'urgent' when b >= c then 'middle' else 'low' end as dominant from n""")
 def _(t):
     classes = {"urgent": ["1-URGENT"], "middle": ["2-HIGH", "3-MEDIUM"], "low": ["5-LOW"]}
-    return s.dominant_category(t.orders.where("o_orderstatus = 'F'"), "o_custkey", c.category_of("o_orderpriority", classes), list(classes), "none")
+    return s.dominant_category(t.orders, "o_custkey", c.category_of("o_orderpriority", classes), list(classes), "none")
 
 
 @query("share_of_true_over_years", "A19 F12", SQL_REGIONAL + """

@@ -60,6 +60,8 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Mapping[
 
     ``train`` is read about ten times: pass a stored or checkpointed frame.
     """
+    if unknown := set(categorical.values()) - {"target", "ordinal"}:
+        raise ValueError(f"unknown encodings {sorted(unknown)}; use target or ordinal")
     numeric = list(numeric)
     fills = cut_lineage(fit_imputer(train, numeric))
     filled = impute(train, fills, numeric)

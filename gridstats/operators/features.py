@@ -138,18 +138,17 @@ def categories(train: DataFrame, column: str) -> DataFrame:
 
 
 def fit_ordinal(train: DataFrame, column: str) -> DataFrame:
-    """Category and its 0-based position in sorted order; the missing label has code -2."""
+    """Category and its 0-based position in sorted order; the label of missing values takes its own place."""
     from pyspark.sql import Window
     known = categories(train, column)
     # One row per category. Numbering needs a total order over the categories, not over the rows.
-    coded = known.where(F.col(column) != "Missing").withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
-    return coded.unionByName(known.where(F.col(column) == "Missing").withColumn("code", F.lit(-2)))
+    return known.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
     """Codes by category; categories not seen in training get -1."""
-    joined = df.withColumn("__k", missing_label(column)).join(codes.withColumnRenamed(column, "__k"), "__k", "left")
-    return joined.withColumn(name, F.coalesce(F.col("code"), F.lit(-1))).drop("code", "__k")
+    joined = df.withColumn("__k", missing_label(column)).join(codes.select(F.col(column).alias("__k"), F.col("code").alias("__code")), "__k", "left")
+    return joined.withColumn(name, F.coalesce(F.col("__code"), F.lit(-1))).drop("__code", "__k")
 
 
 def fit_target_encoder(train: DataFrame, column: str, label: str, *, smoothing: float = 25.0,

@@ -69,27 +69,31 @@ def assert_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
         raise ValueError(f"{key} values occur on both sides")
 
 
-def snap_index(value: str | Column, origin: float, step: float) -> Column:
+def snap_index(value: str | Column, origin: float | Column, step: float) -> Column:
     """Index of the nearest node of a regular axis; a point half-way goes to the lower node."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.ceil((v - F.lit(origin)) / F.lit(step) - F.lit(0.5)).cast("bigint")
+    return F.ceil((v - (origin if isinstance(origin, Column) else F.lit(origin))) / F.lit(step) - F.lit(0.5)).cast("bigint")
 
 
 def sample_grid(points: DataFrame, grid: DataFrame, *, lat: str, lon: str, value: str, step: float,
-                origin: tuple[float, float] = (0.0, 0.0), by: Sequence[str] = (), floor: float | None = 0.0,
+                origin: tuple[float, float] | None = None, by: Sequence[str] = (), floor: float | None = 0.0,
                 grid_lat: str = "lat", grid_lon: str = "lon") -> DataFrame:
     """Value of the nearest cell of a regular grid, per point.
 
-    A hash join on integer node indexes; points outside the extent of the grid get null, values
+    A hash join on integer node indexes counted from ``origin``, by default the grid's own least
+    coordinates, so grids at any offset work; two nodes under one index are an error. Points outside the extent of the grid get null, values
     are floored. ``by`` holds further join keys present on both sides (for example the month).
     """
     extent = grid.agg(F.min(grid_lat).alias("lat0"), F.max(grid_lat).alias("lat1"),
                       F.min(grid_lon).alias("lon0"), F.max(grid_lon).alias("lon1"))
-    nodes = grid.select(
-        *by, snap_index(grid_lat, origin[0], step).alias("__i"), snap_index(grid_lon, origin[1], step).alias("__j"),
-        F.col(value))
+    lat0, lon0 = (F.lit(origin[0]), F.lit(origin[1])) if origin else (F.col("__e.lat0"), F.col("__e.lon0"))
+    nodes = attach_scalars(grid, extent, "__e").select(
+        *by, snap_index(grid_lat, lat0, step).alias("__i"), snap_index(grid_lon, lon0, step).alias("__j"), F.col(value))
+    nodes = nodes.groupBy(*by, "__i", "__j").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("__n"))
+    twice = F.raise_error(F.lit(f"grid has several nodes within one step of {step}"))
+    nodes = nodes.withColumn(value, F.when(F.col("__n") > 1, twice).otherwise(F.col(value))).drop("__n")
     placed = attach_scalars(points, extent, "__e").withColumns({
-        "__i": snap_index(lat, origin[0], step), "__j": snap_index(lon, origin[1], step),
+        "__i": snap_index(lat, lat0, step), "__j": snap_index(lon, lon0, step),
         "__in": F.col(lat).between(F.col("__e.lat0"), F.col("__e.lat1"))
                 & F.col(lon).between(F.col("__e.lon0"), F.col("__e.lon1"))})
     joined = placed.join(nodes, [*by, "__i", "__j"], "left")

@@ -188,13 +188,17 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("__lo", F.col("q1") - reach * (F.col("q3") - F.col("q1")))
     q = q.withColumn("__hi", F.col("q3") + reach * (F.col("q3") - F.col("q1")))
-    rows = _same(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")),
-                 q.select(*keys, "__lo", "__hi"), keys, []) if keys else None
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    if keys:
+        rows = _same(values, q.select(*keys, "__lo", "__hi"), keys, [])
+    else:
+        rows = attach_scalars(values, q.select("__lo", "__hi"), "__q").select("__v", "__q.__lo", "__q.__hi")
     inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
     ends = rows.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("__v"))).alias("whisker_low"), F.max(F.when(inside, F.col("__v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    return _same(q.drop("__lo", "__hi"), ends, keys, [])
+    q = q.drop("__lo", "__hi")
+    return _same(q, ends, keys, []) if keys else attach_scalars(q, ends, "__ends").select(*q.columns, "__ends.*")
 
 
 def dominant_category(df: DataFrame, key: str, category: Column, order: Sequence[str], default: str) -> DataFrame:

@@ -38,11 +38,14 @@ def read_named_csvs(spark: SparkSession, pattern: str, name_pattern: str, key: s
     """Many CSVs whose key is part of the file or directory name; columns a file lacks come out null.
 
     ``name_pattern`` is a regular expression with one group, ``prefix`` names a column for the
-    leading characters of the key. ``anchor`` is a column every file has: the files are grouped by
-    their header line, found by that name, so that each group is read by its own column order.
+    leading characters of the key. The files are grouped by their first line, so that each group is
+    read by its own column order; files whose first line lacks the column ``anchor`` are left out.
     """
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
-    variants = lines.where(F.array_contains(F.split("value", ","), anchor)).groupBy("value").agg(F.collect_set("path").alias("paths"))
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    # Row ids rise along a file, so the least one of its first block is the first line.
+    numbered = lines.where("start = 0").withColumn("row", F.monotonically_increasing_id())
+    first = numbered.groupBy("path").agg(F.min_by("value", "row").alias("value"))
+    variants = first.where(F.array_contains(F.split("value", ","), anchor)).groupBy("value").agg(F.collect_set("path").alias("paths"))
     frames = []
     for header in variants.collect():  # one row per distinct header line
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(header["paths"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from gridstats.functions.columns import quoted
@@ -26,13 +25,16 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "mon
         "compression", "snappy").partitionBy(*by).parquet(path)
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Is there anything at ``path``? Asks the file system, so an unreadable table counts as present."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
+
 def written_partitions(spark: SparkSession, path: str, by: Sequence[str] = ("year", "month")) -> DataFrame | None:
     """Partition values already present, or None when nothing was written."""
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return existing.select(*by).distinct()
+    return spark.read.parquet(path).select(*by).distinct() if present(spark, path) else None
 
 
 def remaining(df: DataFrame, path: str, by: Sequence[str] = ("year", "month")) -> DataFrame:
@@ -47,12 +49,10 @@ def resume_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "mo
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the table at ``path``, building and saving it first when absent."""
-    try:
-        return read_table(spark, path)
-    except AnalysisException:
+    if not present(spark, path):
         df = build()
         write_csv(df, path) if path.lower().endswith(".csv") else df.write.mode("overwrite").parquet(path)
-        return read_table(spark, path)
+    return read_table(spark, path)
 
 
 def write_cube(df: DataFrame, path: str, attributes: Mapping[str, Mapping[str, str]],

@@ -33,3 +33,19 @@ def test_files_with_other_column_order(spark, tmp_path):
 def test_empty_tree_raises(spark, tmp_path):
     with pytest.raises(Exception):
         readers.read_tree(spark, str(tmp_path / "none")).count()
+
+
+def test_data_line_like_a_header_is_data(spark, tmp_path):
+    (tmp_path / "final_0102.csv").write_text("id,w\n1,2.5\nid,7\n3,4.5\n")
+    df = readers.read_named_csvs(spark, f"{tmp_path}/final_*.csv", r"final_(\d+)\.csv", "inner", {"id": "string", "w": "double"}, anchor="id")
+    assert sorted((r["id"], r["w"]) for r in df.collect()) == [("1", 2.5), ("3", 4.5), ("id", 7.0)]
+
+
+def test_unreadable_table_is_left_alone(spark, tmp_path):
+    from gridstats.sources import writers
+    folder = tmp_path / "kept"
+    folder.mkdir()
+    (folder / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        writers.cached_table(spark, str(folder), lambda: spark.range(3)).collect()
+    assert (folder / "part-0.parquet").read_text() == "not a table"
