@@ -9,7 +9,7 @@ from array import array
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Words a worker remembers; later new ones are encoded each time they occur.
-WORDS = 400_000
+WORDS = 200_000
 END = 1
 
 
