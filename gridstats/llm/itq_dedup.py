@@ -27,7 +27,7 @@ from gridstats.llm.simhash import Clusters
 from gridstats.llm.vectors import comparable, matrix
 from gridstats.session import cut_lineage
 
-SAMPLE, ROUNDS, BITS, BAND, REACH, PART, LEAST = 20_000, 50, 64, 16, 22, 1024, 0.9
+SAMPLE, ROUNDS, BITS, BAND, REACH, PART, LEAST = 20_000, 50, 64, 16, 18, 1024, 0.9
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
