@@ -8,9 +8,11 @@ from pyspark.sql import Column, functions as F
 
 from gridstats.functions.columns import ColumnLike, col
 
-# Bins per e-fold of magnitude of the finest order code, and the scale below which codes are linear.
+# Bins per e-fold of magnitude of the order code, and a number above -ln of the least positive double.
 CODE_RESOLUTION = 1 << 20
-CODE_UNIT = 1e-12
+CODE_OFFSET = 746.0
+# Equal parts that the values of one code are cut into between their own least and greatest.
+PARTS = 1 << 16
 
 
 def cut(value: ColumnLike, edges: Sequence[float], labels: Sequence | None = None) -> Column:
@@ -37,9 +39,16 @@ def width_bin(value: ColumnLike, low: ColumnLike, width: ColumnLike, bins: Colum
 
 
 def order_code(value: ColumnLike) -> Column:
-    """Integer that never decreases with the value, fine enough to split any range of doubles."""
+    """Integer that never decreases with the value; a code holds one part in 2^20 of any magnitude."""
     c = col(value).cast("double")
-    return F.floor(F.signum(c) * F.log1p(F.abs(c) / F.lit(CODE_UNIT)) * F.lit(float(CODE_RESOLUTION))).cast("bigint")
+    size = F.when(c == 0, F.lit(0.0)).otherwise(F.log(F.abs(c)) + F.lit(CODE_OFFSET))
+    return F.floor(F.signum(c) * size * F.lit(float(CODE_RESOLUTION))).cast("bigint")
+
+
+def part_code(value: ColumnLike, low: ColumnLike, high: ColumnLike) -> Column:
+    """Part of the range from ``low`` to ``high``; within one order code a part holds some 2^17 doubles."""
+    share = (col(value) - col(low)) / F.nullif(col(high) - col(low), F.lit(0.0))
+    return F.coalesce(F.floor(share * F.lit(float(PARTS))).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def hex_cell(x: ColumnLike, y: ColumnLike) -> Column:

@@ -4,8 +4,10 @@ Gathering a group in one task is fine while the group is small, and fatal when i
 of the table. Groups are therefore told apart by a counted size. Small ones are sorted as arrays.
 Hot ones are narrowed down: values map to integer codes that never decrease with the value, rows
 are counted per (group, coarse code) with map-side combining, and only the rows of the few coarse
-bins that hold a wanted rank are looked at again, first by fine code, then by value. The codes
-depend on the value alone, so every pass sees the same bins even when tasks are re-run.
+bins that hold a wanted rank are looked at again: by fine code, by equal parts between the fine
+bin's own least and greatest value, then by value. However narrow the range of a column, no window
+holds more than the doubles of one such part. Bins depend on the values alone, so every pass sees
+the same ones even when tasks are re-run. Both ways give the same answer; NaN counts as null.
 
 The list of hot groups has at most (rows / HOT_ROWS) entries, which bounds its broadcast; when it
 turns out empty, adaptive execution drops the whole second branch.
@@ -18,7 +20,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridstats.functions.binning import order_code
+from gridstats.functions.binning import order_code, part_code
+from gridstats.functions.columns import col
 
 COARSE_SHIFT = 12
 HOT_ROWS = 2_000_000
@@ -26,11 +29,16 @@ HOT_ROWS = 2_000_000
 RankOf = Callable[[Column], Column]
 
 
+def present(value: str) -> Column:
+    """Neither null nor NaN."""
+    return col(value).isNotNull() & ~F.isnan(col(value).cast("double"))
+
+
 def _running(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _narrow(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def _narrow(counts: DataFrame, keys: Sequence[str], order: str, more: Sequence[str] = ()) -> DataFrame:
     """Keep the bins that hold a wanted rank. ``counts``: keys, order, cnt, base, total, wanted."""
     below = F.col("base") + F.sum("cnt").over(_running(keys, order)) - F.col("cnt")
     inside = F.expr("filter(wanted, r -> r >= below and r < below + cnt)")
@@ -38,7 +46,7 @@ def _narrow(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         counts.withColumn("below", below)
         .withColumn("wanted", inside)
         .where(F.size("wanted") > 0)
-        .select(*keys, order, F.col("below").alias("base"), "total", "wanted")
+        .select(*keys, order, F.col("below").alias("base"), "total", "wanted", *more)
     )
 
 
@@ -64,12 +72,18 @@ def _narrowed(base: DataFrame, keys: list[str], ranks: Mapping[str, RankOf]) ->
     # Wanted bins number at most (groups x ranks), and the groups that come here are bounded: broadcasting
     # them keeps the rows where they are, so the two refinements need no shuffle of the table.
     fine = _same(base, F.broadcast(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    fine = _narrow(fine, [*keys, "__coarse"], "__fine").drop("__coarse")
+        F.count(F.lit(1)).alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"),
+        *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
+    fine = _narrow(fine, [*keys, "__coarse"], "__fine", ["lo", "hi"]).drop("__coarse")
 
-    values = _same(base, F.broadcast(fine), keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
+    values = _same(base, F.broadcast(fine), keys, ["__fine"]).withColumn("__part", part_code("__x", "lo", "hi"))
+    values = values.groupBy(*keys, "__fine", "__part", "__x").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    values = _narrow(values, [*keys, "__fine"], "__x")
+    parts = values.groupBy(*keys, "__fine", "__part").agg(
+        F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
+    parts = _narrow(parts, [*keys, "__fine"], "__part")
+    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__fine", "__part"])
+    values = _narrow(values, [*keys, "__fine", "__part"], "__x")
 
     found = values.select(*keys, "total", "__x", F.explode("wanted").alias("rank"))
     found = found.select("*", *[expr.alias(f"__r_{name}") for name, expr in named.items()])
@@ -88,12 +102,12 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per group: ``n`` and, per name, the value at a 0-based rank.
 
-    Each rank is a function of the group size ``n``; nulls are not counted. Groups above
+    Each rank is a function of the group size ``n``; nulls and NaN are not counted. Groups above
     ``hot_rows`` (every group when it is 0, or when there are no keys) are never gathered. Pass 0
     only where the number of groups is small and known, such as one per column.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
     if not keys or hot_rows == 0:
         return _narrowed(base, keys, ranks)
     hot = F.broadcast(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
@@ -155,11 +169,11 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     """
     keys = list(keys)
     small = F.broadcast if few_groups or not keys else (lambda frame: frame)
-    base = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(
+    base = df.where(present(value) & present(weight)).select(
         *keys, F.col(value).cast("double").alias("__x"), F.col(weight).alias("__w"))
     base = base.withColumn("__fine", order_code("__x")).withColumn("__coarse", F.shiftright("__fine", COARSE_SHIFT))
 
-    def first_reaching(counts: DataFrame, group: list[str], order: str) -> DataFrame:
+    def first_reaching(counts: DataFrame, group: list[str], order: str, more: Sequence[str] = ()) -> DataFrame:
         w = _running(group, order)
         upto = F.col("base") + F.sum("cnt").over(w)
         last = F.max(order).over(Window.partitionBy(*group))
@@ -167,16 +181,22 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
         # Rounding of a float weight may leave the last bin short of the target; it then qualifies.
         reached = reached.where((F.col("upto") >= F.col("half")) | (F.col(order) == F.col("last")))
         chosen = reached.groupBy(*group).agg(
-            F.min_by(F.struct(order, (F.col("upto") - F.col("cnt")).alias("base"), "half"), order).alias("s"))
+            F.min_by(F.struct(order, (F.col("upto") - F.col("cnt")).alias("base"), "half", *more), order).alias("s"))
         return chosen.select(*group, "s.*")
 
     coarse = base.groupBy(*keys, "__coarse").agg(F.sum("__w").alias("cnt"))
     coarse = coarse.withColumn("half", F.sum("cnt").over(Window.partitionBy(*keys)) / 2).withColumn("base", F.lit(0.0))
     coarse = first_reaching(coarse, keys, "__coarse")
     fine = _same(base, small(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
+        F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"),
+        F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    fine = first_reaching(fine, [*keys, "__coarse"], "__fine", ["lo", "hi"]).drop("__coarse")
+    values = _same(base, small(fine), keys, ["__fine"]).withColumn("__part", part_code("__x", "lo", "hi"))
+    values = values.groupBy(*keys, "__fine", "__part", "__x").agg(
         F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
-    fine = first_reaching(fine, [*keys, "__coarse"], "__fine").drop("__coarse")
-    values = _same(base, small(fine), keys, ["__fine"]).groupBy(*keys, "__fine", "__x").agg(
-        F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
-    values = first_reaching(values, [*keys, "__fine"], "__x")
+    parts = values.groupBy(*keys, "__fine", "__part").agg(
+        F.sum("cnt").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
+    parts = first_reaching(parts, [*keys, "__fine"], "__part")
+    values = _same(values.drop("base", "half"), parts, keys, ["__fine", "__part"])
+    values = first_reaching(values, [*keys, "__fine", "__part"], "__x")
     return values.groupBy(*keys).agg(F.max("__x").alias(name))

@@ -1,8 +1,10 @@
 """Cumulative totals, ranks and distribution comparisons without a single-task window.
 
 Rows are first collapsed to distinct values, so ties and copies cost nothing. Prefix sums run
-over coarse codes, then fine codes within a coarse code, then values within a fine code; every
-window partition is bounded by the code resolution, not by the size of a group.
+over coarse codes, then fine codes within a coarse code, then equal parts between a fine code's own
+least and greatest value, then values within a part. A window over codes or parts holds no more of
+them than their number, one over values no more than the doubles of a part, whatever the size and
+the spread of a group. NaN counts as null.
 """
 
 from __future__ import annotations
@@ -11,11 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridstats.functions.binning import order_code
-from gridstats.operators.quantiles import _same, melt
+from gridstats.functions.binning import order_code, part_code
+from gridstats.operators.quantiles import _same, melt, present
 
-COARSE_SHIFT = 14
-FINE_SHIFT = 6
+COARSE_SHIFT = 12
 
 
 def _before(measure: str, group: Sequence[str], order: str) -> Column:
@@ -27,15 +28,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dic
     """Per (keys, distinct value): each measure, ``<m>_before`` (smaller values) and ``<m>_total``."""
     keys, names = list(keys), list(measures)
     distinct = (
-        df.where(F.col(value).isNotNull())
+        df.where(present(value))
         .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(*[expr.alias(m) for m, expr in measures.items()])
     )
-    code = order_code(value)
-    distinct = distinct.withColumn("__c2", F.shiftright(code, FINE_SHIFT))
-    distinct = distinct.withColumn("__c1", F.shiftright("__c2", COARSE_SHIFT - FINE_SHIFT))
+    distinct = distinct.withColumn("__c2", order_code(value)).withColumn("__c1", F.shiftright("__c2", COARSE_SHIFT))
 
-    fine = distinct.groupBy(*keys, "__c1", "__c2").agg(*[F.sum(m).alias(m) for m in names])
+    fine = distinct.groupBy(*keys, "__c1", "__c2").agg(
+        *[F.sum(m).alias(m) for m in names], F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     coarse = fine.groupBy(*keys, "__c1").agg(*[F.sum(m).alias(m) for m in names])
     whole = Window.partitionBy(*keys)
     coarse = coarse.select(
@@ -44,12 +44,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dic
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in names])
     fine = _same(fine, coarse, keys, ["__c1"])
     fine = fine.select(
-        *keys, "__c2", *[f"{m}_total" for m in names],
+        *keys, "__c2", "__lo", "__hi", *[f"{m}_total" for m in names],
         *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c1"], "__c2")).alias(f"__b_{m}") for m in names])
-    rows = _same(distinct, fine, keys, ["__c2"])
+    # A row per distinct value; it takes its place among the parts of its fine code and then within the part.
+    rows = _same(distinct, fine, keys, ["__c2"]).withColumn("__part", part_code(value, "__lo", "__hi"))
+    held = [f"{m}_total" for m in names] + [f"__b_{m}" for m in names]
+    parts = rows.groupBy(*keys, "__c2", "__part").agg(*[F.sum(m).alias(m) for m in names], *[F.first(c).alias(c) for c in held])
+    parts = parts.select(
+        *keys, "__c2", "__part", *[f"{m}_total" for m in names],
+        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c2"], "__part")).alias(f"__b_{m}") for m in names])
+    rows = _same(rows.drop(*held), parts, keys, ["__c2", "__part"])
     return rows.select(
         *keys, value, *names,
-        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c2"], value)).alias(f"{m}_before") for m in names],
+        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c2", "__part"], value)).alias(f"{m}_before") for m in names],
         *[f"{m}_total" for m in names])
 
 
@@ -73,7 +80,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ties, per group, and the number of complete pairs."""
     keys = list(keys)
     pairs = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        df.where(present(x) & present(y))
         .groupBy(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
         .agg(F.count(F.lit(1)).alias("w"))
     )

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
+from gridstats.functions.binning import order_code, part_code
 from gridstats.operators.quantiles import exact_quantiles, select_ranks, weighted_median
 from gridstats.operators.ranking import ks_two_sample, spearman, value_ranks
 from gridstats.operators.summaries import quantile_bins
@@ -88,3 +90,26 @@ def test_quantile_bins_are_monotone(spark, values):
     assert len({b for _, b in rows}) <= 5
     for x in set(values):
         assert len({b for v, b in rows if v == x}) == 1
+
+
+@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
+def test_nan_counts_as_null_on_every_path(spark, hot_rows):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("a", None)], "g string, x double")
+    row = exact_quantiles(df, ["g"], "x", {"mid": 0.5}, hot_rows).first()
+    assert (row["n"], row["mid"]) == (2, 2.0)
+    assert exact_quantiles(df, [], "x", {"mid": 0.5}).first()["mid"] == 2.0
+    assert sorted(r["x"] for r in value_ranks(df, ["g"], "x").collect()) == [1.0, 3.0]
+
+
+@pytest.mark.parametrize("low,width", [(1e6, 1.0), (0.0, 1e-18), (0.0, 1e-306), (-273.15, 1e-7)])
+def test_narrow_ranges_are_cut_into_small_windows(spark, low, width):
+    values = low + np.arange(20_000) / 20_000 * width
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = exact_quantiles(df, [], "x", {"a": 0.1, "b": 0.5, "c": 1.0}).first()
+    for name, q in (("a", 0.1), ("b", 0.5), ("c", 1.0)):
+        assert got[name] == pytest.approx(np.quantile(values, q), rel=1e-12, abs=0)
+    ranks = value_ranks(df, [], "x").toPandas().sort_values("x")
+    assert np.array_equal(ranks["x"], np.unique(values)) and ranks["avg_rank"].max() >= len(values) - 1
+    cells = df.distinct().groupBy(order_code("x").alias("c")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    parts = df.distinct().join(cells, order_code("x") == F.col("c")).groupBy("c", part_code("x", "lo", "hi")).count()
+    assert parts.agg(F.max("count")).first()[0] <= 8
