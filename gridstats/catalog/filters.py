@@ -199,7 +199,13 @@ def _(t):
     return value_counts(t.events, ["event_type"])
 
 
-@query("grid_minimum", "A6 O5", """
+@query("largest_orders", "O5", """
+select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20""")
+def _(t):
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("grid_minimum", "A6", """
 select l_suppkey, month(l_shipdate)::int as month, min(l_extendedprice) as l_extendedprice from lineitem group by all""")
 def _(t):
     return aggregate_to_grid(t.lineitem.withColumn("month", F.month("l_shipdate")), ["l_suppkey", "month"], "l_extendedprice", "min")

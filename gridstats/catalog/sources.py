@@ -33,13 +33,13 @@ def _(t):
 @query("key_from_file_name", "SRC4 SRC3 P15 SNK6", """
 select lpad(cast(l_linenumber as varchar), 4, '0') as inner_code, substr(lpad(cast(l_linenumber as varchar), 4, '0'), 1, 2) as outer_code, count(*) as n, round(sum(l_quantity), 6) as quantity, count(case when l_linenumber <= 3 then 1 end) as n_tax from lineitem group by all""")
 def _(t):
-    # One directory per code, half of them without the tax column, as files named by the writer's partition.
+    # One directory per code, as the writer's partitioning names them; the higher codes lack the tax column.
     root = t.scratch("reaches")
-    base = t.lineitem.select("l_linenumber", "l_quantity", "l_tax")
-    for code in range(1, 8):
-        cols = ["l_quantity", "l_tax"] if code <= 3 else ["l_quantity"]
-        base.where(F.col("l_linenumber") == code).select(*cols).write.option("header", True).csv(f"{root}/final_{code:04d}.csv")
-    found = r.read_named_csvs(t.spark, f"{root}/*/*.csv", r"final_(\d+)\.csv", "inner_code", {"l_quantity": "double", "l_tax": "double"},
+    base = t.lineitem.select(F.lpad(F.col("l_linenumber").cast("string"), 4, "0").alias("final"), "l_quantity", "l_tax", "l_linenumber")
+    for side, cols in (("with", ["l_quantity", "l_tax"]), ("without", ["l_quantity"])):
+        held = base.where(F.col("l_linenumber") <= 3 if side == "with" else F.col("l_linenumber") > 3)
+        held.select("final", *cols).write.partitionBy("final").option("header", True).csv(f"{root}/{side}")
+    found = r.read_named_csvs(t.spark, f"{root}/*/*/*.csv", r"final=(\d+)/", "inner_code", {"l_quantity": "double", "l_tax": "double"},
                               anchor="l_quantity", prefix="outer_code")
     return found.groupBy("inner_code", "outer_code").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.count("l_tax").alias("n_tax"))
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridstats.functions.columns import cyclic, missing_label, season_of
 from gridstats.operators.quantiles import feature_quantiles, widen
 from gridstats.operators.scalars import attach_scalars, literal_row
+from gridstats.session import cut_lineage
 
 Interaction = tuple[str, str, str | None, str]
 APPROXIMATE_MONTH_DAYS = 30.44
@@ -139,10 +140,13 @@ def categories(train: DataFrame, column: str) -> DataFrame:
 
 def fit_ordinal(train: DataFrame, column: str) -> DataFrame:
     """Category and its 0-based position in sorted order; the label of missing values takes its own place."""
-    from pyspark.sql import Window
-    known = categories(train, column)
-    # One row per category. Numbering needs a total order over the categories, not over the rows.
-    return known.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    # Sorted ranges of categories are numbered apart and moved up by the sizes of the ranges before.
+    ranges = cut_lineage(categories(train, column).repartitionByRange(column).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(column))
+    return ranges.join(sizes.select("__range", (upto - F.col("__n")).alias("__before")), "__range").select(
+        column, (F.col("__before") + within - 1).cast("int").alias("code"))
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
