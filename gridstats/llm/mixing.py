@@ -188,7 +188,8 @@ def cut_words(text: Column, lo: Column, hi: Column) -> Column:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; a row at the edge of a quota keeps the words
     drawn from it. Columns stay."""
-    drawn = draws(docs, key, source, text)
+    # Read twice below, so that draws are computed once.
+    drawn = cut_lineage(draws(docs, key, source, text))
     per_round = F.transform(F.array_distinct(F.transform("_draws", lambda d: d["round"])), lambda r: F.struct(
         r.alias("_round"),
         F.array_min(F.transform(F.filter("_draws", lambda d: d["round"] == r), lambda d: d["lo"])).alias("_lo"),
