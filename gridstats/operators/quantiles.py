@@ -1,30 +1,28 @@
-"""Exact order statistics that hold up when one group has most of the rows.
-
-Gathering a group in one task is fine while the group is small, and fatal when it holds a third
-of the table. Groups are therefore told apart by a counted size. Small ones are sorted as arrays.
-Hot ones are narrowed down: values map to integer codes that never decrease with the value, rows
-are counted per (group, coarse code) with map-side combining, and only the rows of the few coarse
-bins that hold a wanted rank are looked at again: by fine code, by equal parts between the fine
-bin's own least and greatest value, then by value. However narrow the range of a column, no window
-holds more than the doubles of one such part. Bins depend on the values alone, so every pass sees
-the same ones even when tasks are re-run. Both ways give the same answer; NaN counts as null.
-
-The list of hot groups has at most (rows / HOT_ROWS) entries, which bounds its broadcast; when it
-turns out empty, adaptive execution drops the whole second branch.
+"""Exact order statistics, one way for groups of any size.
+
+Rows collapse to distinct values with their counts, in the one shuffle that moves them, so copies of
+a value cost nothing from there. The values map to integer codes that never decrease with the value.
+Counts per (group, coarse code) give the sizes of groups and the few coarse bins that hold a wanted
+rank; the values of those bins are looked at again by equal parts between the bin's own least and
+greatest value, then one by one. However large a group and however narrow the range of a column, no
+window holds more than the bins of one level or the doubles of one part, and no group is ever
+gathered. Bins depend on the values alone, so re-run tasks see the same ones. NaN is null.
+
+Joins with the searched bins carry no hint: adaptive execution measures them and broadcasts them
+where they are small, as they are for few groups, and deals both sides by (group, bin) otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridstats.functions.binning import order_code, part_code
 from gridstats.functions.columns import col
 
-COARSE_SHIFT = 12
-HOT_ROWS = 2_000_000
+#: Order codes of 2^-20 of a magnitude are joined to bins of 2^-12 of it.
+BIN_SHIFT = 8
 
 RankOf = Callable[[Column], Column]
 
@@ -51,39 +49,34 @@ def _narrow(counts: DataFrame, keys: Sequence[str], order: str, more: Sequence[s
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequence[str]) -> DataFrame:
-    """Join on null-safe group keys plus non-null code columns; a broadcast hint on ``right`` is kept."""
+    """Join on null-safe group keys plus non-null code columns."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in (*keys, *exact)})
     cond = [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys] + [left[e] == renamed[f"__{e}"] for e in exact]
     return left.join(renamed, cond, "inner").drop(*[f"__{k}" for k in (*keys, *exact)])
 
 
-def _narrowed(base: DataFrame, keys: list[str], ranks: Mapping[str, RankOf]) -> DataFrame:
-    base = base.withColumn("__fine", order_code("__x")).withColumn("__coarse", F.shiftright("__fine", COARSE_SHIFT))
-    coarse = base.groupBy(*keys, "__coarse").agg(F.count(F.lit(1)).alias("cnt"))
-    total = F.sum("cnt").over(Window.partitionBy(*keys))
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, RankOf]) -> DataFrame:
+    """One row per group: ``n`` and, per name, the value at a 0-based rank.
+
+    Each rank is a function of the group size ``n``; nulls and NaN are not counted.
+    """
+    keys = list(keys)
     named = {name: rank(F.col("total")).cast("bigint") for name, rank in ranks.items()}
-    coarse = (
-        coarse.withColumn("total", total)
-        .withColumn("base", F.lit(0).cast("bigint"))
-        .withColumn("wanted", F.array_distinct(F.array(*named.values())))
-    )
-    coarse = _narrow(coarse, keys, "__coarse")
-
-    # Wanted bins number at most (groups x ranks), and the groups that come here are bounded: broadcasting
-    # them keeps the rows where they are, so the two refinements need no shuffle of the table.
-    fine = _same(base, F.broadcast(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"),
-        *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    fine = _narrow(fine, [*keys, "__coarse"], "__fine", ["lo", "hi"]).drop("__coarse")
-
-    values = _same(base, F.broadcast(fine), keys, ["__fine"]).withColumn("__part", part_code("__x", "lo", "hi"))
-    values = values.groupBy(*keys, "__fine", "__part", "__x").agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    parts = values.groupBy(*keys, "__fine", "__part").agg(
+    base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
+    values = base.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("cnt"))
+    values = values.withColumn("__bin", F.shiftright(order_code("__x"), BIN_SHIFT))
+
+    bins = values.groupBy(*keys, "__bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    bins = bins.withColumn("total", F.sum("cnt").over(Window.partitionBy(*keys)))
+    bins = bins.withColumns({"base": F.lit(0).cast("bigint"), "wanted": F.array_distinct(F.array(*named.values()))})
+    values = _same(values, _narrow(bins, keys, "__bin", ["lo", "hi"]), keys, ["__bin"])
+
+    values = values.withColumn("__part", part_code("__x", "lo", "hi"))
+    parts = values.groupBy(*keys, "__bin", "__part").agg(
         F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    parts = _narrow(parts, [*keys, "__fine"], "__part")
-    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__fine", "__part"])
-    values = _narrow(values, [*keys, "__fine", "__part"], "__x")
+    parts = _narrow(parts, [*keys, "__bin"], "__part")
+    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__bin", "__part"])
+    values = _narrow(values, [*keys, "__bin", "__part"], "__x")
 
     found = values.select(*keys, "total", "__x", F.explode("wanted").alias("rank"))
     found = found.select("*", *[expr.alias(f"__r_{name}") for name, expr in named.items()])
@@ -91,34 +84,7 @@ def _narrowed(base: DataFrame, keys: list[str], ranks: Mapping[str, RankOf]) ->
     return found.groupBy(*keys).agg(F.max("total").alias("n"), *picked)
 
 
-def _sorted_groups(base: DataFrame, keys: list[str], ranks: Mapping[str, RankOf]) -> DataFrame:
-    arrays = base.groupBy(*keys).agg(F.sort_array(F.collect_list("__x")).alias("__v"))
-    arrays = arrays.withColumn("n", F.size("__v").cast("bigint"))
-    return arrays.select(*keys, "n", *[
-        F.element_at("__v", (rank(F.col("n")) + 1).cast("int")).alias(name) for name, rank in ranks.items()])
-
-
-def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, RankOf],
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per group: ``n`` and, per name, the value at a 0-based rank.
-
-    Each rank is a function of the group size ``n``; nulls and NaN are not counted. Groups above
-    ``hot_rows`` (every group when it is 0, or when there are no keys) are never gathered. Pass 0
-    only where the number of groups is small and known, such as one per column.
-    """
-    keys = list(keys)
-    base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
-    if not keys or hot_rows == 0:
-        return _narrowed(base, keys, ranks)
-    hot = F.broadcast(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-                      .select(*[F.col(k).alias(f"__{k}") for k in keys]))
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    small = _sorted_groups(base.join(hot, match, "left_anti"), keys, ranks)
-    return small.unionByName(_narrowed(base.join(hot, match, "left_semi"), keys, ranks))
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group: ``n`` and the linearly interpolated quantiles, exact."""
     def place(q: float) -> RankOf:
         return lambda n: (n - 1) * F.lit(float(q))
@@ -127,7 +93,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     for name, q in probs.items():
         ranks[f"__lo_{name}"] = lambda n, q=q: F.floor(place(q)(n))
         ranks[f"__hi_{name}"] = lambda n, q=q: F.ceil(place(q)(n))
-    picked = select_ranks(df, keys, value, ranks, hot_rows)
+    picked = select_ranks(df, keys, value, ranks)
     out = []
     for name, q in probs.items():
         lo, hi, at = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), place(q)(F.col("n"))
@@ -149,9 +115,7 @@ def melt(df: DataFrame, keys: Sequence[str], features: Sequence[str], *, name: s
 def feature_quantiles(df: DataFrame, features: Sequence[str], probs: Mapping[str, float],
                       keys: Sequence[str] = ()) -> DataFrame:
     """Quantiles of many columns in one set of passes: rows (keys, feature, n, quantiles)."""
-    # Without further keys each feature is one group of the size of the table: always narrow it.
-    return exact_quantiles(melt(df, keys, features), [*keys, "feature"], "value", probs,
-                           HOT_ROWS if keys else 0)
+    return exact_quantiles(melt(df, keys, features), [*keys, "feature"], "value", probs)
 
 
 def widen(long: DataFrame, features: Sequence[str], stats: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -161,17 +125,15 @@ def widen(long: DataFrame, features: Sequence[str], stats: Sequence[str], keys:
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-                    name: str = "weighted_median", few_groups: bool = False) -> DataFrame:
+                    name: str = "weighted_median") -> DataFrame:
     """First value in ascending order whose cumulative weight reaches half of the group's total.
 
-    ``few_groups`` states that the groups are few and known (or none): the searched bins are then
-    broadcast and the rows are not shuffled.
+    The weights of equal values add up first; bins narrow as in ``select_ranks``.
     """
     keys = list(keys)
-    small = F.broadcast if few_groups or not keys else (lambda frame: frame)
-    base = df.where(present(value) & present(weight)).select(
-        *keys, F.col(value).cast("double").alias("__x"), F.col(weight).alias("__w"))
-    base = base.withColumn("__fine", order_code("__x")).withColumn("__coarse", F.shiftright("__fine", COARSE_SHIFT))
+    values = df.where(present(value) & present(weight)).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(
+        F.sum(weight).alias("cnt"))
+    values = values.withColumn("__bin", F.shiftright(order_code("__x"), BIN_SHIFT))
 
     def first_reaching(counts: DataFrame, group: list[str], order: str, more: Sequence[str] = ()) -> DataFrame:
         w = _running(group, order)
@@ -184,19 +146,12 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
             F.min_by(F.struct(order, (F.col("upto") - F.col("cnt")).alias("base"), "half", *more), order).alias("s"))
         return chosen.select(*group, "s.*")
 
-    coarse = base.groupBy(*keys, "__coarse").agg(F.sum("__w").alias("cnt"))
-    coarse = coarse.withColumn("half", F.sum("cnt").over(Window.partitionBy(*keys)) / 2).withColumn("base", F.lit(0.0))
-    coarse = first_reaching(coarse, keys, "__coarse")
-    fine = _same(base, small(coarse), keys, ["__coarse"]).groupBy(*keys, "__coarse", "__fine").agg(
-        F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"),
-        F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    fine = first_reaching(fine, [*keys, "__coarse"], "__fine", ["lo", "hi"]).drop("__coarse")
-    values = _same(base, small(fine), keys, ["__fine"]).withColumn("__part", part_code("__x", "lo", "hi"))
-    values = values.groupBy(*keys, "__fine", "__part", "__x").agg(
-        F.sum("__w").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
-    parts = values.groupBy(*keys, "__fine", "__part").agg(
-        F.sum("cnt").alias("cnt"), F.first("base").alias("base"), F.first("half").alias("half"))
-    parts = first_reaching(parts, [*keys, "__fine"], "__part")
-    values = _same(values.drop("base", "half"), parts, keys, ["__fine", "__part"])
-    values = first_reaching(values, [*keys, "__fine", "__part"], "__x")
+    bins = values.groupBy(*keys, "__bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    bins = bins.withColumn("half", F.sum("cnt").over(Window.partitionBy(*keys)) / 2).withColumn("base", F.lit(0.0))
+    values = _same(values, first_reaching(bins, keys, "__bin", ["lo", "hi"]), keys, ["__bin"])
+    values = values.withColumn("__part", part_code("__x", "lo", "hi"))
+    parts = values.groupBy(*keys, "__bin", "__part").agg(F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "half")])
+    parts = first_reaching(parts, [*keys, "__bin"], "__part")
+    values = _same(values.drop("base", "half"), parts, keys, ["__bin", "__part"])
+    values = first_reaching(values, [*keys, "__bin", "__part"], "__x")
     return values.groupBy(*keys).agg(F.max("__x").alias(name))

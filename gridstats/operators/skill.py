@@ -81,8 +81,8 @@ def aggregate_over_groups(per_group: DataFrame, metrics: Sequence[str] = METRICS
         F.avg("value").alias("unweighted_mean"), F.stddev_pop("value").alias("unweighted_std"),
         F.try_divide(F.sum(F.col("value") * F.col(weight)), F.sum(weight)).alias("weighted_mean"),
         F.count(F.lit(1)).alias("n_groups"))
-    q = exact_quantiles(long, ["metric"], "value", {"unweighted_median": 0.5, "p25": 0.25, "p75": 0.75}, hot_rows=0)
-    wm = weighted_median(long, ["metric"], "value", weight, few_groups=True)
+    q = exact_quantiles(long, ["metric"], "value", {"unweighted_median": 0.5, "p25": 0.25, "p75": 0.75})
+    wm = weighted_median(long, ["metric"], "value", weight)
     return plain.join(q.drop("n"), "metric").join(wm, "metric")
 
 

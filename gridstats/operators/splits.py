@@ -34,7 +34,7 @@ def draw_groups(groups: DataFrame, group: str, share: float, seed: int, stratum:
     """
     keys = [stratum] if stratum else []
     drawn = groups.withColumn("__u", draw(group, seed))
-    cut = select_ranks(drawn, keys, "__u", {"__cut": lambda n: F.ceil(n * F.lit(share)) - 1}, hot_rows=0).drop("n")
+    cut = select_ranks(drawn, keys, "__u", {"__cut": lambda n: F.ceil(n * F.lit(share)) - 1}).drop("n")
     if keys:
         # At most one row per stratum, and strata are few by construction.
         joined = drawn.join(F.broadcast(cut), keys, "left")
