@@ -6,18 +6,21 @@ caller; the rows stay in Spark throughout.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridstats.functions.columns import safe_ln
-from gridstats.operators.features import (apply_ordinal, apply_target_encoder, fit_imputer, fit_ordinal, fit_scaler,
-                                          fit_target_encoder, impute, scale)
-from gridstats.operators.quantiles import exact_median
+from gridstats.operators.features import (apply_one_hot_vector, apply_ordinal, apply_target_encoder, fit_imputer, fit_ordinal,
+                                          fit_scaler, fit_target_encoder, high_missing, impute, one_hot_width, scale)
+from gridstats.operators.neighbours import knn_impute
+from gridstats.operators.quantiles import exact_median, feature_quantiles, widen
 from gridstats.operators.skill import skill_metrics
+from gridstats.operators.splits import group_folds
 from gridstats.operators.uncertainty import conformal_radii, log_intervals, percent, radii_row
 from gridstats.operators.scalars import attach_scalars
 from gridstats.session import checkpoint_dir, cut_lineage
@@ -33,43 +36,95 @@ class BoostingConfig:
     seed: int = 42
 
 
+ENCODINGS = ("target", "ordinal", "onehot")
+ROW = "__row"
+
+
 @dataclass
 class FittedFeatures:
-    """Parameters learned on training rows: two one-row frames and one table per category."""
+    """Parameters learned on training rows: two one-row frames and one table per category.
+
+    ``donors`` holds the numeric training rows when gaps are filled from neighbours; ``widths`` the
+    slots of one-hot vectors.
+    """
 
     numeric: list[str]
     fills: DataFrame
     scaling: DataFrame
     encoders: dict[str, DataFrame] = field(default_factory=dict)
     strategy: dict[str, str] = field(default_factory=dict)
+    donors: DataFrame | None = None
+    widths: dict[str, int] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
         return self.numeric + [f"{c}_encoded" for c in self.encoders]
 
+    def fill(self, df: DataFrame) -> DataFrame:
+        if self.donors is None:
+            return impute(df, self.fills, self.numeric)
+        # Row numbers must not change between the branches of the search.
+        rows = cut_lineage(df.withColumn(ROW, F.monotonically_increasing_id()))
+        return knn_impute(self.donors, rows, self.numeric, ROW).drop(ROW)
+
     def apply(self, df: DataFrame) -> DataFrame:
-        out = scale(impute(df, self.fills, self.numeric), self.scaling, self.numeric)
+        out = scale(self.fill(df), self.scaling, self.numeric)
         for c, table in self.encoders.items():
-            encode = apply_target_encoder if self.strategy[c] == "target" else apply_ordinal
-            out = encode(out, table, c, f"{c}_encoded")
+            name = f"{c}_encoded"
+            match self.strategy[c]:
+                case "target":
+                    out = apply_target_encoder(out, table, c, name)
+                case "ordinal":
+                    out = apply_ordinal(out, table, c, name)
+                case "onehot":
+                    out = apply_one_hot_vector(out, table, c, name, self.widths[name])
         return out
 
+    def save(self, path: str) -> None:
+        """All parameters under a folder that the cluster shares."""
+        tables = {"fills": self.fills, "scaling": self.scaling, **{f"encoder_{i}": t for i, t in enumerate(self.encoders.values())}}
+        if self.donors is not None:
+            tables["donors"] = self.donors
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        settings = {"numeric": self.numeric, "categories": list(self.encoders), "strategy": self.strategy,
+                    "widths": self.widths, "donors": self.donors is not None}
+        one = self.fills.sparkSession.range(1).select(F.lit(json.dumps(settings)))
+        one.write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedFeatures:
+        settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
+
+        def table(name: str) -> DataFrame:
+            return spark.read.parquet(f"{path}/{name}")
+
+        return cls(settings["numeric"], table("fills"), table("scaling"),
+                   {c: table(f"encoder_{i}") for i, c in enumerate(settings["categories"])},
+                   settings["strategy"], table("donors") if settings["donors"] else None, settings["widths"])
 
-def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Mapping[str, str], label: str) -> FittedFeatures:
+
+def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Mapping[str, str], label: str, *,
+                 gap_limit: float = 0.5) -> FittedFeatures:
     """Fit imputation, scaling and encodings on training rows only; the small results are materialised.
 
-    ``train`` is read about ten times: pass a stored or checkpointed frame.
+    When any numeric feature lacks more than ``gap_limit`` of its values, gaps are filled from
+    neighbours, else by mean or median. ``train`` is read about ten times: pass a stored or
+    checkpointed frame.
     """
-    if unknown := set(categorical.values()) - {"target", "ordinal"}:
-        raise ValueError(f"unknown encodings {sorted(unknown)}; use target or ordinal")
+    if unknown := set(categorical.values()) - set(ENCODINGS):
+        raise ValueError(f"unknown encodings {sorted(unknown)}; use one of {ENCODINGS}")
     numeric = list(numeric)
-    fills = cut_lineage(fit_imputer(train, numeric))
-    filled = impute(train, fills, numeric)
-    scaling = cut_lineage(fit_scaler(filled, numeric))
-    encoders = {}
+    fitted = FittedFeatures(numeric, cut_lineage(fit_imputer(train, numeric)), None, strategy=dict(categorical))
+    if high_missing(train, numeric, gap_limit).first()["high_missing"]:
+        fitted.donors = cut_lineage(train.select(*numeric, F.monotonically_increasing_id().alias(ROW)))
+    filled = fitted.fill(train)
+    fitted.scaling = cut_lineage(fit_scaler(filled if fitted.donors is None else cut_lineage(filled), numeric))
     for c, how in categorical.items():
-        encoders[c] = cut_lineage(fit_target_encoder(train, c, label) if how == "target" else fit_ordinal(train, c))
-    return FittedFeatures(numeric, fills, scaling, encoders, dict(categorical))
+        fitted.encoders[c] = cut_lineage(fit_target_encoder(train, c, label) if how == "target" else fit_ordinal(train, c))
+        if how == "onehot":
+            fitted.widths[f"{c}_encoded"] = one_hot_width(fitted.encoders[c])
+    return fitted
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,8 +143,14 @@ def score(model: GBTRegressionModel, df: DataFrame, features: Sequence[str], nam
     return model.transform(assemble(df, features)).withColumnRenamed("prediction", name).drop("features")
 
 
-def importances(model: GBTRegressionModel, features: Sequence[str]) -> list[tuple[str, float]]:
-    return [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+def importances(model: GBTRegressionModel, features: Sequence[str], widths: Mapping[str, int] | None = None) -> list[tuple[str, float]]:
+    """Importance per feature column; that of a vector column is the sum over its slots."""
+    slots, at, out = model.featureImportances.toArray(), 0, []
+    for f in features:
+        width = max(1, (widths or {}).get(f, 1))
+        out.append((f, float(slots[at:at + width].sum())))
+        at += width
+    return out
 
 
 def importance_rollup(folds: DataFrame, parents: DataFrame | None = None) -> DataFrame:
@@ -108,7 +169,7 @@ def importance_rollup(folds: DataFrame, parents: DataFrame | None = None) -> Dat
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: str, k: int, config: BoostingConfig,
-                   *, fold: str = "fold", min_group: int = 10) -> tuple[DataFrame, DataFrame]:
+                   *, fold: str = "fold", min_group: int = 10, widths: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Per-fold skill on the original scale with the median group R2, and per-fold importances."""
     rows, imps = None, []
     for i in range(k):
@@ -120,47 +181,89 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: st
         typical = exact_median(per_group, [], "r2", "group_median_r2").drop("n").agg(F.max("group_median_r2").alias("v"))
         metrics = attach_scalars(metrics, typical, "g").withColumn("group_median_r2", F.col("g.v")).drop("g")
         rows = metrics if rows is None else rows.unionByName(metrics)
-        imps += [(f, i, v) for f, v in importances(model, features)]
+        imps += [(f, i, v) for f, v in importances(model, features, widths)]
     return rows, df.sparkSession.createDataFrame(imps, "feature string, fold int, importance double")
 
 
 def eliminate_features(df: DataFrame, features: Sequence[str], label: str, k: int, config: BoostingConfig, *,
-                       step: int = 3, minimum: int = 10, fold: str = "fold") -> tuple[list[str], DataFrame]:
-    """Drop the least important features step by step; keep the subset with the best grouped CV R2."""
-    current, trail = list(features), []
-    while True:
-        scores = []
-        for i in range(k):
-            model = fit_boosted(df.where(F.col(fold) != i), current, label, config)
-            held = score(model, df.where(F.col(fold) == i), current)
-            scores.append(held.agg((1 - F.avg(F.pow(F.col(label) - F.col("log_prediction"), 2.0)) / F.var_pop(label)).alias("r2")).first()["r2"])
-        mean = sum(scores) / k
-        spread = (sum((s - mean) ** 2 for s in scores) / k) ** 0.5
-        trail.append((len(current), mean, spread, list(current)))
-        if len(current) <= minimum:
-            break
-        ranked = sorted(importances(fit_boosted(df, current, label, config), current), key=lambda p: (p[1], p[0]))
-        dropped = {f for f, _ in ranked[:min(step, len(current) - minimum)]}
-        current = [f for f in current if f not in dropped]
-    best = max(trail, key=lambda t: (t[1], -t[0]))
-    table = df.sparkSession.createDataFrame(trail, "n_features int, cv_mean double, cv_std double, features array<string>")
-    return best[3], table.withColumn("selected", F.col("n_features") == best[0])
+                       always: Sequence[str] = (), step: int = 3, minimum: int = 10,
+                       fold: str = "fold") -> tuple[list[str], DataFrame, GBTRegressionModel]:
+    """Survivors of a stepwise elimination, its scores, and the model refitted on the survivors.
+
+    In each fold the features are ranked and dropped on its training rows alone and every subset is
+    scored on the held-out rows. The number of features with the best mean R2 (the smaller of equals)
+    is then reached by the same elimination on all rows. ``always`` joins in the refit only.
+    """
+
+    def without_least(model: GBTRegressionModel, current: list[str], down_to: int) -> list[str]:
+        ranked = sorted(importances(model, current), key=lambda p: (p[1], p[0]))
+        dropped = {f for f, _ in ranked[:min(step, len(current) - down_to)]}
+        return [f for f in current if f not in dropped]
+
+    scores: dict[int, list[float]] = {}
+    for i in range(k):
+        train, held, current = df.where(F.col(fold) != i), df.where(F.col(fold) == i), list(features)
+        while True:
+            model = fit_boosted(train, current, label, config)
+            error = F.avg(F.pow(F.col(label) - F.col("log_prediction"), 2.0))
+            r2 = score(model, held, current).agg((1 - F.try_divide(error, F.var_pop(label))).alias("r2")).first()["r2"]
+            scores.setdefault(len(current), []).append(float("-inf") if r2 is None else r2)
+            if len(current) <= minimum:
+                break
+            current = without_least(model, current, minimum)
+    trail = []
+    for n, found in scores.items():
+        mean = sum(found) / k
+        trail.append((n, mean, (sum((s - mean) ** 2 for s in found) / k) ** 0.5))
+    best = max(trail, key=lambda t: (t[1], -t[0]))[0]
+    kept = list(features)
+    while len(kept) > best:
+        kept = without_least(fit_boosted(df, kept, label, config), kept, best)
+    table = df.sparkSession.createDataFrame(trail, "n_features int, cv_mean double, cv_std double")
+    return kept, table.withColumn("selected", F.col("n_features") == best), fit_boosted(df, [*kept, *always], label, config)
+
+
+GROUP_METRICS = ("r2", "rmsle", "kge", "nse", "relative_error", "mape")
+
+
+def group_rollup(scored: DataFrame, group: str, min_n: int = 10) -> DataFrame:
+    """One row: number of groups, and mean, median and quartiles over groups of each metric."""
+    per_group = cut_lineage(skill_metrics(scored, "actual", "predicted", [group], min_n).select(*GROUP_METRICS))
+    q = feature_quantiles(per_group, GROUP_METRICS, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    q = widen(q, GROUP_METRICS, ["p25", "median", "p75"])
+    means = per_group.agg(F.count(F.lit(1)).alias("n_groups"), *[F.avg(m).alias(f"group_{m}_mean") for m in GROUP_METRICS])
+    return attach_scalars(means, q, "q").select(
+        *means.columns, *[F.col(f"q.{m}__{s}").alias(f"group_{m}_{s}") for m in GROUP_METRICS for s in ("p25", "median", "p75")])
 
 
 def ablate(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Mapping[str, str], label: str,
-           conditions: Mapping[str, Sequence[str]], config: BoostingConfig) -> DataFrame:
-    """Refit without each feature group on one shared split; test skill per condition, FULL first."""
+           conditions: Mapping[str, Sequence[str]], config: BoostingConfig, *, group: str, k: int = 5,
+           min_group: int = 10) -> DataFrame:
+    """Refit without each feature group on one shared split, FULL first: one row per condition with
+    test skill, ``train_`` skill, R2 over grouped folds and the roll-up of skill per test group."""
     train, test = cut_lineage(train), cut_lineage(test)
     out = None
     for name, removed in {"FULL": [], **conditions}.items():
         kept = [f for f in numeric if f not in removed]
         cats = {c: s for c, s in categorical.items() if c not in removed}
         fitted = fit_features(train, kept, cats, label)
-        model = fit_boosted(fitted.apply(train), fitted.names, label, config)
-        scored = score(model, fitted.apply(test), fitted.names)
-        scored = scored.select(F.exp(label).alias("actual"), F.exp("log_prediction").alias("predicted"))
-        row = skill_metrics(scored, "actual", "predicted").withColumns({
-            "condition": F.lit(name), "n_features": F.lit(len(fitted.names))})
+        ready = cut_lineage(group_folds(fitted.apply(train), group, k))
+        model = fit_boosted(ready, fitted.names, label, config)
+
+        def scored(rows: DataFrame) -> DataFrame:
+            found = score(model, rows, fitted.names)  # noqa: B023
+            return found.select(group, F.exp(label).alias("actual"), F.exp("log_prediction").alias("predicted"))
+
+        held = cut_lineage(scored(fitted.apply(test)))
+        folds, _ = cross_validate(ready, fitted.names, label, group, k, config, min_group=min_group, widths=fitted.widths)
+        seen = skill_metrics(scored(ready), "actual", "predicted")
+        row = skill_metrics(held, "actual", "predicted").withColumns({
+            "condition": F.lit(name), "n_features": F.lit(sum(max(1, fitted.widths.get(f, 1)) for f in fitted.names))})
+        for part in (seen.select(*[F.col(c).alias(f"train_{c}") for c in seen.columns]),
+                     folds.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std")),
+                     group_rollup(held, group, min_group)):
+            row = attach_scalars(row, part, "__s").select("*", "__s.*").drop("__s")
+        row = cut_lineage(row)
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridstats.functions.columns import cyclic, missing_label, season_of
@@ -173,15 +174,13 @@ def apply_target_encoder(df: DataFrame, encoder: DataFrame, column: str, name: s
     return joined.withColumn(name, F.coalesce(F.col(name), prior))
 
 
-MAX_ONE_HOT = 1000
-
-
 def one_hot_levels(train: DataFrame, column: str) -> list[str]:
-    """Sorted categories that become columns (the first one is the reference level)."""
-    found = [r[0] for r in categories(train, column).limit(MAX_ONE_HOT + 1).collect()]
-    if len(found) > MAX_ONE_HOT:
-        raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories; use the target encoding")
-    return sorted(found)
+    """Sorted categories that become named columns (the first one is the reference level).
+
+    Columns are part of the plan, so this form suits categories that are few; the vector form below
+    keeps the categories in a table, whatever their number.
+    """
+    return sorted(r[0] for r in categories(train, column).collect())
 
 
 def apply_one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
@@ -190,6 +189,23 @@ def apply_one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFram
     return df.withColumns({f"{column}_{v}": (text == v).cast("float") for v in levels[1:]})
 
 
+def one_hot_width(codes: DataFrame) -> int:
+    """Slots of the vector form: all categories but the first."""
+    return max(0, codes.count() - 1)
+
+
+def apply_one_hot_vector(df: DataFrame, codes: DataFrame, column: str, name: str, width: int) -> DataFrame:
+    """Sparse 0/1 vector from ordinal ``codes``: all zero for the first and for unknown categories."""
+    coded = apply_ordinal(df, codes, column, "__at")
+    if width == 0:
+        return coded.drop("__at").withColumn(name, F.lit(0.0))
+    slots = codes.where("code > 0").select((F.col("code") - 1).cast("double").alias("__slot"))
+    # An index beyond the last slot counts as invalid, and the slot of invalid values is the one dropped.
+    encoder = OneHotEncoder(inputCols=["__slot"], outputCols=[name], handleInvalid="keep", dropLast=True).fit(slots)
+    slot = F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(width).cast("double")
+    return encoder.transform(coded.withColumn("__slot", slot)).drop("__at", "__slot")
+
+
 # --- month columns --------------------------------------------------------------------
 
 

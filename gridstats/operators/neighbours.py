@@ -2,6 +2,7 @@
 
 1. Copies of a vector collapse to one row with its first few ids, so copies never meet each other.
 2. Distinct vectors go to the cell of their nearest pivot; a large cell is split into blocks by hash.
+   Pivots grow with the data, one per block up to the square root of the number of vectors.
 3. A query vector first visits one block of its own cell. The k-th distance found bounds the search.
 4. The triangle inequality rules out cells too far from a vector to hold anything closer; a vector
    visits only the blocks of the remaining cells, each pair of blocks being one bounded task.
@@ -24,8 +25,6 @@ from gridstats.operators.scalars import attach_scalars
 from gridstats.session import cut_lineage
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 1024
-FOUND = "vec array<double>, best array<struct<dist:double,id:bigint>>"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -45,18 +44,20 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> lis
     """Per query the k closest (distance, id); each vector may stand for several ids."""
     dist = _distances(queries, vectors)
     width = min(k, dist.shape[1])
+    kth = np.partition(dist, width - 1, axis=1)[:, width - 1]
+    at, near = np.nonzero(dist <= kth[:, None])
+    ends = np.searchsorted(at, np.arange(len(dist) + 1))
     found = []
-    for row in dist:
-        kth = np.partition(row, width - 1)[width - 1]
-        near = np.flatnonzero(row <= kth)
-        pairs = sorted((float(row[j]), int(i)) for j in near for i in ids[j])[:k]
+    for q in range(len(dist)):
+        columns = near[ends[q]:ends[q + 1]]
+        pairs = sorted((d, i) for d, j in zip(dist[q, columns].tolist(), columns.tolist()) for i in ids[j])[:k]
         found.append([{"dist": d, "id": i} for d, i in pairs])
     return found
 
 
 def _distinct_vectors(df: DataFrame, vec: Column, row_id: str | None, k: int) -> DataFrame:
     """vec, ids: each distinct vector with its first k + 1 ids (only those can be among k neighbours)."""
-    base = df.select(vec.alias("vec"), *([F.col(row_id).cast("bigint").alias("id")] if row_id else []))
+    base = df.select(vec.alias("vec"), *([F.col(row_id).alias("id")] if row_id else []))
     base = base.where(F.col("vec").isNotNull())
     if row_id is None:
         counts = base.groupBy("vec").agg(F.count(F.lit(1)).alias("n"))
@@ -67,15 +68,17 @@ def _distinct_vectors(df: DataFrame, vec: Column, row_id: str | None, k: int) ->
     return first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, max_pivots: int) -> DataFrame:
+def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, max_pivots: int | None) -> DataFrame:
     """vec -> best: the ``want`` closest (distance, id) among all donors, per distinct query vector.
 
     ``queries`` holds distinct ``vec``; ``donors`` distinct ``vec`` with their ``ids``,
     already materialised.
     """
     n = donors.count()
-    cells = max(1, min(max_pivots, math.ceil(n / block_rows)))
-    # At most max_pivots vectors come to the driver, whatever the size of the data.
+    kind = donors.schema["ids"].dataType.elementType.simpleString()
+    found_schema = f"vec array<double>, best array<struct<dist:double,id:{kind}>>"
+    cells = max(1, min(math.isqrt(n) if max_pivots is None else max_pivots, math.ceil(n / block_rows)))
+    # A square root of the vectors at most comes to the driver.
     pivots = [r["vec"] for r in donors.orderBy(F.xxhash64("vec"), "vec").limit(cells).select("vec").collect()]
     pivot_matrix = np.array(pivots, dtype=np.float64).reshape(len(pivots), -1)
 
@@ -86,7 +89,7 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
         return pd.DataFrame({"cell": at.astype("int32"), "dist": d[np.arange(len(d)), at]})
 
     def blocks_of(side: DataFrame, sizes: DataFrame) -> DataFrame:
-        # One row per pivot: at most max_pivots rows.
+        # One row per pivot.
         split = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
         return side.join(split, "cell").withColumn("block", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("blocks")).cast("int"))
 
@@ -107,7 +110,7 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"vec": [], "best": []})
-        best = _nearest(_matrix(left["vec"]), _matrix(right["t_vec"]), right["t_ids"].tolist(), want)
+        best = _nearest(_matrix(left["vec"]), _matrix(right["t_vec"]), [ids.tolist() for ids in right["t_ids"]], want)
         return pd.DataFrame({"vec": left["vec"], "best": best})
 
     def visit(visits: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
         pairs = visits.select(*[F.col(c).alias(f"p_{c}") for c in group]).distinct()
         members = pairs.join(targets, ["p_t_cell", "p_t_block"])
         return visits.select("vec", *group).groupBy(*group).cogroup(
-            members.groupBy(*[f"p_{c}" for c in group])).applyInPandas(across, FOUND)
+            members.groupBy(*[f"p_{c}" for c in group])).applyInPandas(across, found_schema)
 
     local = visit(first)
     if len(known) == 1 and next(iter(known.values()))["n"] <= block_rows:
@@ -143,7 +146,7 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
 
 
 def knn_join(df: DataFrame, row_id: str, vec: str, k: int = 5, *, block_rows: int = BLOCK_ROWS,
-             max_pivots: int = MAX_PIVOTS) -> DataFrame:
+             max_pivots: int | None = None) -> DataFrame:
     """k nearest other rows per row: (id, rank, neighbour, distance); ties go to the smaller id."""
     v = F.col(vec).cast("array<double>")
     vectors = cut_lineage(_distinct_vectors(df, v, row_id, k))
@@ -155,7 +158,7 @@ def knn_join(df: DataFrame, row_id: str, vec: str, k: int = 5, *, block_rows: in
 
 
 def mean_neighbour_distance(df: DataFrame, features: list[str], k: int = 5, *, name: str = "mean_distance",
-                            block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                            block_rows: int = BLOCK_ROWS, max_pivots: int | None = None) -> DataFrame:
     """Rows without null features, with the mean distance to their k nearest other rows."""
     complete = df.dropna(subset=list(features))
     vec = F.array(*[F.col(f).cast("double") for f in features])
@@ -167,7 +170,7 @@ def mean_neighbour_distance(df: DataFrame, features: list[str], k: int = 5, *, n
 
 
 def isolation_filter(df: DataFrame, features: list[str], *, k: int = 5, share: float = 0.99,
-                     block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS, max_pivots: int | None = None) -> DataFrame:
     """Drop rows whose mean distance to k neighbours is beyond a quantile of all such distances."""
     scored = mean_neighbour_distance(df, features, k, name="__d", block_rows=block_rows, max_pivots=max_pivots)
     limit = exact_quantiles(scored, [], "__d", {"limit": share})
@@ -175,7 +178,7 @@ def isolation_filter(df: DataFrame, features: list[str], *, k: int = 5, share: f
 
 
 def knn_impute(train: DataFrame, df: DataFrame, features: list[str], row_id: str, k: int = 5, *,
-               block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, max_pivots: int | None = None) -> DataFrame:
     """Fill nulls by the distance-weighted mean of the k nearest training rows that have the value.
 
     Distances use the features both rows have, scaled up by the share of features used. Rows fall

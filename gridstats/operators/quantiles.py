@@ -64,19 +64,19 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[
     named = {name: rank(F.col("total")).cast("bigint") for name, rank in ranks.items()}
     base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
     values = base.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("cnt"))
-    values = values.withColumn("__bin", F.shiftright(order_code("__x"), BIN_SHIFT))
+    values = values.withColumn("__order_bin", F.shiftright(order_code("__x"), BIN_SHIFT))
 
-    bins = values.groupBy(*keys, "__bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    bins = values.groupBy(*keys, "__order_bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     bins = bins.withColumn("total", F.sum("cnt").over(Window.partitionBy(*keys)))
     bins = bins.withColumns({"base": F.lit(0).cast("bigint"), "wanted": F.array_distinct(F.array(*named.values()))})
-    values = _same(values, _narrow(bins, keys, "__bin", ["lo", "hi"]), keys, ["__bin"])
+    values = _same(values, _narrow(bins, keys, "__order_bin", ["lo", "hi"]), keys, ["__order_bin"])
 
-    values = values.withColumn("__part", part_code("__x", "lo", "hi"))
-    parts = values.groupBy(*keys, "__bin", "__part").agg(
+    values = values.withColumn("__order_part", part_code("__x", "lo", "hi"))
+    parts = values.groupBy(*keys, "__order_bin", "__order_part").agg(
         F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    parts = _narrow(parts, [*keys, "__bin"], "__part")
-    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__bin", "__part"])
-    values = _narrow(values, [*keys, "__bin", "__part"], "__x")
+    parts = _narrow(parts, [*keys, "__order_bin"], "__order_part")
+    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__order_bin", "__order_part"])
+    values = _narrow(values, [*keys, "__order_bin", "__order_part"], "__x")
 
     found = values.select(*keys, "total", "__x", F.explode("wanted").alias("rank"))
     found = found.select("*", *[expr.alias(f"__r_{name}") for name, expr in named.items()])
@@ -133,7 +133,7 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     keys = list(keys)
     values = df.where(present(value) & present(weight)).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(
         F.sum(weight).alias("cnt"))
-    values = values.withColumn("__bin", F.shiftright(order_code("__x"), BIN_SHIFT))
+    values = values.withColumn("__order_bin", F.shiftright(order_code("__x"), BIN_SHIFT))
 
     def first_reaching(counts: DataFrame, group: list[str], order: str, more: Sequence[str] = ()) -> DataFrame:
         w = _running(group, order)
@@ -146,12 +146,12 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
             F.min_by(F.struct(order, (F.col("upto") - F.col("cnt")).alias("base"), "half", *more), order).alias("s"))
         return chosen.select(*group, "s.*")
 
-    bins = values.groupBy(*keys, "__bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    bins = values.groupBy(*keys, "__order_bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     bins = bins.withColumn("half", F.sum("cnt").over(Window.partitionBy(*keys)) / 2).withColumn("base", F.lit(0.0))
-    values = _same(values, first_reaching(bins, keys, "__bin", ["lo", "hi"]), keys, ["__bin"])
-    values = values.withColumn("__part", part_code("__x", "lo", "hi"))
-    parts = values.groupBy(*keys, "__bin", "__part").agg(F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "half")])
-    parts = first_reaching(parts, [*keys, "__bin"], "__part")
-    values = _same(values.drop("base", "half"), parts, keys, ["__bin", "__part"])
-    values = first_reaching(values, [*keys, "__bin", "__part"], "__x")
+    values = _same(values, first_reaching(bins, keys, "__order_bin", ["lo", "hi"]), keys, ["__order_bin"])
+    values = values.withColumn("__order_part", part_code("__x", "lo", "hi"))
+    parts = values.groupBy(*keys, "__order_bin", "__order_part").agg(F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "half")])
+    parts = first_reaching(parts, [*keys, "__order_bin"], "__order_part")
+    values = _same(values.drop("base", "half"), parts, keys, ["__order_bin", "__order_part"])
+    values = first_reaching(values, [*keys, "__order_bin", "__order_part"], "__x")
     return values.groupBy(*keys).agg(F.max("__x").alias(name))

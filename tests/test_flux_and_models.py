@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstats import catalog
-from gridstats.catalog import QUERIES
 from gridstats.operators import boosting, splits
 from gridstats.operators.skill import skill_metrics
 from gridstats.operators.summaries import histogram_2d, smooth_lattice
@@ -16,7 +15,6 @@ from gridstats.plans.flux import annual_flux, mean_over_years, monthly_flux, tot
 from gridstats.plans.training_table import training_table
 from gridstats.session import checkpoint_dir, cut_lineage
 
-SF_DIR = "/root/testdata/sf0.001"
 catalog.load()
 
 
@@ -131,21 +129,43 @@ def test_models_learn_and_cover(spark, learnable):
     scored = cut_lineage(boosting.score_with_intervals(model, fitted.apply(test), fitted.names, radii, (0.68, 0.9)))
     assert skill_metrics(scored, "y", "predicted").first()["r2"] > 0.6
     assert coverage(scored, "y", "predicted", "lower_90", "upper_90").first()["coverage"] == pytest.approx(0.9, abs=0.1)
-    results = boosting.ablate(train, test, ["a", "b"], {"kind": "target"}, "log_target", {"no_a": ["a"]}, config)
-    r2 = {r["condition"]: r["r2"] for r in results.collect()}
-    assert r2["no_a"] < r2["FULL"] - 0.2
-    kept, trail = boosting.eliminate_features(cut_lineage(splits.group_folds(ready, "g", 2)), fitted.names, "log_target", 2,
+    results = boosting.ablate(train, test, ["a", "b"], {"kind": "target"}, "log_target", {"no_a": ["a"]}, config, group="g", k=2)
+    rows = {r["condition"]: r for r in results.collect()}
+    assert rows["no_a"]["r2"] < rows["FULL"]["r2"] - 0.2 and rows["no_a"]["cv_r2_mean"] < rows["FULL"]["cv_r2_mean"]
+    assert rows["FULL"]["train_r2"] > 0.6 and rows["FULL"]["n_groups"] == test.select("g").distinct().count()
+    assert rows["FULL"]["group_r2_p25"] <= rows["FULL"]["group_r2_median"] <= rows["FULL"]["group_r2_p75"]
+    kept, trail, refitted = boosting.eliminate_features(cut_lineage(splits.group_folds(ready, "g", 2)), fitted.names, "log_target", 2,
                                               boosting.BoostingConfig(trees=2, depth=3, rate=0.5), step=1, minimum=2)
-    assert "a" in kept and trail.where("selected").count() == 1
-
-
-@pytest.mark.parametrize("name", ["fitted_model_round_trip", "partitioned_scoring"])
-def test_model_queries(spark, name):
-    rows = [r.asDict() for r in QUERIES[name](spark, SF_DIR).collect()]
-    if name == "fitted_model_round_trip":
-        assert rows[0]["largest_difference"] == 0
-    else:
-        assert all(r["lower_90"] <= r["predicted"] <= r["upper_90"] for r in rows)
+    assert "a" in kept and trail.where("selected").count() == 1 and refitted.numFeatures == len(kept)
+
+
+def test_encodings_and_gaps(spark, tmp_path):
+    rows = [(i, float(i % 7) if i % 10 < 4 else None, float(i), ["b", None, "a", "z"][i % 4], float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, kind string, y double")
+    with pytest.raises(ValueError, match="unknown encodings"):
+        boosting.fit_features(df, ["a", "b"], {"kind": "other"}, "y")
+    fitted = boosting.fit_features(df, ["a", "b"], {"kind": "onehot"}, "y")
+    assert fitted.donors is not None and fitted.widths == {"kind_encoded": 3}
+    filled = {r["id"]: r["a"] for r in fitted.fill(df).collect()}
+    have = [(r[0], r[1], r[2]) for r in rows if r[1] is not None]
+    for i, a, b, *_ in rows:
+        if a is None:
+            near = sorted((abs(x - b), n, v) for n, v, x in have)[:5]
+            want = sum(v / d for d, _, v in near) / sum(1 / d for d, _, _ in near)
+            assert filled[i] == pytest.approx(want) or near[4][0] == sorted(abs(x - b) for _, _, x in have)[5]
+        else:
+            assert filled[i] == a
+    # Sorted categories are Missing, a, b, z; the first one and unknown ones are all zero.
+    more = df.limit(0).unionByName(spark.createDataFrame([(1, 1.0, 1.0, k, 1.0) for k in (None, "a", "b", "z", "new")], df.schema))
+    got = {r["kind"]: r["kind_encoded"].toArray().tolist() for r in fitted.apply(more).collect()}
+    assert got == {None: [0, 0, 0], "a": [1, 0, 0], "b": [0, 1, 0], "z": [0, 0, 1], "new": [0, 0, 0]}
+    fitted.save(str(tmp_path / "fit"))
+    again = boosting.FittedFeatures.load(spark, str(tmp_path / "fit"))
+    assert again.names == fitted.names
+    assert sorted(map(str, again.apply(df).collect())) == sorted(map(str, fitted.apply(df).collect()))
+    model = boosting.fit_boosted(fitted.apply(df), fitted.names, "y", boosting.BoostingConfig(trees=2, depth=2))
+    shares = dict(boosting.importances(model, fitted.names, fitted.widths))
+    assert set(shares) == {"a", "b", "kind_encoded"} and sum(shares.values()) == pytest.approx(1.0)
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):

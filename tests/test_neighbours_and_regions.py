@@ -93,3 +93,9 @@ def test_points_in_polygons(spark, tile):
         assert got[i] == next((k for k in sorted(rings) if inside(x, y, rings[k])), None)
     masked = mask_outside(df, table, "x", x="x", y="y", tile=tile)
     assert masked.where("x is null").count() == sum(v is None for v in got.values())
+
+
+def test_neighbours_keep_text_ids(spark):
+    df = spark.createDataFrame([(f"s{i:02d}", [float(i), 0.0]) for i in range(30)], "name string, vec array<double>")
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in knn_join(df, "name", "vec", 2, block_rows=8).collect()}
+    assert got["s00", 1] == "s01" and got["s10", 1] == "s09" and got["s10", 2] == "s11"
