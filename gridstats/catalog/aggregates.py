@@ -170,7 +170,7 @@ def _(t):
     return exact_median(pairs, [], "r", "ratio")
 
 
-@query("importance_rollup", "A36 U4 O2", """
+@query("importance_rollup", "A36 U4", """
 with f as (select p_name as feature, p_size % 5 as fold, sum(p_retailprice) / 1e5 as importance from part group by all),
 s as (select feature, avg(importance) as m, stddev_pop(importance) as sd from f group by feature)
 select split_part(feature, ' ', 1) as source, round(sum(m), 6) as importance, round(sqrt(sum(sd * sd)), 6) as importance_std, count(*) as n_columns from s group by 1""")

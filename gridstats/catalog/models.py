@@ -15,6 +15,7 @@ from gridstats.operators.uncertainty import coverage, percent
 from gridstats.plans.scoring import model_input, score_grid, static_by_month
 from gridstats.session import cut_lineage
 from gridstats.sources.writers import load_fitted, save_fitted, write_partitions
+from gridstats.streaming import incremental
 
 LEVELS = (0.68, 0.90, 0.95)
 CONFIG = b.BoostingConfig(trees=8, depth=4, rate=0.3)
@@ -159,3 +160,19 @@ def _(t):
     second = b.score(again, restored.apply(raw), restored.names, "second").select("line", "second")
     return first.join(second, "line", "left").agg(
         F.count_distinct("l_suppkey").alias("test_groups"), F.max(F.coalesce(F.abs(F.col("first") - F.col("second")), F.lit(float("inf")))).alias("largest_difference"))
+
+
+@query("incremental_model_scoring", "ST2 M17", """
+select year(l_shipdate)::int as year, count(*) as n, true as bounds_hold from lineitem join part on l_partkey = p_partkey where l_extendedprice > 0 group by 1""")
+def _(t):
+    """Lines land in two portions; a stream scores each with the model and its intervals, once."""
+    fitted, model, radii, _ = calibrated(t)
+    landing, out, state = t.scratch("landing"), t.scratch("scored"), t.scratch("state")
+    rows = lines(t).withColumn("year", F.year("l_shipdate"))
+    first = F.coalesce(F.col("year") < 1995, F.lit(False))
+    for portion in (first, ~first):
+        rows.where(portion).write.mode("append").parquet(landing)
+        stream = incremental.landed_stream(t.spark, landing, rows.schema)
+        incremental.finished(incremental.score_new(stream, lambda s: score_grid(s, fitted, model, radii, LEVELS, ["year"]), out, state, by=["year"]))
+    hold = (F.col("lower_95") <= F.col("lower_90")) & (F.col("lower_90") < F.col("predicted")) & (F.col("predicted") < F.col("upper_90")) & (F.col("upper_90") <= F.col("upper_95"))
+    return t.spark.read.parquet(out).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.bool_and(hold).alias("bounds_hold"))

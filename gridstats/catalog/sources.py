@@ -183,7 +183,7 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-@query("incremental_scoring", "ST2 M17", """
+@query("incremental_scoring", "ST2", """
 select l_returnflag, count(*) as n, round(sum(l_quantity * 2 + s_acctbal / 1e3) / 1e3, 6) as score from lineitem join supplier on l_suppkey = s_suppkey group by l_returnflag""")
 def _(t):
     landing, out, state = t.scratch("landing"), t.scratch("scored"), t.scratch("state")

@@ -89,7 +89,7 @@ def _(t):
     return ranking.spearman(t.part, ["p_type"], "p_size", "p_retailprice")
 
 
-@query("two_sample_distance", "A35 W6 O1", """
+@query("two_sample_distance", "A35 W6", """
 with m as (select l_returnflag = 'A' as side, unnest([{f: 'l_quantity', v: l_quantity}, {f: 'l_extendedprice', v: l_extendedprice}, {f: 'l_tax', v: l_tax}]) as u from lineitem where l_returnflag in ('A', 'R')),
 d as (select u.f as feature, u.v as v, count(*) filter (side) as a, count(*) filter (not side) as b from m group by all),
 w as (select feature, sum(a) over o as ca, sum(b) over o as cb, sum(a) over (partition by feature) as na, sum(b) over (partition by feature) as nb from d window o as (partition by feature order by v)),

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.columns import ColumnLike, col, ratio
 from gridstats.functions.units import Z_90, Z_95
-from gridstats.operators.quantiles import exact_quantiles, select_ranks
+from gridstats.operators.quantiles import exact_quantiles, feature_quantiles, select_ranks, widen
 from gridstats.operators.scalars import attach_scalars
+from gridstats.session import cut_lineage
 
 
 def half_width(low: ColumnLike, high: ColumnLike) -> Column:
@@ -119,20 +120,22 @@ def radius_span(radius: ColumnLike) -> dict[str, Column]:
 
 
 def coverage(df: DataFrame, actual: str, predicted: str, low: str, high: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of truths inside the bounds, misses, median width and median relative width."""
-    keys = list(keys)
-    base = df.select(
+    """Share of truths inside the bounds, misses, median width and median relative width.
+
+    The scored rows are stored once, since shares and medians both read them.
+    """
+    keys, widths = list(keys), ["__w", "__rw"]
+    base = cut_lineage(df.select(
         *keys, F.col(actual).between(F.col(low), F.col(high)).alias("__in"),
         (F.col(high) - F.col(low)).alias("__w"),
-        F.try_divide(F.col(high) - F.col(low), F.col(predicted)).alias("__rw"))
+        F.try_divide(F.col(high) - F.col(low), F.col(predicted)).alias("__rw")))
     share = base.groupBy(*keys).agg(
         F.count("__in").alias("n"), F.avg(F.col("__in").cast("double")).alias("coverage"), F.count_if(~F.col("__in")).alias("n_missed"))
-    w = exact_quantiles(base, keys, "__w", {"median_width": 0.5}).drop("n")
-    rw = exact_quantiles(base, keys, "__rw", {"median_relative_width": 0.5}).drop("n")
+    medians = widen(feature_quantiles(base, widths, {"median": 0.5}, keys), widths, ["median"], keys)
+    medians = medians.withColumnsRenamed({"__w__median": "median_width", "__rw__median": "median_relative_width"})
     if keys:
-        return share.join(w, keys).join(rw, keys)
-    out = attach_scalars(attach_scalars(share, w, "__a"), rw, "__b")
-    return out.select("n", "coverage", "n_missed", "__a.median_width", "__b.median_relative_width")
+        return share.join(medians, keys)
+    return attach_scalars(share, medians, "__m").select("n", "coverage", "n_missed", "__m.*")
 
 
 def residual_summary(df: DataFrame, residual: str) -> DataFrame:

@@ -12,6 +12,7 @@ from gridstats.functions.units import (SECONDS_PER_YEAR, TERAGRAM_PER_GRAM, ZERO
 from gridstats.operators.quantiles import exact_median
 from gridstats.operators.summaries import pivot_fixed, share_of_true, two_level_mean
 from gridstats.operators.uncertainty import ratio_with_bounds
+from gridstats.session import cut_lineage
 
 # Published coefficient and error tables.
 DRYING = [  # stream order, then a, b, c of the drying share and d, e, f of the dry time
@@ -122,7 +123,7 @@ def calibration_error(reaches: DataFrame, calibration: DataFrame, water: DataFra
     fit = calibration.join(water, "outer", "left").withColumn("water_c", F.coalesce("water_c", F.lit(default_c)))
     fit = fit.withColumns({"delta_ppm": misfit_to_ppm("fitness"), "solubility": solubility("water_c")})
     fit = fit.withColumn("delta_g_m3", ppm_to_g_per_m3("delta_ppm", "water_c")).drop("outer")
-    kept = prepared_reaches(reaches).where("kept")
+    kept = cut_lineage(prepared_reaches(reaches).where("kept").select("outer", "inner", "exchange", "area_m2"))
     exchange = exact_median(kept, ["outer", "inner"], "exchange", "exchange").drop("n")
     areas = kept.groupBy("outer", "inner").agg(F.sum("area_m2").alias("area_m2"))
     joined = areas.join(exchange, ["outer", "inner"], "left").join(fit, "inner", "left")
@@ -131,6 +132,7 @@ def calibration_error(reaches: DataFrame, calibration: DataFrame, water: DataFra
 
 
 def calibration_error_by_region(basins: DataFrame) -> DataFrame:
+    basins = cut_lineage(basins)
     median_delta = exact_median(basins, ["outer"], "delta_ppm", "median_delta_ppm").drop("n")
     sums = basins.groupBy("outer").agg(
         F.sum("error_tg").alias("error_tg"), F.count("inner").alias("n_inner"), F.avg("fitness").alias("mean_fitness"),
