@@ -54,6 +54,13 @@ def _(t):
     return wide.select("outer", *[(F.col(f"area_order_{m}") / 1e9).alias(f"area_order_{m}") for m in range(1, 12)])
 
 
+@query("reach_flux_by_order", "A15", SQL_REACHES + 'select o as "outer", ' + ", ".join(
+    f"round(coalesce(sum(flux) filter (ord = {m}), 0.0) / 1e9, 6) as flux_order_{m}" for m in range(1, 12)) + " from k group by o")
+def _(t):
+    wide = k.flux_by_order(reaches(t))
+    return wide.select("outer", *[(F.col(f"flux_order_{m}") / 1e9).alias(f"flux_order_{m}") for m in range(1, 12)])
+
+
 def climate(t):
     """Monthly means per region as pseudo climate."""
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -107,6 +107,12 @@ def reach_efflux(reaches: DataFrame) -> DataFrame:
         "river_share_pct": F.try_divide("river_flux_g", "flux_g") * 100})
 
 
+def flux_by_order(reaches: DataFrame) -> DataFrame:
+    """Flux per stream order 1..11, one zero-filled column each."""
+    kept = prepared_reaches(reaches).where("kept").where(F.col("order").isin(list(STREAM_ORDERS)))
+    return pivot_fixed(kept, ["outer"], "order", STREAM_ORDERS, F.sum("flux_g"), "flux_order_", 0.0)
+
+
 def area_by_order(reaches: DataFrame, wide: bool = True) -> DataFrame:
     """Area per stream order 1..11: one zero-filled column each, or long rows (outer, order, area_m2)."""
     kept = prepared_reaches(reaches).where("kept").where(F.col("order").isin(list(STREAM_ORDERS)))
