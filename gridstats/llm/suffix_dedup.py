@@ -1,18 +1,17 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes at minimisers.
 
-Suffixes start at words. Only those at minimisers are kept: in every window of consecutive ``SEED``-word
-seeds the one with the least hash, which depends on the content alone, so any two occurrences of a
-passage of ``LEAST`` words keep a suffix at the same place in it. Suffixes whose seed occurs in one
-document only go. The others are sorted by seed and following words over range partitions; each is
-compared with its neighbours in that order and matches are extended to the right and to the left. A
-match of ``LEAST`` words or more in another document marks the passage; overlapping matches join, so
-longer passages come out whole.
+In every window of ``LEAST`` words the ``SEED``-word seed with the least hash is its minimiser, which
+depends on the window's words alone. Windows that follow each other with the same minimiser are one
+span. Spans whose seed occurs in one document only go. Equal spans of several documents are shared
+whole. Where spans of one seed differ, one copy of each is taken apart and its windows, which are the
+(left, right) splits of ``LEAST`` words around the seed, are grouped by their hash; a window that
+another document holds marks its words. So any two occurrences of a window meet, however many
+documents share its seed. Marks that overlap join, so longer passages come out whole.
 
-Range bounds include the document, so a passage that very many documents share is split over tasks;
-the first and last suffixes of every task are compared across its bounds in a second small sort.
+A group is reduced to the least and greatest document that hold it, before the shuffle too, so neither
+a seed nor a passage of very many documents is gathered.
 
-Words are runs without ASCII white space, compared by 64-bit (seeds) and 32-bit (extension) hashes;
-each suffix travels with the words a match may need on either side. Null and short texts have no
+Words are runs without ASCII white space, compared by 64-bit hashes. Null and short texts have no
 passages. Repeated rows of one document are one document. An empty table gives no rows. Extra
 columns are not read.
 """
@@ -26,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridstats.llm.common import table
 from gridstats.session import cut_lineage
 
-LEAST, SEED, NEIGHBOURS = 50, 16, 4
+LEAST, SEED = 50, 16
 WINDOW = LEAST - SEED + 1
-SIDE = LEAST - SEED
-FIELDS = ("seed", "right", "left", "doc", "at")
-SCHEMA = "seed long, right binary, left binary, doc long, at int"
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of one frame that leaves a Python worker, about.
+FRAME = 200_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -39,128 +38,123 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, text.encode().split()), dtype=np.uint64)
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions and their seed hashes; none in texts shorter than a passage."""
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    out = a * MIX + (b if isinstance(b, np.ndarray) else np.uint64(b))
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32)
+
+
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seed hash, content hash, first window and number of windows of every span, and all window hashes."""
+    words = word_hashes(text)
     n = len(words) - SEED + 1
     if n < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        none = np.zeros(0, dtype=np.uint64)
+        return none, none, none.astype(np.int64), none.astype(np.int64), none
     seeds = np.zeros(n, dtype=np.uint64)
     for i in range(SEED):
-        seeds = seeds * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n]
-    seeds ^= seeds >> np.uint64(29)
-    seeds *= np.uint64(0xBF58476D1CE4E5B9)
-    seeds ^= seeds >> np.uint64(32)
-    kept = []
-    for lo in range(0, n - WINDOW + 1, 1 << 16):
+        seeds = seeds * MIX + words[i:i + n]
+    seeds = mixed(seeds, 0)
+    count = n - WINDOW + 1
+    least = []
+    for lo in range(0, count, 1 << 16):
         part = seeds[lo:min(n, lo + (1 << 16) + WINDOW - 1)]
-        kept.append(lo + np.arange(len(part) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(part, WINDOW).argmin(axis=1))
-    at = np.unique(np.concatenate(kept))
-    return at, seeds[at]
-
-
-def suffix_seeds(docs: DataFrame) -> DataFrame:
-    """``seed``, ``doc``, ``at`` of every kept suffix."""
+        least.append(lo + np.arange(len(part) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(part, WINDOW).argmin(axis=1))
+    at = np.concatenate(least)
+    # The seeds at these places cover all words of a window.
+    windows = seeds[:count]
+    for i in (SEED, 2 * SEED, LEAST - SEED):
+        windows = mixed(windows, seeds[i:i + count])
+    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    size = np.diff(np.append(lo, count))
+    # The first and the last window of a span overlap, so they cover all of its words.
+    whole = mixed(mixed(windows[lo], windows[lo + size - 1]), size.astype(np.uint64))
+    return seeds[at[lo]], whole, lo, size, windows
+
+
+def document_spans(docs: DataFrame) -> DataFrame:
+    """``seed``, ``span``, ``doc``, ``lo``, ``size`` of every span."""
+
+    def frame(parts):
+        seed, span, doc, lo, size = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"seed": seed.view(np.int64), "span": span.view(np.int64), "doc": doc, "lo": lo.astype(np.int32), "size": size.astype(np.int16)})
 
     def run(batches):
         for batch in batches:
-            found = [minimisers(word_hashes(t)) for t in batch["text"]]
-            yield pd.DataFrame({"seed": np.concatenate([s for _, s in found] or [np.zeros(0, dtype=np.uint64)]).view(np.int64),
-                                "doc": np.repeat(batch["doc"].to_numpy(np.int64), [len(a) for a, _ in found]),
-                                "at": np.concatenate([a for a, _ in found] or [np.zeros(0)]).astype(np.int32)})
+            parts, rows = [], 0
+            for doc, text in zip(batch["doc"], batch["text"]):
+                seed, span, lo, size, _ = spans(text)
+                parts.append((seed, span, np.full(len(seed), doc, dtype=np.int64), lo, size))
+                rows += len(seed)
+                if rows >= FRAME:
+                    yield frame(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield frame(parts)
 
-    return docs.mapInPandas(run, "seed long, doc long, at int")
+    return docs.mapInPandas(run, "seed long, span long, doc long, lo int, size short")
 
 
-def suffixes(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Suffixes at ``hits`` (``doc``, ``ats``) with the words around them."""
+def span_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``seed``, ``span``, ``k`` and ``window`` hash of every window of the ``wanted`` spans, with the
+    least and greatest document (``a``, ``b``) of the span. ``wanted`` names each span in one document."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text, ats in zip(batch["doc"], batch["text"], batch["ats"]):
-                wide = word_hashes(text)
-                words = (wide >> np.uint64(32)).astype(">u4")
-                backward, n = words[::-1], len(words)
-                at, seeds = minimisers(wide)
-                wanted = np.isin(at, ats)
-                for a, s in zip(at[wanted].tolist(), seeds[wanted].view(np.int64).tolist()):
-                    rows.append((s, words[a + SEED:a + SEED + SIDE].tobytes(), backward[n - a:n - a + SIDE].tobytes(), doc, a))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=FIELDS)
-                        rows = []
-            yield pd.DataFrame(rows, columns=FIELDS).astype({"seed": "int64", "doc": "int64", "at": "int32"})
-
-    return docs.join(hits, "doc").select("doc", "text", "ats").mapInPandas(run, SCHEMA)
-
-
-def common_words(a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
-    """Equal words at the start of rows of two hash matrices, up to the shorter length."""
-    differ = a != b
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-    return np.minimum(first, np.minimum(long_a, long_b))
-
-
-def padded(values) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(v.ljust(4 * SIDE, b"\0") for v in values), dtype=">u4").reshape(-1, SIDE)
-    return raw, np.array([len(v) // 4 for v in values], dtype=np.int64)
-
-
-def compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Passages of sorted suffixes from comparing neighbours: ``doc``, ``lo``, ``hi`` (words)."""
-    right, right_n = padded(rows["right"])
-    left, left_n = padded(rows["left"])
-    seed, doc, at = (rows[c].to_numpy(np.int64) for c in ("seed", "doc", "at"))
-    out = []
-    for step in range(1, NEIGHBOURS + 1):
-        if len(rows) <= step:
-            break
-        a, b = np.arange(len(rows) - step), np.arange(step, len(rows))
-        keep = (seed[a] == seed[b]) & (doc[a] != doc[b])
-        a, b = a[keep], b[keep]
-        more = common_words(right[a], right[b], right_n[a], right_n[b])
-        less = common_words(left[a], left[b], left_n[a], left_n[b])
-        long = more + less + SEED >= LEAST
-        for i in (a[long], b[long]):
-            out.append(np.stack([doc[i], at[i] - less[long], at[i] + SEED + more[long]], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
-    return pd.DataFrame(np.unique(found, axis=0), columns=["doc", "lo", "hi"])
-
-
-def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Passages found within each partition (``edge`` false), and its outer suffixes (``edge`` true)."""
+    def frame(parts):
+        seed, span, k, window, a, b = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"seed": seed.view(np.int64), "span": span.view(np.int64), "k": k.astype(np.int16), "window": window.view(np.int64), "a": a, "b": b})
 
     def run(batches):
-        first, held = None, None
         for batch in batches:
-            if not len(batch):
-                continue
-            first = batch.head(NEIGHBOURS) if first is None else first
-            joined = batch if held is None else pd.concat([held, batch])
-            yield compared(joined).assign(edge=False, seed=None, right=None, left=None, at=None)
-            held = joined.tail(NEIGHBOURS)
-        if first is not None:
-            for part in (first, held):
-                yield part.assign(lo=None, hi=None, edge=True)
-
-    def ordered(batches):
-        for frame in run(batches):
-            yield frame[["doc", "lo", "hi", "edge", "seed", "right", "left", "at"]].astype(
-                {"doc": "Int64", "lo": "Int64", "hi": "Int64", "seed": "Int64", "at": "Int32"})
-
-    return sorted_rows.mapInPandas(ordered, "doc long, lo long, hi long, edge boolean, seed long, right binary, left binary, at int")
+            parts, rows = [], 0
+            for text, names, a, b in zip(batch["text"], batch["spans"], batch["a"], batch["b"]):
+                seed, span, lo, size, windows = spans(text)
+                names = np.asarray(names, dtype=np.int64)
+                order = np.argsort(names)
+                names, a, b = names[order], np.asarray(a, dtype=np.int64)[order], np.asarray(b, dtype=np.int64)[order]
+                # A span may stand in the text more than once.
+                span_, first = np.unique(span.view(np.int64), return_index=True)
+                first = first[np.isin(span_, names)]
+                if not len(first):
+                    continue
+                size_ = size[first]
+                k = np.arange(size_.sum()) - np.repeat(np.cumsum(size_) - size_, size_)
+                owner = np.repeat(first, size_)
+                place = np.searchsorted(names, span[owner].view(np.int64))
+                parts.append((seed[owner], span[owner], k, windows[lo[owner] + k], a[place], b[place]))
+                rows += len(k)
+                if rows >= FRAME:
+                    yield frame(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield frame(parts)
+
+    held = wanted.groupBy(F.col("doc").alias("owner")).agg(F.collect_list(F.struct("span", "a", "b")).alias("w"))
+    dealt = docs.join(held, F.col("doc") == F.col("owner")).select("text", F.col("w.span").alias("spans"), F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    return dealt.mapInPandas(run, "seed long, span long, k short, window long, a long, b long")
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``lo``, ``hi``: words [lo, hi) of passages that other documents hold too."""
     held = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    seeds = cut_lineage(suffix_seeds(held))
-    shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(F.col("seed").alias("again"))
-    hits = seeds.join(cut_lineage(shared), F.col("seed") == F.col("again"), "left_semi").select("doc", "at").groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    rows = suffixes(held, hits)
-    found = cut_lineage(neighbours(rows.repartitionByRange("seed", "right", "doc", "at").sortWithinPartitions("seed", "right", "doc", "at")))
-    # A few suffixes per partition.
-    bounds = neighbours(found.where("edge").select(*FIELDS).distinct().repartitionByRange(1, "seed").sortWithinPartitions("seed", "right", "doc", "at"))
-    marks = found.where("not edge").unionByName(bounds.where("not edge")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("marks"))
+    every = cut_lineage(document_spans(held))
+    low, high = F.min("doc").alias("a"), F.max("doc").alias("b")
+    shared = every.groupBy("seed").agg(low, high).where("a < b").select(F.col("seed").alias("again"))
+    every = cut_lineage(every.join(cut_lineage(shared), F.col("seed") == F.col("again"), "left_semi"))
+    groups = cut_lineage(every.groupBy("seed", "span", "size").agg(low, high))
+    mixed_seeds = groups.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("again"))
+    wanted = groups.join(mixed_seeds, F.col("seed") == F.col("again"), "left_semi").withColumn("doc", F.col("a"))
+    windows = cut_lineage(span_windows(held, wanted))
+    common = windows.groupBy("seed", "window").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least < most").select(
+        F.col("seed").alias("again"), F.col("window").alias("same"))
+    # Windows of one span overlap, so the first and the last shared one bound its marked words.
+    part = windows.where("a = b").join(common, (F.col("seed") == F.col("again")) & (F.col("window") == F.col("same")), "left_semi")
+    part = part.groupBy("seed", "span").agg(F.min("k").cast("int").alias("k_lo"), F.max("k").cast("int").alias("k_hi"))
+    marked = groups.where("a < b").select("seed", "span", F.lit(0).alias("k_lo"), (F.col("size") - 1).cast("int").alias("k_hi")).unionByName(part)
+    marked = cut_lineage(marked.select(F.col("seed").alias("again"), F.col("span").alias("same"), "k_lo", "k_hi"))
+    found = every.join(marked, (F.col("seed") == F.col("again")) & (F.col("span") == F.col("same"))).select(
+        "doc", (F.col("lo") + F.col("k_lo")).cast("long").alias("lo"), (F.col("lo") + F.col("k_hi") + LEAST).cast("long").alias("hi"))
+    marks = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("marks"))
 
     def merge(acc, x):
         last = F.element_at(acc, -1)

@@ -261,6 +261,27 @@ def test_repeated_passages(spark, docs, odd):
         assert got == want
 
 
+def test_repeated_passages_behind_common_seeds(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    line = [word() for _ in range(45)]
+    rows = [(i, [word() for _ in range(8)] + line + [word() for _ in range(10)]) for i in range(600)]
+    # The same left words for two documents far apart in the order of right contexts.
+    shared = [word() for _ in range(12)]
+    rows += [(1000 + i, shared + line + [f"{'az'[i]}{word()}" for _ in range(10)]) for i in range(2)]
+    # One document repeats a passage more often than the other.
+    passage = [word() for _ in range(60)]
+    rows += [(2000, [w for _ in range(12) for w in [*passage, word()]]), (2001, [word(), *passage])]
+    where = defaultdict(set)
+    for i, w in rows:
+        for a in range(len(w) - 49):
+            where[tuple(w[a:a + 50])].add(i)
+    want = {(i, p) for i, w in rows for a in range(len(w) - 49) if len(where[tuple(w[a:a + 50])]) > 1 for p in range(a, a + 50)}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r["doc"], p) for r in suffix_dedup.passages(frame).collect() for p in range(r["lo"], r["hi"])}
+    assert {i for i, _ in want} == {1000, 1001, 2000, 2001} and got == want
+
+
 def brute_components(prints, linked):
     root = {i: i for i in prints}
     changed = True
