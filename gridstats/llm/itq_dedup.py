@@ -1,16 +1,14 @@
-"""Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
+"""Embedding near-duplicates by exact blocked search in the order of quantised codes.
 
 A rotation of the principal axes is learned on a bounded sample so that signs make balanced binary
-codes. The code is cut into bands, one table each. Two vectors meet in a table if their bands differ
-in two bits at most: each vector is put under its own band value and all values one bit off. In a
-cell, pairs within ``REACH`` differing bits are candidates; a pair counts in the first table and at
-the least value where it meets, so no pair is counted twice and none has to be listed. Candidates'
-vectors then come to the cell and cosines decide, in double precision.
+codes (iterative quantisation). Vectors are sorted by code into blocks of bounded size, and each block
+keeps the range it takes on every rotated axis. Two blocks whose ranges lie farther apart than two
+vectors of the least cosine can are ruled out; all others are multiplied tile by tile in double
+precision. Every link is found, whatever the spread of the vectors. The codes steer the order only: where
+they rule little out, as in high dimensions, the work is quadratic in blocks.
 
-Equal vectors collapse to one with a count. A cell of more than ``PART`` vectors is searched part
-against part. Cells return a link count and one edge per vector, not pairs; components follow by
-star contraction. Pairs whose codes differ by more than two bits in every band are not found; the
-recall is measured in the tests.
+Equal vectors collapse to one with a count. Cells return a link count and one edge per vector, not
+pairs; components follow by star contraction.
 
 Null, zero and non-finite vectors, and lengths other than the commonest, link with nothing.
 Repeated rows count as other vectors. An empty table gives no rows. Extra columns are not read.
@@ -18,16 +16,20 @@ Repeated rows count as other vectors. An empty table gives no rows. Extra column
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import bounded_sample, connected_components, table
-from gridstats.llm.simhash import Clusters
 from gridstats.llm.vectors import comparable, matrix
 from gridstats.session import cut_lineage
 
-SAMPLE, ROUNDS, BITS, BAND, REACH, PART, LEAST = 20_000, 50, 64, 16, 18, 1024, 0.9
+SAMPLE, ROUNDS, BITS, LEAST = 20_000, 50, 64, 0.9
+#: A block holds a sixth of the vectors, within these bounds, and a tile of a product so many rows.
+BLOCK_ROWS, BLOCK_BYTES, TILE = 1024, 8 << 20, 256
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -50,109 +52,90 @@ def codes(units: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.nda
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
-def meetings(a: np.ndarray, b: np.ndarray, band: int, value: int, reach: int) -> np.ndarray:
-    """Which pairs (row of a, column of b) of codes are candidates that count in this cell."""
-    differ = a[:, None] ^ b[None, :]
-    good = np.bitwise_count(differ) <= reach
-    low = np.uint64((1 << BAND) - 1)
-    for earlier in range(band):
-        good &= np.bitwise_count(differ >> np.uint64(BAND * earlier) & low) > 2
-    shift = np.uint64(BAND * band)
-    x, own = differ >> shift & low, (a >> shift & low)[:, None]
-    lowest = x & (~x + np.uint64(1))
-    one, two = own ^ lowest, own ^ (x ^ lowest)
-    count = np.bitwise_count(x)
-    # No bit differs: the value itself; one bit: the lesser of both; two bits: the lesser midpoint.
-    meet = np.where(count == 0, own, np.where(count == 1, np.minimum(own, own ^ x), np.minimum(one, two)))
-    return good & (count <= 2) & (meet == np.uint64(value))
-
-
-def by_cell(batches, columns):
-    """Groups of consecutive rows with one cell, from sorted batches: (cell, arrays)."""
-    cell, held = None, []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch[["cell", "i", "j"]].to_numpy(np.int64)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        data = [batch[c].to_numpy() for c in columns]
-        for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
-            now = tuple(keys[lo].tolist())
-            if now != cell:
-                if held:
-                    yield cell, [np.concatenate(x) for x in zip(*held)]
-                cell, held = now, []
-            held.append([x[lo:hi] for x in data])
-    if held:
-        yield cell, [np.concatenate(x) for x in zip(*held)]
-
-
-def cells(coded: DataFrame, tables: int, part: int = PART) -> DataFrame:
-    """``key``, ``code``, ``cell``, part pair (``i``, ``j``) and ``side``."""
-    low = (1 << BAND) - 1
-    own = [F.shiftrightunsigned("code", BAND * t).bitwiseAND(F.lit(low)) for t in range(tables)]
-    flips = [0] + [1 << b for b in range(BAND)]
-    entries = F.flatten(F.array(*[_flipped(own[t], t, flips) for t in range(tables)]))
-    keyed = coded.select("key", "code", F.explode(entries).alias("cell"))
-    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = keyed.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
-    split = shared.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    split = split.select("key", "code", "cell", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return split.select("key", "code", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                        (F.col("mine") > F.col("other")).cast("int").alias("side"))
-
-
-def _flipped(own, band: int, flips: list[int]):
-    return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: own.bitwiseXOR(f) + F.lit(band << BAND))
-
-
-def taking_part(entries: DataFrame, reach: int = REACH) -> DataFrame:
-    """Entries of ``cells`` that are in a candidate pair there."""
+def blocks(coded: DataFrame, axes: np.ndarray, per: int, parts: int) -> DataFrame:
+    """``block``, its range on every axis (``low``, ``high``) and its vectors packed: ``keys``, ``ns``, ``vs``."""
+
+    def packed(block, frames):
+        rows = pd.concat(frames)
+        units = matrix(rows["v"])
+        along = units @ axes
+        return pd.DataFrame({"block": [block], "low": [along.min(axis=0)], "high": [along.max(axis=0)], "keys": [rows["key"].to_numpy(np.int64).tobytes()],
+                             "ns": [rows["n"].to_numpy(np.int64).tobytes()], "vs": [units.tobytes()]})
 
     def run(batches):
-        out = []
-        for (cell, i, j), (key, code, side) in by_cell(batches, ("key", "code", "side")):
-            code = code.astype(np.int64).view(np.uint64)
-            tree, other = side == 0, side == 1
-            if i == j:
-                tree = other = np.ones(len(key), dtype=bool)
-            at, to = np.flatnonzero(tree), np.flatnonzero(other)
-            good = meetings(code[at], code[to], cell >> BAND, cell & ((1 << BAND) - 1), reach)
-            if i == j:
-                np.fill_diagonal(good, False)
-            if good.any():
-                used = np.union1d(at[good.any(axis=1)], to[good.any(axis=0)])
-                out.append(pd.DataFrame({"key": key[used], "code": code[used].view(np.int64), "cell": cell, "i": i, "j": j, "side": side[used]}))
-                if len(out) == 2000:
-                    yield pd.concat(out)
-                    out = []
-        if out:
-            yield pd.concat(out)
-
-    dealt = entries.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInPandas(run, "key long, code long, cell long, i int, j int, side int")
-
-
-def reranked(members: DataFrame, least: float = LEAST, reach: int = REACH) -> DataFrame:
-    """``key``, ``links`` and ``root`` (least key of its cluster in the cell) per vector and cell."""
+        frames, held, block = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, len(batch), per):
+                part = batch.iloc[lo:lo + per]
+                if held + len(part) > 1.25 * per:
+                    yield packed(block, frames)
+                    frames, held, block = [], 0, block + 1
+                frames.append(part)
+                held += len(part)
+        if frames:
+            yield packed(block, frames)
+
+    dealt = coded.repartitionByRange(parts, "code", "key").sortWithinPartitions("code", "key")
+    return dealt.mapInPandas(run, "block long, low array<double>, high array<double>, keys binary, ns binary, vs binary")
+
+
+def distance(low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """Square of the least distance between two boxes."""
+    gaps = F.zip_with(F.zip_with(low, high2, lambda a, b: a - b), F.zip_with(low2, high, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+
+
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least place of its cluster) after the pairs (a, b) are joined."""
+    while len(a):
+        x, y = labels[a], labels[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (above := labels[labels] != labels).any():
+            labels[above] = labels[labels[above]]
+    return labels
+
+
+def cell_links(own: bool, keys, ns, vs, keys2, ns2, vs2, least: float) -> pd.DataFrame:
+    """``key``, ``links`` and ``root`` (least key of its cluster in the cell) of vectors with a link."""
+    every = keys if own else np.concatenate([keys, keys2])
+    order = np.argsort(every, kind="stable")
+    place = np.empty(len(every), dtype=np.int64)
+    place[order] = np.arange(len(every))
+    links, labels, shift = np.zeros(len(every), dtype=np.int64), np.arange(len(every)), 0 if own else len(keys)
+    for lo in range(0, len(keys), TILE):
+        good = vs[lo:lo + TILE] @ vs2.T >= least
+        if own:
+            good[np.arange(len(good)), lo + np.arange(len(good))] = False
+        a, b = np.nonzero(good)
+        a += lo
+        np.add.at(links, a, ns2[b])
+        if not own:
+            np.add.at(links, b + shift, ns[a])
+        labels = joined(labels, place[a], place[b + shift])
+    used = np.flatnonzero(links)
+    return pd.DataFrame({"key": every[used], "links": links[used], "root": every[order[labels[place[used]]]]})
+
+
+def linked(packed: DataFrame, dimensions: int, least: float) -> DataFrame:
+    """``key``, ``links`` and ``root`` per vector and cell (pair of blocks)."""
+    slim = packed.select("block", "low", "high")
+    other = slim.select(F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    near = distance(F.col("low"), F.col("high"), F.col("low2"), F.col("high2")) <= 2 - 2 * least + 1e-9
+    pairs = cut_lineage(slim.join(other, F.col("block") <= F.col("block2")).where(near).select("block", "block2"))
+    second = packed.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("keys", "ns", "vs")])
+    cells = pairs.join(packed.drop("low", "high"), "block").join(second, "block2")
 
     def run(batches):
-        for (cell, i, j), (key, code, side, n, v) in by_cell(batches, ("key", "code", "side", "n", "v")):
-            code, units = code.astype(np.int64).view(np.uint64), np.stack(v)
-            at, to = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i != j else (np.arange(len(key)),) * 2
-            good = meetings(code[at], code[to], cell >> BAND, cell & ((1 << BAND) - 1), reach) & (units[at] @ units[to].T >= least)
-            if i == j:
-                np.fill_diagonal(good, False)
-            links = np.zeros(len(key), dtype=np.int64)
-            np.add.at(links, at, good @ n[to].astype(np.int64))
-            if i != j:
-                np.add.at(links, to, n[at].astype(np.int64) @ good)
-            clusters, names = Clusters(), key.tolist()
-            for a, b in zip(*np.nonzero(good)):
-                clusters.join(names[at[a]], names[to[b]])
-            yield pd.DataFrame({"key": key, "links": links, "root": [clusters.root(x) for x in names]})
-
-    dealt = members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ints = [np.frombuffer(x, dtype=np.int64) for x in (row.keys, row.ns, row.keys2, row.ns2)]
+                units = [np.frombuffer(x, dtype=np.float64).reshape(-1, dimensions) for x in (row.vs, row.vs2)]
+                yield cell_links(row.block == row.block2, ints[0], ints[1], units[0], ints[2], ints[3], units[1], least)
+
+    # Cells are few and heavy: one to a task.
+    dealt = cells.repartition(max(1, pairs.count()))
     return dealt.mapInPandas(run, "key long, links long, root long")
 
 
@@ -171,11 +154,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         def encode(batches):
             for batch in batches:
                 batch["code"] = codes(matrix(batch["v"]), mean, projection) if len(batch) else np.zeros(0, dtype=np.int64)
-                yield batch[["key", "code"]]
+                yield batch[["key", "n", "v", "code"]]
 
-        coded = cut_lineage(units.select("key", "v").mapInPandas(encode, "key long, code long"))
-        members = taking_part(cells(coded, -(-projection.shape[1] // BAND))).join(units, "key")
-        ranked = cut_lineage(reranked(members, least))
+        coded = units.mapInPandas(encode, "key long, n long, v array<double>, code long")
+        count, dimensions = units.count(), sample.shape[1]
+        per = max(1, min(BLOCK_BYTES // (8 * dimensions), max(BLOCK_ROWS, -(-count // 6))))
+        ranked = cut_lineage(linked(cut_lineage(blocks(coded, projection, per, math.ceil(count / per))), dimensions, least))
         counts = ranked.groupBy("key").agg(F.sum("links").alias("links"))
         roots = connected_components(ranked.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
         found = (distinct.join(counts, "key", "left").join(roots, F.col("key") == F.col("node"), "left")

@@ -152,6 +152,22 @@ def test_embedding_links(spark):
     assert itq_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("offset", [0.0, 1.2, 2.5])
+def test_embedding_links_with_a_common_direction(spark, offset):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64)) + offset * np.sign(rng.standard_normal(64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, 64))
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = rng.uniform(0.9, 0.93, (1500, 1))
+    rows = list(enumerate(np.concatenate([x, near * x + np.sqrt(1 - near ** 2) * off]).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["key"]: r["n_links"] for r in itq_dedup.near_duplicates(frame).collect()}
+    ids, links = brute_vector_links(rows, 0.9)
+    assert links.sum() >= 2900 and [got[i] for i in ids] == links.sum(axis=1).tolist()
+
+
 def test_adaptive_scan_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("list", F.lit(1))
     rows = frame.collect()
