@@ -358,6 +358,19 @@ def test_language(spark, docs, odd):
     assert langid.of_documents(odd.limit(0)).count() == 0
 
 
+def test_rare_language_is_fitted(spark):
+    rng = random.Random(10)
+    def say(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, say("etaoinsr"), "en", "hot") for i in range(20_000)]
+    rows += [(50_000 + i, say("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6"), "el", "rare") for i in range(2)]
+    rows += [(90_000, rows[0][1], "en", "hot")] * 15_000  # one row over and over
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["key"]: r for r in langid.of_documents(frame).where("key >= 50000").distinct().collect()}
+    assert all(got[50_000 + i]["language"] == "el" and got[50_000 + i]["kept"] for i in range(2))
+    assert got[90_000]["language"] == "en" and got[90_000]["kept"]
+
+
 def test_pipeline_stages(spark, docs):
     frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
     near = {r["key"]: r["component"] for r in simhash.near_duplicates(frame).collect()}
