@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridstats.llm import langid, mixing, packing, pii, simhash
 from gridstats.llm.common import small_side
-from gridstats.session import checkpoint_dir
+from gridstats.session import checkpoint_dir, cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +24,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays; of repeated rows one."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("key != component").select(F.col("key").alias("_key")).distinct()
-    kept = docs.join(small_side(gone), F.col("doc_id") == F.col("_key"), "left_anti")
-    # Repeated rows of an id that stands for its component: texts are compared only for these ids.
-    twice = small_side(found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")))
+    """Of each component of near-duplicates the text with the smallest id, then hash, stays, once; texts
+    of one id are told apart. Rows without an id stay."""
+    key, text_hash = F.col("doc_id"), F.xxhash64("text")
+    kind = docs.schema["doc_id"].dataType
+    # Components are those of texts: an id may stand for several.
+    found = simhash.near_duplicates(docs.select(text_hash.alias("_hash"), "text", key.cast("string").alias("_key")), "_hash", "text", "_key")
+    found = cut_lineage(found.where(F.col("_key").isNotNull()).select(F.col("_key").cast(kind).alias("_key"), F.col("key").alias("_hash"), "component"))
+    who = F.struct("_key", "_hash")
+    several = found.groupBy("component").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").select(F.col("component").alias("of"), "least")
+    gone = found.join(small_side(several), F.col("component") == F.col("of")).where(who != F.col("least")).select("_key", "_hash").distinct()
+    same = (key == F.col("_key")) & (text_hash == F.col("_hash"))
+    kept = docs.join(small_side(gone), same, "left_anti")
+    # Repeated rows of a text that stands for its component.
+    twice = small_side(found.groupBy("_key", "_hash").count().where("count > 1").select("_key", "_hash"))
     if not twice.take(1):
         return kept
-    one = kept.join(twice, F.col("doc_id") == F.col("_key"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("_key"), "left_anti").unionByName(one)
+    one = kept.join(twice, same, "left_semi").withColumn("_text_hash", text_hash).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return kept.join(twice, same, "left_anti").unionByName(one)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,17 +44,19 @@ def fingerprint(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``print``, materialised."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """``key`` and ``print``, and the string column ``carry`` if named, materialised."""
 
     def run(batches):
         for batch in batches:
             # bytes.lower and bytes.split know A-Z and the six ASCII white spaces only.
             prints = [fingerprint((t or "").encode().lower().split()) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "print": np.array(prints, dtype=np.int64)})
+            yield batch.drop(columns="text").assign(print=np.array(prints, dtype=np.int64))
 
     kind = docs.schema[key].dataType.simpleString()
-    return cut_lineage(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, print long"))
+    more = [carry] if carry else []
+    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *more)
+    return cut_lineage(held.mapInPandas(run, ", ".join([f"key {kind}", *[f"{c} string" for c in more], "print long"])))
 
 
 class BKTree:
@@ -172,15 +174,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """``key``, ``print``, ``component`` of every row."""
+    """The columns of ``prints`` and ``component`` of every row."""
     distinct = cut_lineage(prints.groupBy("print").agg(F.min("key").alias("id")))
     roots = connected_components(links(distinct))
     groups = cut_lineage(distinct.join(roots, F.col("id") == F.col("node"), "left").select("print", F.coalesce("root", "id").alias("component")))
-    return prints.join(groups, "print").select("key", "print", "component")
+    return prints.join(groups, "print").select(*prints.columns, "component")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return components(fingerprints(docs, key, text))
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    return components(fingerprints(docs, key, text, carry))
 
 
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

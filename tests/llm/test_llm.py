@@ -371,6 +371,16 @@ def test_rare_language_is_fitted(spark):
     assert got[90_000]["language"] == "en" and got[90_000]["kept"]
 
 
+def test_near_dedup_tells_texts_of_an_id_apart(spark):
+    near = "the quick brown fox jumps over the lazy dog and runs into the wide green woods"
+    rows = [(1, near, "en", "a", 1), (2, near, "en", "a", 1), (2, "an unrelated text about ships, harbours and their cranes in winter", "en", "a", 1),
+            (3, "first text of three: how to bake bread without an oven", "en", "a", 1), (3, "second text of three: a short history of northern railways", "en", "a", 1),
+            (3, "second text of three: a short history of northern railways", "en", "a", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, frame, SF_DIR).collect())
+    assert got == sorted({(r[0], r[1]) for r in rows if (r[0], r[1]) != (2, near)})
+
+
 def test_pipeline_stages(spark, docs):
     frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
     near = {r["key"]: r["component"] for r in simhash.near_duplicates(frame).collect()}
