@@ -1,15 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find the protected entities (base spans). The corpus then tells how strongly a term near an
-entity gives it away: with N documents, c(e) that hold entity e, c(t) that hold term t and c(t, e)
-that hold t within ``REACH`` code points of e,
+Patterns find the protected entities (base spans). The corpus then tells how strongly a term gives an
+entity away: with N documents, c(e) that hold entity e, c(t) that hold term t and c(t, e) that hold
+both, at any distance,
 
     disclosure(t, e) = ln(N c(t, e) / (c(t) c(e))) / ln(N / c(e))
 
 is 0 for independent terms and 1 for a term that occurs with e alone. A term reaching ``GENERALISE``
-is replaced by a placeholder where it stands near e, one reaching ``REMOVE`` is cut. Counts are over
-all documents, copies included; a term needs ``SUPPORT`` different surroundings with e, so that
-copies of one text are no evidence of their own. Documents without an entity are left as they are.
+is replaced by a placeholder wherever it stands in a document that holds e, one reaching ``REMOVE`` is
+cut. Counts are over all documents, copies included; a term needs ``SUPPORT`` different surroundings of
+e (``REACH`` code points on either side), of different documents or with the term in them, so that
+copies of one text are no evidence of their own. Terms too frequent to reach ``GENERALISE`` with an
+entity are left out before pairs are made: c(t, e) is c(e) at most, so c(t) may be c(e)^0.8 N^0.2 at
+most. Documents without an entity are left as they are.
 
 DataFrame functions only. Defined results: null text counts as empty; an entity in every document
 tells nothing, so no term is flagged for it; ties and repeated rows get equal spans; extra columns
@@ -24,8 +27,6 @@ from gridstats.llm.common import SPAN, count_of, empty, joined_spans, let, match
 from gridstats.session import cut_lineage
 
 REACH, SUPPORT, GENERALISE, REMOVE = 64, 2, 0.8, 0.95
-#: Candidate terms up to this number are broadcast (some MB); more are joined by shuffle.
-BROADCAST_TERMS = 100_000
 TERM = r"\p{L}{3,}"
 KINDS = ("email", "ip", "card", "phone", "term", "cut")
 PLACE = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -106,31 +107,45 @@ def find(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``_text_hash`` and ``_more``: spans of terms that give an entity of the same text away."""
+    n = found.count()
     texts = (found.where(F.size("_base") > 0).groupBy("_text_hash")
              .agg(F.count("*").alias("_copies"), F.first("_base").alias("_base")))
-    held = texts.select("_text_hash", "_copies", F.explode("_base").alias("b"))
-    seen = held.select("_text_hash", "_copies", F.col("b.entity").alias("entity"), F.col("b.near.around").alias("around"), F.explode("b.near.terms").alias("t"))
-    seen = cut_lineage(seen.select("_text_hash", "_copies", "entity", "around", F.col("t.t").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e")))
-    pairs = (seen.groupBy("entity", "term", "_text_hash").agg(F.first("_copies").alias("n"), F.collect_set("around").alias("around"))
-             .select("entity", "term", "n", F.explode("around").alias("around"), F.monotonically_increasing_id().alias("row"))
-             .groupBy("entity", "term").agg(F.countDistinct("around").alias("surroundings")))
-    pairs = pairs.where(F.col("surroundings") >= SUPPORT)
-    together = (seen.select("entity", "term", "_text_hash", "_copies").distinct().groupBy("entity", "term").agg(F.sum("_copies").alias("c_te")))
-    pairs = cut_lineage(pairs.join(together, ["entity", "term"]))
-    c_e = held.select("_text_hash", "_copies", "b.entity").distinct().groupBy("entity").agg(F.sum("_copies").alias("c_e"))
-    terms = cut_lineage(pairs.select("term").distinct())
-    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        c_t = everywhere.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        c_t = everywhere.groupBy("term").agg(F.count("*").alias("c_t")).join(terms, "term")
-    n = found.count()
+    texts = cut_lineage(texts)
+    each = texts.select("_text_hash", "_copies", F.explode("_base").alias("b"))
+    # One surrounding stands for an entity in a text; two that differ (min < max) make SUPPORT.
+    held = each.groupBy("_text_hash", F.col("b.entity").alias("entity")).agg(F.first("_copies").alias("_copies"), F.min("b.near.around").alias("around"))
+    c_e = cut_lineage(held.groupBy("entity").agg(F.sum("_copies").alias("c_e")).where(F.col("c_e") < n)
+                      .withColumn("most", F.pow(F.col("c_e").cast("double"), F.lit(GENERALISE)) * F.lit(float(max(n, 1)) ** (1 - GENERALISE)) * 1.000001))
+    held = cut_lineage(held.join(c_e, "entity"))
+    # The terms of texts with an entity, each with its number of documents.
+    bodies = docs.select(F.sha2(whole(text), 256).alias("_hash"), whole(text).alias("_text"))
+    bodies = bodies.join(texts.select("_text_hash"), F.col("_hash") == F.col("_text_hash"), "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term")
+    here = cut_lineage(bodies.select("_hash", words))
+    widest = c_e.agg(F.max("most")).first()[0] or 0.0
+    everywhere = docs.select(whole(text).alias("_text")).select(words)
+    c_t = cut_lineage(everywhere.groupBy("term").agg(F.count("*").alias("c_t")).where(F.col("c_t") <= F.lit(widest))
+                      .join(here.select(F.col("term").alias("again")).distinct(), F.col("term") == F.col("again"), "left_semi"))
+    rare = here.join(c_t, "term").select("_hash", "term", "c_t")
+    pairs = (rare.join(held, F.col("_hash") == F.col("_text_hash")).where(F.col("c_t") <= F.col("most"))
+             .groupBy("entity", "term").agg(F.sum("_copies").alias("c_te"), F.min("around").alias("first"), F.max("around").alias("last"),
+                                            F.first("c_t").alias("c_t"), F.first("c_e").alias("c_e")))
     gain = F.log(F.lit(float(n)) * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
-    scored = (pairs.join(c_e, "entity").join(c_t, "term").where(F.col("c_e") < n)
-              .withColumn("disclosure", gain / F.log(F.lit(float(n)) / F.col("c_e"))).where(F.col("disclosure") >= GENERALISE))
-    scored = scored.select("entity", "term", F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k"))
-    spans = seen.join(scored, ["entity", "term"]).groupBy("_text_hash", "s", "e").agg(F.max("k").alias("k"))
-    return spans.groupBy("_text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("_more"))
+    scored = pairs.withColumn("disclosure", gain / F.log(F.lit(float(n)) / F.col("c_e"))).where(F.col("disclosure") >= GENERALISE)
+    scored = cut_lineage(scored.select("entity", "term", (F.col("first") < F.col("last")).alias("apart"), F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k")))
+    # Evidence within one text: the term near the entity in different surroundings.
+    near = each.select(F.col("b.entity").alias("entity"), F.col("b.near.around").alias("around"), F.explode("b.near.terms.t").alias("term"))
+    near = near.groupBy("entity", "term").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("entity", "term")
+    weak = scored.where(~F.col("apart")).join(near, ["entity", "term"], "left_semi")
+    flagged = cut_lineage(scored.where("apart").unionByName(weak).select("entity", "term", "k"))
+    terms = rare.join(flagged.select("term").distinct(), "term", "left_semi").select("_hash", "term")
+    cuts = (terms.join(held.select("_text_hash", "entity"), F.col("_hash") == F.col("_text_hash")).join(flagged, ["entity", "term"])
+            .groupBy("_text_hash", "term").agg(F.max("k").alias("k")).groupBy("_text_hash")
+            .agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_kinds")))
+    whole_texts = bodies.join(cut_lineage(cuts), F.col("_hash") == F.col("_text_hash"))
+    marked = F.filter(F.transform(matches(F.col("_text"), TERM), lambda t: F.struct(
+        t["s"].alias("s"), F.try_element_at("_kinds", F.lower(t["m"])).alias("k"), t["e"].alias("e"))), lambda t: t["k"].isNotNull())
+    return whole_texts.select("_text_hash", F.array_sort(marked).alias("_more"))
 
 
 def all_spans(found: DataFrame, more: DataFrame) -> DataFrame:

@@ -228,6 +228,16 @@ def test_disclosing_terms_go(spark):
     assert all(out[r[0]] == r[1] for r in rows[4:])
 
 
+def test_disclosing_terms_go_at_any_distance(spark):
+    pad = "of the year and of the town " * 5
+    rows = [(i, f"note {'abcd'[i] * 4} from me@corp.org {pad if i else ''}zanzibar {pad}ends in Zanzibar", "en", "a", 1) for i in range(4)]
+    rows += [(10 + i, f"note from the town of the year and ends in {i}", "en", "a", 1) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = texts(pii.sanitise(frame))
+    assert all("zanzibar" not in out[i].lower() and "[EMAIL]" in out[i] and "ends in" in out[i] for i in range(4))
+    assert all(out[r[0]] == r[1] for r in rows[4:])
+
+
 def test_mixing_targets_and_reruns(docs, odd):
     for frame in (docs, odd, odd.limit(0)):
         drawn = mixing.draws(frame, "doc_id", "source", "text").cache()
