@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridstats.llm import adaptive_scan, external_shuffle, itq_dedup, langid, mixing, packing, pii, secret_scan, simhash, suffix_dedup
+from gridstats.llm import (adaptive_scan, collocations, external_shuffle, importance, itq_dedup, langid, mixing, packing, pii,
+                           secret_scan, simhash, suffix_dedup, token_files)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.secret_scan,
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.repeated_passages,
     "op9_simhash": simhash.simhash,
     "op10_language_id": langid.language_id,
+    "op11_collocations": collocations.collocations,
+    "op12_importance": importance.importance,
+    "op13_token_files": token_files.token_files,
 }
-ORACLES = {"op1_secret_scan": secret_scan.SQL.strip()}
+ORACLES = {"op1_secret_scan": secret_scan.SQL.strip(), "op11_collocations": collocations.SQL.strip()}
