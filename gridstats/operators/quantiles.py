@@ -1,26 +1,35 @@
 """Exact order statistics, one way for groups of any size.
 
-Rows collapse to distinct values with their counts, in the one shuffle that moves them, so copies of
-a value cost nothing from there. The values map to integer codes that never decrease with the value.
-Counts per (group, coarse code) give the sizes of groups and the few coarse bins that hold a wanted
-rank; the values of those bins are looked at again by equal parts between the bin's own least and
-greatest value, then one by one. However large a group and however narrow the range of a column, no
-window holds more than the bins of one level or the doubles of one part, and no group is ever
-gathered. Bins depend on the values alone, so re-run tasks see the same ones. NaN is null.
-
-Joins with the searched bins carry no hint: adaptive execution measures them and broadcasts them
-where they are small, as they are for few groups, and deals both sides by (group, bin) otherwise.
+The table is read twice. First a mergeable KLL sketch per group, of bounded size, brackets every wanted
+rank: the value lies between two of the sketch's values, several times its error apart. Then rows between brackets only count, and rows inside of one count per value; both are combined before
+they move, so what is shuffled is the share of rows in brackets (some thousandths per rank). Running
+sums over the counts (``operators/ranges.py``) give the value at each rank, exactly. Brackets are written once,
+so all tasks and re-runs see the same ones. NaN is null.
+
+A sketch errs by more than a bracket allows in one of 10^13 cases; the query then raises an error and gives
+no wrong value. Groups much smaller than a sketch are sketched whole: their rows move as they would in any grouping.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridstats.functions.binning import order_code, part_code
 from gridstats.functions.columns import col
-
+from gridstats.operators.ranges import running_sums
+from gridstats.session import cut_and_count
+
+#: Size of the sketches, and the share of rows left on either side of a rank: three times the sketch's
+#: error at 99 % confidence, which is 2.296 / k^0.9021.
+SKETCH = 4096
+SLACK = 3 * 2.296 / SKETCH**0.9021
+#: Brackets end at this many equal steps of rank.
+GRID = 128
+#: Groups whose brackets (a few numbers each) travel to all tasks; beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 #: Order codes of 2^-20 of a magnitude are joined to bins of 2^-12 of it.
 BIN_SHIFT = 8
 
@@ -36,18 +45,6 @@ def _running(keys: Sequence[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _narrow(counts: DataFrame, keys: Sequence[str], order: str, more: Sequence[str] = ()) -> DataFrame:
-    """Keep the bins that hold a wanted rank. ``counts``: keys, order, cnt, base, total, wanted."""
-    below = F.col("base") + F.sum("cnt").over(_running(keys, order)) - F.col("cnt")
-    inside = F.expr("filter(wanted, r -> r >= below and r < below + cnt)")
-    return (
-        counts.withColumn("below", below)
-        .withColumn("wanted", inside)
-        .where(F.size("wanted") > 0)
-        .select(*keys, order, F.col("below").alias("base"), "total", "wanted", *more)
-    )
-
-
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequence[str]) -> DataFrame:
     """Join on null-safe group keys plus non-null code columns."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in (*keys, *exact)})
@@ -55,33 +52,50 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequenc
     return left.join(renamed, cond, "inner").drop(*[f"__{k}" for k in (*keys, *exact)])
 
 
+def _brackets(base: DataFrame, keys: list[str], named: Mapping[str, RankOf]) -> DataFrame:
+    """One row per group, materialised: ``total``, the wanted ranks and the bracket ``lo_i``..``hi_i`` of each."""
+    sketch = base.groupBy(*keys).agg(F.kll_sketch_agg_double("__x", F.lit(SKETCH)).alias("sketch"), F.count(F.lit(1)).alias("total"))
+    grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])).alias("grid")
+    ranks = sketch.select(*keys, "total", grid, *[rank(F.col("total")).cast("bigint").alias(f"r_{i}") for i, rank in enumerate(named.values())])
+
+    def edge(i: int, side: int) -> Column:
+        # A group that the sketch holds whole has no error, and one rank more on either side costs nothing.
+        place = F.try_divide(F.col(f"r_{i}") + (side + 1) / 2 + side, F.col("total")) + side * SLACK
+        step = F.greatest(F.least(place, F.lit(1.0)), F.lit(0.0)) * GRID
+        return F.get("grid", (F.floor(step) if side < 0 else F.ceil(step)).cast("int"))
+
+    edges = [c for i in range(len(named)) for c in (edge(i, -1).alias(f"lo_{i}"), edge(i, 1).alias(f"hi_{i}"))]
+    found, groups = cut_and_count(ranks.select(*keys, "total", *[f"r_{i}" for i in range(len(named))], *edges))
+    return F.broadcast(found) if groups <= BROADCAST_GROUPS else found
+
+
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, RankOf]) -> DataFrame:
     """One row per group: ``n`` and, per name, the value at a 0-based rank.
 
-    Each rank is a function of the group size ``n``; nulls and NaN are not counted.
+    Each rank is a function of the group size ``n``; nulls and NaN are not counted, a rank outside of
+    the group gives null.
     """
-    keys = list(keys)
-    named = {name: rank(F.col("total")).cast("bigint") for name, rank in ranks.items()}
+    keys, slots = list(keys), range(len(ranks))
     base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
-    values = base.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("cnt"))
-    values = values.withColumn("__order_bin", F.shiftright(order_code("__x"), BIN_SHIFT))
-
-    bins = values.groupBy(*keys, "__order_bin").agg(F.sum("cnt").alias("cnt"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    bins = bins.withColumn("total", F.sum("cnt").over(Window.partitionBy(*keys)))
-    bins = bins.withColumns({"base": F.lit(0).cast("bigint"), "wanted": F.array_distinct(F.array(*named.values()))})
-    values = _same(values, _narrow(bins, keys, "__order_bin", ["lo", "hi"]), keys, ["__order_bin"])
-
-    values = values.withColumn("__order_part", part_code("__x", "lo", "hi"))
-    parts = values.groupBy(*keys, "__order_bin", "__order_part").agg(
-        F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in ("base", "total", "wanted")])
-    parts = _narrow(parts, [*keys, "__order_bin"], "__order_part")
-    values = _same(values.drop("base", "total", "wanted"), parts, keys, ["__order_bin", "__order_part"])
-    values = _narrow(values, [*keys, "__order_bin", "__order_part"], "__x")
-
-    found = values.select(*keys, "total", "__x", F.explode("wanted").alias("rank"))
-    found = found.select("*", *[expr.alias(f"__r_{name}") for name, expr in named.items()])
-    picked = [F.max(F.when(F.col("rank") == F.col(f"__r_{name}"), F.col("__x"))).alias(name) for name in named]
-    return found.groupBy(*keys).agg(F.max("total").alias("n"), *picked)
+    brackets = _brackets(base, keys, ranks)
+    x = F.col("__x")
+    rows = _same(base, brackets, keys, []) if keys else base.join(F.broadcast(brackets))
+    # Between two edges all rows count as one; inside a bracket every value counts by itself.
+    at = sum(((F.col(f"lo_{i}") <= x).cast("int") + (F.col(f"hi_{i}") < x).cast("int") for i in slots), F.lit(0))
+    inside = reduce(lambda a, b: a | b, [x.between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in slots])
+    constant = [F.first(c).alias(c) for c in ("total", *[f"r_{i}" for i in slots])]
+    held, count = cut_and_count(rows.groupBy(*keys, at.alias("__at"), F.when(inside, x).alias("__in")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__x"), *constant))
+    upto = running_sums(held, keys, "__x", ["__n"], count)
+    wanted = [F.col("__in").isNotNull() & F.col(f"r_{i}").between(F.col("__n_before"), F.col("__n_before") + F.col("__n") - 1) for i in slots]
+    picked = upto.groupBy(*keys).agg(F.max("total").alias("n"), *[F.max(F.when(w, x)).alias(f"v_{i}") for i, w in enumerate(wanted)], *[
+        F.max(f"r_{i}").alias(f"r_{i}") for i in slots])
+
+    def checked(i: int) -> Column:
+        missed = F.col(f"v_{i}").isNull() & F.col(f"r_{i}").between(0, F.col("n") - 1)
+        return F.when(missed, F.raise_error(F.lit("a sketch missed a rank; run the query again"))).otherwise(F.col(f"v_{i}"))
+
+    return picked.select(*keys, "n", *[checked(i).alias(name) for i, name in enumerate(ranks)])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

@@ -1,27 +1,19 @@
 """Cumulative totals, ranks and distribution comparisons without a single-task window.
 
-Rows are first collapsed to distinct values, so ties and copies cost nothing. Prefix sums run
-over coarse codes, then fine codes within a coarse code, then equal parts between a fine code's own
-least and greatest value, then values within a part. A window over codes or parts holds no more of
-them than their number, one over values no more than the doubles of a part, whatever the size and
-the spread of a group. NaN counts as null.
+Rows are first collapsed to distinct values, so ties and copies cost nothing. The distinct values
+move once more, into sorted ranges, and sums run along the ranges (``operators/ranges.py``), whatever
+the size and the spread of a group. NaN counts as null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gridstats.functions.binning import order_code, part_code
 from gridstats.operators.quantiles import _same, melt, present
-
-COARSE_SHIFT = 12
-
-
-def _before(measure: str, group: Sequence[str], order: str) -> Column:
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum(measure).over(w) - F.col(measure)
+from gridstats.operators.ranges import running_sums
+from gridstats.operators.scalars import attach_scalars
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
@@ -32,32 +24,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dic
         .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(*[expr.alias(m) for m, expr in measures.items()])
     )
-    distinct = distinct.withColumn("__c2", order_code(value)).withColumn("__c1", F.shiftright("__c2", COARSE_SHIFT))
-
-    fine = distinct.groupBy(*keys, "__c1", "__c2").agg(
-        *[F.sum(m).alias(m) for m in names], F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    coarse = fine.groupBy(*keys, "__c1").agg(*[F.sum(m).alias(m) for m in names])
-    whole = Window.partitionBy(*keys)
-    coarse = coarse.select(
-        *keys, "__c1",
-        *[_before(m, keys, "__c1").alias(f"__b_{m}") for m in names],
-        *[F.sum(m).over(whole).alias(f"{m}_total") for m in names])
-    fine = _same(fine, coarse, keys, ["__c1"])
-    fine = fine.select(
-        *keys, "__c2", "__lo", "__hi", *[f"{m}_total" for m in names],
-        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c1"], "__c2")).alias(f"__b_{m}") for m in names])
-    # A row per distinct value; it takes its place among the parts of its fine code and then within the part.
-    rows = _same(distinct, fine, keys, ["__c2"]).withColumn("__part", part_code(value, "__lo", "__hi"))
-    held = [f"{m}_total" for m in names] + [f"__b_{m}" for m in names]
-    parts = rows.groupBy(*keys, "__c2", "__part").agg(*[F.sum(m).alias(m) for m in names], *[F.first(c).alias(c) for c in held])
-    parts = parts.select(
-        *keys, "__c2", "__part", *[f"{m}_total" for m in names],
-        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c2"], "__part")).alias(f"__b_{m}") for m in names])
-    rows = _same(rows.drop(*held), parts, keys, ["__c2", "__part"])
-    return rows.select(
-        *keys, value, *names,
-        *[(F.col(f"__b_{m}") + _before(m, [*keys, "__c2", "__part"], value)).alias(f"{m}_before") for m in names],
-        *[f"{m}_total" for m in names])
+    totals = distinct.groupBy(*keys).agg(*[F.sum(m).alias(f"{m}_total") for m in names])
+    rows = running_sums(distinct, keys, value, names)
+    # Nothing to join on without groups: the totals are one row.
+    return _same(rows, totals, keys, []) if keys else attach_scalars(rows, totals, "__t").select("*", "__t.*").drop("__t")
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

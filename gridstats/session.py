@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +14,8 @@ DEFAULTS = {
     # Split a skewed side even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoints go with the frames that read them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -46,3 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder so that later branches agree."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, counted as they are written."""
+    rows = Observation()
+    held = cut_lineage(df.observe(rows, F.count(F.lit(1)).alias("rows")))
+    return held, rows.get["rows"]

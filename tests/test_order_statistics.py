@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gridstats.functions.binning import order_code, part_code
+from gridstats.operators import ranges
 from gridstats.operators.quantiles import exact_quantiles, select_ranks, weighted_median
 from gridstats.operators.ranking import ks_two_sample, spearman, value_ranks
 from gridstats.operators.summaries import quantile_bins
@@ -110,3 +111,33 @@ def test_narrow_ranges_are_cut_into_small_windows(spark, low, width):
     cells = df.distinct().groupBy(order_code("x").alias("c")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     parts = df.distinct().join(cells, order_code("x") == F.col("c")).groupBy("c", part_code("x", "lo", "hi")).count()
     assert parts.agg(F.max("count")).first()[0] <= 8
+
+
+@pytest.mark.parametrize("rows", [None, 2000, 100])
+def test_running_sums_over_ranges(spark, monkeypatch, rows):
+    """One group of most rows, many small ones, null keys; several ranges and Arrow batches."""
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 150)
+    rng = np.random.default_rng(8)
+    keys = ["hot"] * 1500 + [f"k{i % 90}" for i in range(400)] + [None] * 100
+    data = [(k, float(i % 3) if k else None, i * 0.5, int(n), float(n) / 4) for i, (k, n) in enumerate(zip(keys, rng.integers(0, 9, len(keys))))]
+    frame = spark.createDataFrame(data, "g string, h double, x double, n long, w double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = ranges.running_sums(frame, ["g", "h"], "x", ["n", "w"], rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(data)
+    sums = {}
+    for r in sorted(got, key=lambda r: r["x"]):
+        assert (r["n_before"], r["w_before"]) == sums.get((r["g"], r["h"]), (0, 0))
+        n, w = sums.get((r["g"], r["h"]), (0, 0))
+        sums[r["g"], r["h"]] = (n + r["n"], w + r["w"])
+
+
+def test_quantiles_of_groups_larger_than_a_sketch(spark):
+    frame = spark.range(300_000).select((F.col("id") % 7 == 0).alias("g"), (F.rand(5) * F.rand(6)).alias("x"), F.lit(0).alias("total")).cache()
+    got = {r["g"]: r for r in exact_quantiles(frame, ["g"], "x", {"a": 0.001, "b": 0.5, "c": 0.999}).collect()}
+    for g in (True, False):
+        x = np.array([r["x"] for r in frame.where(F.col("g") == g).collect()])
+        assert [got[g][k] for k in "abc"] == pytest.approx(np.quantile(x, [0.001, 0.5, 0.999]), rel=1e-12)
