@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import small_side, table
@@ -100,14 +101,16 @@ def scores(rows: DataFrame, key: str, text: str, evidence: list[str], model: Mod
     def run(batches):
         for batch in batches:
             counts, logs = [], []
-            for t in batch["text"]:  # one text's trigrams at a time
+            for t in batch.column("text").to_pylist():  # one text's trigrams at a time
                 slots = trigrams(t or "")
                 counts.append(len(slots))
                 logs.append([float(row[slots].sum(dtype=np.float64)) for row in model.logs])
-            yield batch[["key", *evidence]].assign(n=counts, logs=logs)
+            # Keys stay in Arrow: pandas would round large ones next to a null.
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", *evidence)] + [pa.array(counts, pa.int64()), pa.array(logs, pa.list_(pa.float64()))],
+                                             names=["key", *evidence, "n", "logs"])
 
     kinds = ", ".join(["key " + rows.schema[key].dataType.simpleString(), *[f"{c} string" for c in evidence]])
-    return named.mapInPandas(run, f"{kinds}, n long, logs array<double>")
+    return named.mapInArrow(run, f"{kinds}, n long, logs array<double>")
 
 
 def normal(logs: Column) -> Column:

@@ -11,7 +11,7 @@ alike are kept as runs. Every piece then finds its place from its rank among pie
 ranks are counted per partition, so a length that very many pieces share is not gathered.
 
 Free style: tokens need the tokenizer in Python tasks. Null text counts as empty: the end id alone.
-Repeated rows are packed each; an empty table gives no rows; other columns are not read.
+Repeated rows are packed each, and so are rows without an id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridstats.llm.common import table
@@ -36,17 +36,22 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def encode(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
-            out = []
-            for k, t in zip(batch["key"], batch["text"]):
+            rows, out = [], []
+            for row, t in enumerate(batch.column("text").to_pylist()):
                 ids = encoder(t or "")
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
-                    out.append((k, n, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
-            yield pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-
+                    rows.append(row)
+                    out.append((n, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+            # Keys stay in Arrow: pandas would round large ones next to a null.
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), *columns], names=names)
+
+    names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(encode, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -143,15 +148,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            rank = batch["rank"].to_numpy(np.int64)
-            at = np.searchsorted(starts, batch["length"].to_numpy(np.int64) * (1 << 48) + rank, side="right") - 1
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(starts, batch.column("length").to_numpy() * (1 << 48) + rank, side="right") - 1
             length, first, sequence, offset, copies = places[at].T
-            batch["sequence_id"] = sequence + (rank - first) // copies
-            batch["offset"] = offset + (rank - first) % copies * length
-            yield batch[[*names, "sequence_id", "offset"]]
+            found = [pa.array(sequence + (rank - first) // copies), pa.array(offset + (rank - first) % copies * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked(items).select(*names, "rank").mapInPandas(place, f"{schema}, sequence_id long, `offset` long")
+    return ranked(items).select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, `offset` long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ components follow by star contraction over the edges.
 Shard trees travel through the shuffle, not a broadcast: together they grow with the corpus.
 
 Null text counts as empty; texts without words have fingerprint zero and link like any other.
-Repeated rows and equal texts share a fingerprint. An empty table gives no rows. Extra columns are
+Repeated rows and equal texts share a fingerprint. Rows without an id have a fingerprint and the component of
+their fingerprint, but are no component's smallest id; where no row of it has an id, it is null. An empty table gives no rows. Extra columns are
 not read.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import connected_components, table
@@ -50,13 +52,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
     def run(batches):
         for batch in batches:
             # bytes.lower and bytes.split know A-Z and the six ASCII white spaces only.
-            prints = [fingerprint((t or "").encode().lower().split()) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(print=np.array(prints, dtype=np.int64))
+            prints = [fingerprint((t or "").encode().lower().split()) for t in batch.column("text").to_pylist()]
+            # Keys stay in Arrow: pandas would round large ones next to a null.
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", *more)] + [pa.array(prints, pa.int64())], names=["key", *more, "print"])
 
     kind = docs.schema[key].dataType.simpleString()
     more = [carry] if carry else []
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *more)
-    return cut_lineage(held.mapInPandas(run, ", ".join([f"key {kind}", *[f"{c} string" for c in more], "print long"])))
+    return cut_lineage(held.mapInArrow(run, ", ".join([f"key {kind}", *[f"{c} string" for c in more], "print long"])))
 
 
 class BKTree:
@@ -175,10 +178,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
 
 def components(prints: DataFrame) -> DataFrame:
     """The columns of ``prints`` and ``component`` of every row."""
-    distinct = cut_lineage(prints.groupBy("print").agg(F.min("key").alias("id")))
-    roots = connected_components(links(distinct))
-    groups = cut_lineage(distinct.join(roots, F.col("id") == F.col("node"), "left").select("print", F.coalesce("root", "id").alias("component")))
-    return prints.join(groups, "print").select(*prints.columns, "component")
+    # Fingerprints stand for themselves in links: those of rows without an id link too.
+    distinct = cut_lineage(prints.groupBy("print").agg(F.min("key").alias("least")))
+    roots = connected_components(links(distinct.select("print", F.col("print").alias("id"))))
+    groups = cut_lineage(distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"), "least"))
+    named = groups.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.join(groups.join(named, "root").select("print", "component"), "print").select(*prints.columns, "component")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:

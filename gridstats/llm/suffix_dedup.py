@@ -12,7 +12,7 @@ A group is reduced to the least and greatest document that hold it, before the s
 a seed nor a passage of very many documents is gathered.
 
 Words are runs without ASCII white space, compared by 64-bit hashes. Null and short texts have no
-passages. Repeated rows of one document are one document. An empty table gives no rows. Extra
+passages. Repeated rows of one document are one document, and so are all rows without an id. An empty table gives no rows. Extra
 columns are not read.
 """
 
@@ -137,6 +137,10 @@ def span_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``lo``, ``hi``: words [lo, hi) of passages that other documents hold too."""
     held = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    # A number that no document has stands for a missing id.
+    low, high = held.agg(F.min("doc"), F.max("doc")).first()
+    unknown = -1 if low is None else low - 1 if low > -(1 << 63) else high + 1
+    held = held.withColumn("doc", F.coalesce("doc", F.lit(unknown)))
     every = cut_lineage(document_spans(held))
     low, high = F.min("doc").alias("a"), F.max("doc").alias("b")
     shared = every.groupBy("seed").agg(low, high).where("a < b").select(F.col("seed").alias("again"))
@@ -161,6 +165,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi")))
         return F.when((F.size(acc) > 0) & (x["lo"] <= last["hi"]), grown).otherwise(F.array_append(acc, x))
 
+    marks = marks.withColumn("doc", F.nullif("doc", F.lit(unknown)))
     return marks.select("doc", F.inline(F.aggregate("marks", F.array().cast("array<struct<lo:bigint,hi:bigint>>"), merge)))
 
 
