@@ -66,12 +66,14 @@ def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def bounded_sample(df: DataFrame, order: Column, rows: int) -> DataFrame:
     """About ``rows`` rows, those with the least hash values; all rows of a smaller table.
 
-    Rows are picked where they lie, by a threshold, so no task gathers candidates.
+    Rows are picked where they lie, by a threshold, so no task gathers candidates. Rows of equal hash
+    count once: ``order`` hashes all that tells rows apart, so copies neither crowd others out nor make the
+    sample depend on the run.
     """
     count = df.count()
     share = min(1.0, rows / max(1, count))
     most = int(-(1 << 63) + share * (1 << 64)) - 1
-    return df.where(order <= F.lit(min(most, (1 << 63) - 1))).limit(2 * rows)
+    return df.withColumn("_order", order).where(F.col("_order") <= F.lit(min(most, (1 << 63) - 1))).dropDuplicates(["_order"]).drop("_order").limit(2 * rows)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

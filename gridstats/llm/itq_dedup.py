@@ -145,7 +145,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     distinct = cut_lineage(held.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     units = cut_lineage(distinct.withColumn("size", norm(F.col("v"))).select("key", "n", F.transform("v", lambda x: x / F.col("size")).alias("v")))
-    sample = matrix(bounded_sample(units, F.xxhash64("key"), SAMPLE).toPandas()["v"])
+    sample = matrix(bounded_sample(units, F.xxhash64("key", "v"), SAMPLE).toPandas()["v"])
     if len(sample) < 2:
         found = distinct.select("v", "key", (F.col("n") - 1).alias("links"), F.col("key").alias("component"))
     else:
