@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridstats.functions.columns import nan_to_null, quoted
+from gridstats.session import cut_lineage
 
 CLIMATE_SCHEMA = "map<string,struct<temp:array<double>,prec:array<double>>>"
 
@@ -33,30 +35,46 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str, columns: Mapping[st
     return clean_nan(raw.select(*picked))
 
 
+def header_names(line: str) -> list[str]:
+    """Column names of a header line by CSV rules: quotes, blanks around names, byte-order mark."""
+    return [n.strip() for n in next(csv.reader([line.lstrip("\ufeff")], skipinitialspace=True), [])]
+
+
+def first_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path`` and ``line``: the first line of each file that is not blank."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    # Row ids rise along a file, so the least one of its first block is the first line.
+    numbered = lines.where((F.col("start") == 0) & (F.trim("value") != "")).withColumn("row", F.monotonically_increasing_id())
+    return numbered.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+
+
 def read_named_csvs(spark: SparkSession, pattern: str, name_pattern: str, key: str, columns: Mapping[str, str], *,
                     anchor: str, prefix: str | None = None, prefix_length: int = 2) -> DataFrame:
     """Many CSVs whose key is part of the file or directory name; columns a file lacks come out null.
 
     ``name_pattern`` is a regular expression with one group, ``prefix`` names a column for the
-    leading characters of the key. The files are grouped by their first line, so that each group is
-    read by its own column order; files whose first line lacks the column ``anchor`` are left out.
+    leading characters of the key. Each file is read by its own header, all of them in one scan: fields
+    are read by place, and a table with one row per file says which place holds which column. A file
+    whose header lacks the column ``anchor`` is an error that names it; an empty file has no rows.
     """
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    # Row ids rise along a file, so the least one of its first block is the first line.
-    numbered = lines.where("start = 0").withColumn("row", F.monotonically_increasing_id())
-    first = numbered.groupBy("path").agg(F.min_by("value", "row").alias("value"))
-    variants = first.where(F.array_contains(F.split("value", ","), anchor)).groupBy("value").agg(F.collect_set("path").alias("paths"))
-    frames = []
-    for header in variants.collect():  # one row per distinct header line
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(header["paths"])
-        code = F.regexp_extract(F.col("_metadata.file_path"), name_pattern, 1)
-        picked = [code.alias(key)] + ([F.substring(code, 1, prefix_length).alias(prefix)] if prefix else [])
-        for name, kind in columns.items():
-            picked.append((F.col(f"`{name}`").try_cast(kind) if name in raw.columns else F.lit(None).cast(kind)).alias(name))
-        frames.append(raw.select(*picked))
-    if not frames:
-        raise FileNotFoundError(f"no file with a column {anchor} at {pattern}")
-    return clean_nan(union_frames(frames))
+    files = cut_lineage(first_lines(spark, pattern))
+    names = {r["line"]: header_names(r["line"]) for r in files.select("line").distinct().collect()}  # one per different header
+    if not names:
+        raise FileNotFoundError(f"no file with a header at {pattern}")
+    if bad := [line for line, found in names.items() if anchor not in found]:
+        paths = sorted(r["path"] for r in files.where(F.col("line").isin(bad)).limit(20).collect())
+        raise ValueError(f"no column {anchor} in the header of {', '.join(paths)}")
+    places = [(line, [found.index(c) if c in found else None for c in columns]) for line, found in names.items()]
+    places = files.join(spark.createDataFrame(places, "line string, places array<int>"), "line").select("path", "places")
+    fields = [f"c{i}" for i in range(max(map(len, names.values())))]
+    # With a schema of its own the reader drops every file's first line unread.
+    raw = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", True).option("enforceSchema", True).option(
+        "mode", "PERMISSIVE").option("escape", '"').csv(pattern).select(F.array(*fields).alias("fields"), F.col("_metadata.file_path").alias("path"))
+    code = F.regexp_extract(F.col("path"), name_pattern, 1)
+    picked = [code.alias(key)] + ([F.substring(code, 1, prefix_length).alias(prefix)] if prefix else [])
+    for i, (name, kind) in enumerate(columns.items()):
+        picked.append(F.get("fields", F.col("places")[i]).try_cast(kind).alias(name))
+    return clean_nan(raw.join(places, "path").select(*picked))
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

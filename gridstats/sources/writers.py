@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridstats.functions.columns import quoted
 from gridstats.sources.readers import read_table
@@ -25,22 +28,73 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "mon
         "compression", "snappy").partitionBy(*by).parquet(path)
 
 
-def present(spark: SparkSession, path: str) -> bool:
-    """Is there anything at ``path``? Asks the file system, so an unreadable table counts as present."""
+def folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(where) and len(files.listStatus(where)) > 0
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def hidden(name: str) -> bool:
+    """Staging folders and markers, which readers leave out."""
+    return name.startswith(("_", "."))
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Is there a table at ``path``: the marker of a finished write, or any file or folder that a reader would see?
+
+    An unreadable table is present; what a crashed write leaves behind (``_temporary`` and the like) is not.
+    """
+    where, files = folder(spark, path)
+    if not files.exists(where):
+        return False
+    names = [s.getPath().getName() for s in files.listStatus(where)]
+    return "_SUCCESS" in names or not all(map(hidden, names))
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write beside ``path`` and rename when the write is finished, so that ``path`` never holds half a table."""
+    spark = df.sparkSession
+    where, files = folder(spark, path)
+    staging = where.suffix(f".{uuid.uuid4().hex}._building")
+    try:
+        write_csv(df, staging.toString()) if path.lower().endswith(".csv") else df.write.parquet(staging.toString())
+        if files.exists(where):
+            files.delete(where, True)  # only what a crashed write left: the caller has looked
+        if not files.rename(staging, where):
+            raise OSError(f"cannot rename to {path}")
+    finally:
+        if files.exists(staging):
+            files.delete(staging, True)
 
 
 def written_partitions(spark: SparkSession, path: str, by: Sequence[str] = ("year", "month")) -> DataFrame | None:
-    """Partition values already present, or None when nothing was written."""
-    return spark.read.parquet(path).select(*by).distinct() if present(spark, path) else None
+    """Partition values already present, as text, or None when nothing was written.
+
+    They come from the names of directories: no file is opened. A partition is moved into place when its
+    write is finished, so a directory stands for a whole partition.
+    """
+    where, files = folder(spark, path)
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "/".join(f"{c}=*" for c in by))) if files.exists(where) else []
+    depth = len(list(by))
+    values = []
+    for status in found:
+        parts, at = [], status.getPath()
+        for _ in range(depth):
+            value = unquote(at.getName().split("=", 1)[1])
+            parts.append(None if value == "__HIVE_DEFAULT_PARTITION__" else value)
+            at = at.getParent()
+        values.append(tuple(reversed(parts)))
+    return spark.createDataFrame(values, ", ".join(f"`{c}` string" for c in by)) if values else None
 
 
 def remaining(df: DataFrame, path: str, by: Sequence[str] = ("year", "month")) -> DataFrame:
     """Rows of partitions not written yet."""
     done = written_partitions(df.sparkSession, path, by)
-    return df if done is None else df.join(done, list(by), "left_anti")
+    if done is None:
+        return df
+    done = done.select(*[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(f"__{c}") for c in by])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in by])
+    return df.join(done, same, "left_anti")
 
 
 def resume_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "month")) -> None:
@@ -48,10 +102,9 @@ def resume_partitions(df: DataFrame, path: str, by: Sequence[str] = ("year", "mo
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at ``path``, building and saving it first when absent."""
+    """Read the table at ``path``, building and publishing it first when absent."""
     if not present(spark, path):
-        df = build()
-        write_csv(df, path) if path.lower().endswith(".csv") else df.write.mode("overwrite").parquet(path)
+        publish(build(), path)
     return read_table(spark, path)
 
 

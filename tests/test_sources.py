@@ -49,3 +49,46 @@ def test_unreadable_table_is_left_alone(spark, tmp_path):
     with pytest.raises(Exception):
         writers.cached_table(spark, str(folder), lambda: spark.range(3)).collect()
     assert (folder / "part-0.parquet").read_text() == "not a table"
+
+
+def test_headers_by_csv_rules(spark, tmp_path):
+    (tmp_path / "final_0101.csv").write_text('"id","w","note"\n1,2.5,"a, ""b"""\n2,,x\n')
+    (tmp_path / "final_0202.csv").write_bytes(b"\xef\xbb\xbfid, w\r\n3,4.5\r\n")
+    (tmp_path / "final_0303.csv").write_text('\n w ,"id"\n7.5,4\n')
+    (tmp_path / "final_0404.csv").write_text("")
+    read = lambda: readers.read_named_csvs(
+        spark, f"{tmp_path}/final_*.csv", r"final_(\d+)\.csv", "code", {"id": "bigint", "w": "double", "note": "string"}, anchor="id")
+    df = read()
+    assert {tuple(r) for r in df.collect()} == {("0101", 1, 2.5, 'a, "b"'), ("0101", 2, None, "x"), ("0202", 3, 4.5, None), ("0303", 4, 7.5, None)}
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    (tmp_path / "final_0505.csv").write_text("other,w\n1,2\n")
+    with pytest.raises(ValueError, match="final_0505.csv"):
+        read()
+
+
+def test_crashed_build_is_built_again(spark, tmp_path):
+    path = tmp_path / "table"
+    (path / "_temporary" / "0").mkdir(parents=True)
+    assert not writers.present(spark, str(path))
+    with pytest.raises(ZeroDivisionError):
+        writers.cached_table(spark, str(path), lambda: spark.range(1 // 0))
+    with pytest.raises(Exception):
+        writers.cached_table(spark, str(path), lambda: spark.range(3).selectExpr("raise_error('lost') as x"))
+    assert not writers.present(spark, str(path)) and [p.name for p in tmp_path.iterdir()] == ["table"]
+    assert writers.cached_table(spark, str(path), lambda: spark.range(3)).count() == 3
+    assert writers.cached_table(spark, str(path), lambda: spark.range(9)).count() == 3
+    assert writers.cached_table(spark, str(tmp_path / "t.csv"), lambda: spark.range(4)).count() == 4
+    # An empty table that was written is a table.
+    writers.cached_table(spark, str(tmp_path / "none"), lambda: spark.range(0))
+    assert writers.cached_table(spark, str(tmp_path / "none"), lambda: spark.range(9)).count() == 0
+
+
+def test_resume_reads_directory_names_only(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = spark.createDataFrame([(2000, "a b/c=d", 1), (None, "e", 2), (2001, "f%", 3)], "year int, name string, v int")
+    writers.write_partitions(rows.where("v < 3"), path, ["year", "name"])
+    for part in (tmp_path / "parts").rglob("*.parquet"):
+        part.write_text("no table any more")
+    left = writers.remaining(rows, path, ["year", "name"])
+    assert [tuple(r) for r in left.collect()] == [(2001, "f%", 3)]
+    assert writers.written_partitions(spark, str(tmp_path / "absent"), ["year"]) is None
