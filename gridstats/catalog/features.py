@@ -91,11 +91,14 @@ _scaling("spiky", "case when k < 80 then u / 1000 else u end")
 
 
 @query("ordinal_codes", "M9 P19", """
-with c as (select distinct c_mktsegment as s from customer where c_acctbal > 0 and c_mktsegment <> 'FURNITURE'), r as (select s, row_number() over (order by s) - 1 as code from c)
-select c_custkey, coalesce(code, -1)::int as code from customer left join r on s = c_mktsegment""")
+with v as (select c_custkey, c_acctbal, case when c_mktsegment <> 'AUTOMOBILE' then c_mktsegment else 'Missing' end as s from customer),
+c as (select distinct s from v where c_acctbal > 0 and s <> 'FURNITURE'), r as (select s, row_number() over (order by s) - 1 as code from c)
+select c_custkey, coalesce(code, -1)::int as code from v left join r using (s)""")
 def _(t):
-    table = f.fit_ordinal(t.customer.where("c_acctbal > 0 and c_mktsegment <> 'FURNITURE'"), "c_mktsegment")
-    return f.apply_ordinal(t.customer, table, "c_mktsegment", "encoded").select("c_custkey", F.col("encoded").alias("code"))
+    # One segment stands for missing values, one is not seen in training.
+    rows = t.customer.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("AUTOMOBILE")))
+    table = f.fit_ordinal(rows.where("c_acctbal > 0 and c_mktsegment is distinct from 'FURNITURE'"), "c_mktsegment")
+    return f.apply_ordinal(rows, table, "c_mktsegment", "encoded").select("c_custkey", F.col("encoded").alias("code"))
 
 
 @query("target_encoding", "M10", """

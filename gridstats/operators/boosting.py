@@ -1,16 +1,20 @@
 """Boosted-tree regression on a log target: fit, score, cross-validate, select, ablate.
 
 Every loop here runs over folds, feature subsets or conditions, whose number is fixed by the
-caller; the rows stay in Spark throughout.
+caller; the rows stay in Spark throughout. Fits that do not depend on each other run at the same time: a small
+one leaves most of a cluster idle. Folds and subsets read one stored feature vector, subsets as slices of it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +40,8 @@ class BoostingConfig:
     seed: int = 42
 
 
+#: Fits under way at once.
+PARALLEL = 4
 ENCODINGS = ("target", "ordinal", "onehot")
 ROW = "__row"
 
@@ -131,12 +137,38 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], label: str, config: BoostingConfig) -> GBTRegressionModel:
-    checkpoint_dir(train.sparkSession)
+def concurrently(spark: SparkSession, calls: Sequence[Callable]) -> list:
+    """Results of the calls, in their order; the first error is raised."""
+    with ThreadPool(max(1, min(PARALLEL, len(calls)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda call: call()), calls, chunksize=1)
+
+
+def stored_vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str], label: str) -> DataFrame:
+    """``features`` as one vector, the label and the columns to keep, written once."""
+    return cut_lineage(assemble(df, features).select("features", F.col(label).cast("double").alias(label), *keep))
+
+
+def fit_vectors(rows: DataFrame, label: str, config: BoostingConfig) -> GBTRegressionModel:
+    checkpoint_dir(rows.sparkSession)
     trees = GBTRegressor(
         featuresCol="features", labelCol=label, maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate,
         subsamplingRate=config.subsample, minInstancesPerNode=config.min_child, seed=config.seed, checkpointInterval=10)
-    return trees.fit(assemble(train, features).select("features", F.col(label).cast("double").alias(label)))
+    return trees.fit(rows)
+
+
+def fit_boosted(train: DataFrame, features: Sequence[str], label: str, config: BoostingConfig) -> GBTRegressionModel:
+    return fit_vectors(assemble(train, features).select("features", F.col(label).cast("double").alias(label)), label, config)
+
+
+def predicted(model: GBTRegressionModel, rows: DataFrame, name: str = "log_prediction") -> DataFrame:
+    """Predictions for stored vectors."""
+    return model.transform(rows).withColumnRenamed("prediction", name).drop("features")
+
+
+def sliced(rows: DataFrame, indices: Sequence[int]) -> DataFrame:
+    """Stored vectors cut down to some of their places."""
+    cut = VectorSlicer(inputCol="features", outputCol="__slice", indices=list(indices)).transform(rows)
+    return cut.drop("features").withColumnRenamed("__slice", "features")
 
 
 def score(model: GBTRegressionModel, df: DataFrame, features: Sequence[str], name: str = "log_prediction") -> DataFrame:
@@ -171,18 +203,21 @@ def importance_rollup(folds: DataFrame, parents: DataFrame | None = None) -> Dat
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: str, k: int, config: BoostingConfig,
                    *, fold: str = "fold", min_group: int = 10, widths: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Per-fold skill on the original scale with the median group R2, and per-fold importances."""
-    rows, imps = None, []
-    for i in range(k):
-        model = fit_boosted(df.where(F.col(fold) != i), features, label, config)
-        scored = score(model, df.where(F.col(fold) == i), features)
+    vectors = stored_vectors(df.where(F.col(fold).isNotNull()), features, [group, fold], label)
+
+    def one(i: int):
+        model = fit_vectors(vectors.where(F.col(fold) != i), label, config)
+        scored = predicted(model, vectors.where(F.col(fold) == i))
         scored = scored.select(group, F.exp(label).alias("actual"), F.exp("log_prediction").alias("predicted"))
         metrics = skill_metrics(scored, "actual", "predicted").withColumn("fold", F.lit(i))
         per_group = skill_metrics(scored, "actual", "predicted", [group], min_n=min_group)
         typical = exact_median(per_group, [], "r2", "group_median_r2").drop("n").agg(F.max("group_median_r2").alias("v"))
         metrics = attach_scalars(metrics, typical, "g").withColumn("group_median_r2", F.col("g.v")).drop("g")
-        rows = metrics if rows is None else rows.unionByName(metrics)
-        imps += [(f, i, v) for f, v in importances(model, features, widths)]
-    return rows, df.sparkSession.createDataFrame(imps, "feature string, fold int, importance double")
+        return cut_lineage(metrics), [(f, i, v) for f, v in importances(model, features, widths)]
+
+    found = concurrently(df.sparkSession, [lambda i=i: one(i) for i in range(k)])
+    imps = [row for _, part in found for row in part]
+    return reduce(DataFrame.unionByName, [m for m, _ in found]), df.sparkSession.createDataFrame(imps, "feature string, fold int, importance double")
 
 
 def eliminate_features(df: DataFrame, features: Sequence[str], label: str, k: int, config: BoostingConfig, *,
@@ -200,17 +235,28 @@ def eliminate_features(df: DataFrame, features: Sequence[str], label: str, k: in
         dropped = {f for f, _ in ranked[:min(step, len(current) - down_to)]}
         return [f for f in current if f not in dropped]
 
-    scores: dict[int, list[float]] = {}
-    for i in range(k):
-        train, held, current = df.where(F.col(fold) != i), df.where(F.col(fold) == i), list(features)
+    vectors = stored_vectors(df, features, [fold], label)
+    place = {f: i for i, f in enumerate(features)}
+
+    def of(current: Sequence[str]) -> DataFrame:
+        return sliced(vectors, [place[f] for f in current])
+
+    def one(i: int) -> dict[int, float]:
+        found, current = {}, list(features)
         while True:
-            model = fit_boosted(train, current, label, config)
+            rows = of(current)
+            model = fit_vectors(rows.where(F.col(fold) != i), label, config)
             error = F.avg(F.pow(F.col(label) - F.col("log_prediction"), 2.0))
-            r2 = score(model, held, current).agg((1 - F.try_divide(error, F.var_pop(label))).alias("r2")).first()["r2"]
-            scores.setdefault(len(current), []).append(float("-inf") if r2 is None else r2)
+            r2 = predicted(model, rows.where(F.col(fold) == i)).agg((1 - F.try_divide(error, F.var_pop(label))).alias("r2")).first()["r2"]
+            found[len(current)] = float("-inf") if r2 is None else r2
             if len(current) <= minimum:
-                break
+                return found
             current = without_least(model, current, minimum)
+
+    scores: dict[int, list[float]] = {}
+    for found in concurrently(df.sparkSession, [lambda i=i: one(i) for i in range(k)]):
+        for n, r2 in found.items():
+            scores.setdefault(n, []).append(r2)
     trail = []
     for n, found in scores.items():
         mean = sum(found) / k
@@ -218,7 +264,7 @@ def eliminate_features(df: DataFrame, features: Sequence[str], label: str, k: in
     best = max(trail, key=lambda t: (t[1], -t[0]))[0]
     kept = list(features)
     while len(kept) > best:
-        kept = without_least(fit_boosted(df, kept, label, config), kept, best)
+        kept = without_least(fit_vectors(of(kept), label, config), kept, best)
     table = df.sparkSession.createDataFrame(trail, "n_features int, cv_mean double, cv_std double")
     return kept, table.withColumn("selected", F.col("n_features") == best), fit_boosted(df, [*kept, *always], label, config)
 
@@ -242,8 +288,8 @@ def ablate(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorica
     """Refit without each feature group on one shared split, FULL first: one row per condition with
     test skill, ``train_`` skill, R2 over grouped folds and the roll-up of skill per test group."""
     train, test = cut_lineage(train), cut_lineage(test)
-    out = None
-    for name, removed in {"FULL": [], **conditions}.items():
+
+    def one(name: str, removed: Sequence[str]) -> DataFrame:
         kept = [f for f in numeric if f not in removed]
         cats = {c: s for c, s in categorical.items() if c not in removed}
         fitted = fit_features(train, kept, cats, label)
@@ -251,8 +297,7 @@ def ablate(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorica
         model = fit_boosted(ready, fitted.names, label, config)
 
         def scored(rows: DataFrame) -> DataFrame:
-            found = score(model, rows, fitted.names)  # noqa: B023
-            return found.select(group, F.exp(label).alias("actual"), F.exp("log_prediction").alias("predicted"))
+            return score(model, rows, fitted.names).select(group, F.exp(label).alias("actual"), F.exp("log_prediction").alias("predicted"))
 
         held = cut_lineage(scored(fitted.apply(test)))
         folds, _ = cross_validate(ready, fitted.names, label, group, k, config, min_group=min_group, widths=fitted.widths)
@@ -263,9 +308,10 @@ def ablate(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorica
                      folds.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std")),
                      group_rollup(held, group, min_group)):
             row = attach_scalars(row, part, "__s").select("*", "__s.*").drop("__s")
-        row = cut_lineage(row)
-        out = row if out is None else out.unionByName(row)
-    return out
+        return cut_lineage(row)
+
+    rows = concurrently(train.sparkSession, [lambda n=n, r=r: one(n, r) for n, r in {"FULL": [], **conditions}.items()])
+    return reduce(DataFrame.unionByName, rows)
 
 
 def fit_with_intervals(fit_rows: DataFrame, calibration: DataFrame, features: Sequence[str], label: str,
