@@ -24,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import SPAN, count_of, empty, joined_spans, let, matches, table, whole
+from gridstats.operators.scalars import broadcast_within
 from gridstats.session import cut_lineage
 
 REACH, SUPPORT, GENERALISE, REMOVE = 64, 2, 0.8, 0.95
 TERM = r"\p{L}{3,}"
+#: Hexadecimal digits of a text's hash that make its bucket; spans of flagged terms that travel to all tasks.
+BUCKET_DIGITS, BROADCAST_SPANS = 5, 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term", "cut")
 PLACE = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
@@ -94,23 +97,37 @@ def nearby(text: Column, span: Column) -> Column:
                     F.concat(terms(left, first, whole_left), terms(right, span["e"], whole_right)).alias("terms"))
 
 
+def text_hash(text: Column) -> Column:
+    """Sixteen bytes of the text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def term_hashes(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
+
+
 def find(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every row's base spans with their surroundings, materialised: ``_key``, ``_text_hash``, ``_base``."""
+    """Every row's base spans with their surroundings, materialised: ``_key``, ``_base`` and, where there are
+    spans, ``_text_hash`` and ``_terms``. The texts themselves are not kept."""
     body = docs.select(F.col(key).alias("_key"), whole(text).alias("_text"))
     found = body.select("_key", "_text", entities(F.col("_text")).alias("_found"))
     spans = F.transform("_found", lambda x: F.struct(
-        x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(F.concat_ws(":", x["k"].cast("string"), F.lower(x["m"])), 256).alias("entity"),
+        x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.xxhash64(x["k"], F.lower(x["m"])).alias("entity"),
         nearby(F.col("_text"), x).alias("near")))
-    marked = F.when(F.size("_found") > 0, F.sha2("_text", 256))
-    return cut_lineage(found.select("_key", marked.alias("_text_hash"), spans.alias("_base")))
+    some = F.size("_found") > 0
+    return cut_lineage(found.select("_key", F.when(some, text_hash(F.col("_text"))).alias("_text_hash"), spans.alias("_base"),
+                                    F.when(some, term_hashes(F.col("_text"))).alias("_terms")))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``_text_hash`` and ``_more``: spans of terms that give an entity of the same text away."""
+    """``_text_hash`` and ``_more``: spans of terms that give an entity of the same text away, materialised.
+
+    Terms, entities and texts are counted by their hashes. Texts are read again only where a term was flagged.
+    """
     n = found.count()
-    texts = (found.where(F.size("_base") > 0).groupBy("_text_hash")
-             .agg(F.count("*").alias("_copies"), F.first("_base").alias("_base")))
-    texts = cut_lineage(texts)
+    texts = cut_lineage(found.where(F.size("_base") > 0).groupBy("_text_hash")
+                        .agg(F.count("*").alias("_copies"), F.first("_base").alias("_base"), F.first("_terms").alias("_terms")))
     each = texts.select("_text_hash", "_copies", F.explode("_base").alias("b"))
     # One surrounding stands for an entity in a text; two that differ (min < max) make SUPPORT.
     held = each.groupBy("_text_hash", F.col("b.entity").alias("entity")).agg(F.first("_copies").alias("_copies"), F.min("b.near.around").alias("around"))
@@ -118,12 +135,9 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                       .withColumn("most", F.pow(F.col("c_e").cast("double"), F.lit(GENERALISE)) * F.lit(float(max(n, 1)) ** (1 - GENERALISE)) * 1.000001))
     held = cut_lineage(held.join(c_e, "entity"))
     # The terms of texts with an entity, each with its number of documents.
-    bodies = docs.select(F.sha2(whole(text), 256).alias("_hash"), whole(text).alias("_text"))
-    bodies = bodies.join(texts.select("_text_hash"), F.col("_hash") == F.col("_text_hash"), "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term")
-    here = cut_lineage(bodies.select("_hash", words))
+    here = texts.select(F.col("_text_hash").alias("_hash"), F.explode("_terms").alias("term"))
     widest = c_e.agg(F.max("most")).first()[0] or 0.0
-    everywhere = docs.select(whole(text).alias("_text")).select(words)
+    everywhere = docs.select(F.explode(term_hashes(whole(text))).alias("term"))
     c_t = cut_lineage(everywhere.groupBy("term").agg(F.count("*").alias("c_t")).where(F.col("c_t") <= F.lit(widest))
                       .join(here.select(F.col("term").alias("again")).distinct(), F.col("term") == F.col("again"), "left_semi"))
     rare = here.join(c_t, "term").select("_hash", "term", "c_t")
@@ -134,25 +148,35 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     scored = pairs.withColumn("disclosure", gain / F.log(F.lit(float(n)) / F.col("c_e"))).where(F.col("disclosure") >= GENERALISE)
     scored = cut_lineage(scored.select("entity", "term", (F.col("first") < F.col("last")).alias("apart"), F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k")))
     # Evidence within one text: the term near the entity in different surroundings.
-    near = each.select(F.col("b.entity").alias("entity"), F.col("b.near.around").alias("around"), F.explode("b.near.terms.t").alias("term"))
-    near = near.groupBy("entity", "term").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("entity", "term")
+    near = each.select(F.col("b.entity").alias("entity"), F.col("b.near.around").alias("around"), F.explode("b.near.terms.t").alias("t"))
+    near = near.groupBy("entity", F.xxhash64("t").alias("term")).agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("entity", "term")
     weak = scored.where(~F.col("apart")).join(near, ["entity", "term"], "left_semi")
     flagged = cut_lineage(scored.where("apart").unionByName(weak).select("entity", "term", "k"))
     terms = rare.join(flagged.select("term").distinct(), "term", "left_semi").select("_hash", "term")
     cuts = (terms.join(held.select("_text_hash", "entity"), F.col("_hash") == F.col("_text_hash")).join(flagged, ["entity", "term"])
             .groupBy("_text_hash", "term").agg(F.max("k").alias("k")).groupBy("_text_hash")
             .agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_kinds")))
-    whole_texts = bodies.join(cut_lineage(cuts), F.col("_hash") == F.col("_text_hash"))
+    return marks(cut_lineage(cuts), docs, text)
+
+
+def marks(cuts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``_text_hash`` and ``_more`` of texts with flagged terms (``_kinds``)."""
+    bucket = lambda h: F.conv(F.substring(F.hex(h), 1, BUCKET_DIGITS), 16, 10).cast("int")
+    # Bounded: 16 ** BUCKET_DIGITS numbers at most. Texts of other buckets go no further than their scan.
+    buckets = F.broadcast(cuts.select(bucket(F.col("_text_hash")).alias("_bucket")).distinct())
+    bodies = docs.select(whole(text).alias("_text")).withColumn("_hash", text_hash(F.col("_text")))
+    bodies = bodies.join(buckets, bucket(F.col("_hash")) == F.col("_bucket"), "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
+    whole_texts = bodies.join(cuts, F.col("_hash") == F.col("_text_hash"))
     marked = F.filter(F.transform(matches(F.col("_text"), TERM), lambda t: F.struct(
-        t["s"].alias("s"), F.try_element_at("_kinds", F.lower(t["m"])).alias("k"), t["e"].alias("e"))), lambda t: t["k"].isNotNull())
-    return whole_texts.select("_text_hash", F.array_sort(marked).alias("_more"))
+        t["s"].alias("s"), F.try_element_at("_kinds", F.xxhash64(F.lower(t["m"]))).alias("k"), t["e"].alias("e"))), lambda t: t["k"].isNotNull())
+    return cut_lineage(whole_texts.select("_text_hash", F.array_sort(marked).alias("_more")))
 
 
 def all_spans(found: DataFrame, more: DataFrame) -> DataFrame:
     """``_key``, ``_plain`` (base spans) and ``_spans`` (with flagged terms outside base spans)."""
     plain = F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     rows = found.select("_key", "_text_hash", plain.alias("_plain"))
-    out = rows.where(F.size("_plain") > 0).join(cut_lineage(more), "_text_hash", "left")
+    out = rows.where(F.size("_plain") > 0).join(more, "_text_hash", "left")
     out = out.unionByName(rows.where(F.size("_plain") == 0), allowMissingColumns=True)
     return out.select("_key", "_text_hash", "_plain", F.array_sort(F.concat("_plain", clear_of(F.col("_plain"), F.col("_more")))).alias("_spans"))
 
@@ -185,12 +209,13 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with redacted text; all rows and columns stay."""
-    found = find(docs, key, text)
-    more = cut_lineage(all_spans(found, disclosing(found, docs, text)).where(F.size("_spans") > 0)
-                       .groupBy("_text_hash").agg(F.first("_spans").alias("_spans")))
-    marked = docs.withColumn("_text_hash", F.sha2(whole(text), 256)).join(more, "_text_hash", "left")
-    clean = F.when(F.col("_spans").isNotNull(), redact(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return marked.withColumn(text, clean).select(*docs.columns)
+    more = disclosing(find(docs, key, text), docs, text)
+    # Base spans are found again in place; only flagged terms travel, to all tasks if they are few.
+    more = broadcast_within(more.withColumnsRenamed({"_text_hash": "_marked_hash", "_more": "_marked_more"}), F.size("_marked_more") + 1, BROADCAST_SPANS)
+    marked = docs.join(more, text_hash(whole(text)) == F.col("_marked_hash"), "left")
+    plain = F.transform(entities(whole(text)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    clean = let(plain, lambda p: redact(whole(text), F.array_sort(F.concat(p, clear_of(p, F.col("_marked_more"))))))
+    return marked.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(spans: DataFrame, key: str) -> DataFrame:
