@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from gridstats.catalog import query
 from gridstats.operators import neighbours, spatial
+from gridstats.operators.scalars import attach_scalars
 from gridstats.plans.flux import cell_lookup, distinct_cells
+from gridstats.session import cut_lineage
 
 # Four regions over the plane of (balance in thousands, last digit of the key): a hole, two parts, shared edges.
 REGIONS = {
@@ -103,6 +105,17 @@ def _(t):
     return neighbours.knn_join(t.embeddings, "vec_id", "embedding", 5)
 
 
+@query("approximate_neighbours", "J12", """
+select 5 * count(*) as wanted, true as recall_reached, 0::bigint as wrong_distances from embeddings where embedding is not null""")
+def _(t):
+    """Recall of the approximate mode against the exact one, both over all vectors; distances found are exact."""
+    found = cut_lineage(neighbours.knn_join_approximate(t.embeddings, "vec_id", "embedding", 5))
+    exact = cut_lineage(neighbours.knn_join(t.embeddings, "vec_id", "embedding", 5))
+    same = found.withColumnRenamed("distance", "d").join(exact, ["id", "neighbour"]).agg(F.count_if(F.abs(F.col("d") - F.col("distance")) > 1e-9).alias("n"))
+    scores = attach_scalars(neighbours.neighbour_recall(found, exact), same, "s")
+    return scores.select("wanted", (F.col("recall") >= 0.9).alias("recall_reached"), F.col("s.n").alias("wrong_distances"))
+
+
 @query("isolation_filter", "M1 J12 A2", SQL_NEAREST + """
 , m as (select id, avg(dist) as md from d where r <= 5 group by id) select id as vec_id, label from m join embeddings on vec_id = id where md <= (select quantile_cont(md, 0.99) from m)""")
 def _(t):

@@ -8,12 +8,14 @@
    visits only the blocks of the remaining cells, each pair of blocks being one bounded task.
 5. Each visit returns at most k rows per vector; they are merged with a top-k window.
 
-Nothing is approximated: a pruned cell provably holds no nearer vector.
+Nothing is approximated: a pruned cell provably holds no nearer vector. ``knn_join_approximate`` is the other mode,
+to be asked for: in many dimensions the bounds rule out little, and locality-sensitive buckets look at fewer vectors.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,10 @@ from gridstats.operators.scalars import attach_scalars
 from gridstats.session import cut_lineage
 
 BLOCK_ROWS = 2048
+#: Distances held at once.
+CELLS = 4_000_000
+#: Vectors that approximate buckets are fitted on, and rows among them whose neighbours are looked up.
+SAMPLE, TRIED = 2000, 200
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -33,7 +39,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
-    step = max(1, int(4_000_000 // max(1, b.size)))
+    step = max(1, CELLS // max(1, b.size))
     for i in range(0, len(a), step):
         diff = a[i:i + step, None, :] - b[None, :, :]
         out[i:i + step] = np.sqrt((diff * diff).sum(axis=2))
@@ -46,13 +52,27 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> lis
     width = min(k, dist.shape[1])
     kth = np.partition(dist, width - 1, axis=1)[:, width - 1]
     at, near = np.nonzero(dist <= kth[:, None])
-    ends = np.searchsorted(at, np.arange(len(dist) + 1))
-    found = []
-    for q in range(len(dist)):
-        columns = near[ends[q]:ends[q + 1]]
-        pairs = sorted((d, i) for d, j in zip(dist[q, columns].tolist(), columns.tolist()) for i in ids[j])[:k]
-        found.append([{"dist": d, "id": i} for d, i in pairs])
-    return found
+    # Every (query, distance, id) in one sort; ids go by their order, whatever their type.
+    counts = np.array([len(i) for i in ids])
+    flat = np.concatenate([np.asarray(i, dtype=object) for i in ids]) if len(ids) else np.zeros(0, dtype=object)
+    names, order_of = np.unique(flat, return_inverse=True)
+    first = np.cumsum(counts) - counts
+    copies = counts[near]
+    at, far = np.repeat(at, copies), np.repeat(dist[at, near], copies)
+    place = order_of[np.repeat(first[near] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())]
+    order = np.lexsort((place, far, at))
+    at, far, place = at[order], far[order], place[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
+    at, far, place = at[kept], far[kept].tolist(), names[place[kept]].tolist()
+    ends = np.searchsorted(at, np.arange(len(dist) + 1)).tolist()
+    pairs = [{"dist": d, "id": i} for d, i in zip(far, place)]
+    return [pairs[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+
+def _by_slices(column: pd.Series, width: int, use) -> list:
+    """``use(matrix, from, to)`` on slices whose distances to ``width`` vectors fit in memory."""
+    step = max(1, CELLS // max(1, width))
+    return [use(_matrix(column.iloc[lo:lo + step]), lo, lo + step) for lo in range(0, len(column), step)]
 
 
 def _distinct_vectors(df: DataFrame, vec: Column, row_id: str | None, k: int) -> DataFrame:
@@ -77,6 +97,8 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
     n = donors.count()
     kind = donors.schema["ids"].dataType.elementType.simpleString()
     found_schema = f"vec array<double>, best array<struct<dist:double,id:{kind}>>"
+    if not n:
+        return queries.select("vec", F.lit(None).cast(f"array<struct<dist:double,id:{kind}>>").alias("best")).limit(0)
     cells = max(1, min(math.isqrt(n) if max_pivots is None else max_pivots, math.ceil(n / block_rows)))
     # A square root of the vectors at most comes to the driver.
     pivots = [r["vec"] for r in donors.orderBy(F.xxhash64("vec"), "vec").limit(cells).select("vec").collect()]
@@ -84,9 +106,12 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
 
     @F.pandas_udf("struct<cell:int,dist:double>")
     def home(column: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(column), pivot_matrix)
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"cell": at.astype("int32"), "dist": d[np.arange(len(d)), at]})
+        def nearest(part, lo, hi):
+            d = _distances(part, pivot_matrix)
+            at = d.argmin(axis=1)
+            return pd.DataFrame({"cell": at.astype("int32"), "dist": d[np.arange(len(d)), at]})
+
+        return pd.concat(_by_slices(column, len(pivots), nearest), ignore_index=True) if len(column) else pd.DataFrame({"cell": [], "dist": []})
 
     def blocks_of(side: DataFrame, sizes: DataFrame) -> DataFrame:
         # One row per pivot.
@@ -127,11 +152,13 @@ def _search(queries: DataFrame, donors: DataFrame, want: int, block_rows: int, m
 
     @F.pandas_udf("array<int>")
     def reachable(column: pd.Series, reach: pd.Series) -> pd.Series:
-        d = _distances(_matrix(column), pivot_matrix)
-        bound = np.maximum(np.maximum(d - outer, inner - d), 0.0)
-        slack = 1e-9 * (1.0 + d)
-        open_cells = (bound <= reach.to_numpy()[:, None] + slack) & (outer >= 0)
-        return pd.Series([np.flatnonzero(r).astype("int32").tolist() for r in open_cells])
+        def opened(part, lo, hi):
+            d = _distances(part, pivot_matrix)
+            bound = np.maximum(np.maximum(d - outer, inner - d), 0.0)
+            open_cells = (bound <= reach.to_numpy()[lo:hi, None] + 1e-9 * (1.0 + d)) & (outer >= 0)
+            return [np.flatnonzero(r).astype("int32").tolist() for r in open_cells]
+
+        return pd.Series([cells for part in _by_slices(column, len(pivots), opened) for cells in part], dtype=object)
 
     reach = F.when(F.size("best") == want, F.element_at("best", -1)["dist"]).otherwise(float("inf"))
     more = first.select("vec", "cell", "block", F.col("t_block").alias("seen")).join(local.select("vec", reach.alias("reach")), "vec")
@@ -151,12 +178,144 @@ def knn_join(df: DataFrame, row_id: str, vec: str, k: int = 5, *, block_rows: in
     v = F.col(vec).cast("array<double>")
     vectors = cut_lineage(_distinct_vectors(df, v, row_id, k))
     found = _search(vectors.select("vec"), vectors, k + 1, block_rows, max_pivots)
+    return _other_rows(df, row_id, v, found, k)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Random projections cut into cells, in several tables; near vectors share a cell in one of them."""
+
+    directions: np.ndarray  # dimensions x (tables * hashes)
+    shifts: np.ndarray
+    tables: int
+    probes: int
+    recall: float  # on the sample that it was fitted on
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = (x @ self.directions + self.shifts).reshape(len(x), self.tables, -1)
+        cell = np.floor(place)
+        return cell.astype(np.int64), place - cell
+
+    def names(self, cell: np.ndarray) -> np.ndarray:
+        """One number per (table, cell)."""
+        out = np.broadcast_to(np.arange(1, self.tables + 1, dtype=np.uint64), cell.shape[:2]).copy()
+        with np.errstate(over="ignore"):
+            for i in range(cell.shape[2]):
+                out = (out ^ cell[:, :, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return self.names(self.cells(x)[0])
+
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        """Home cells and, per table, those beyond the ``probes`` nearest walls."""
+        cell, within = self.cells(x)
+        walls = np.argsort(np.minimum(within, 1 - within), axis=2)[:, :, :self.probes]
+        out = [self.names(cell)]
+        for i in range(walls.shape[2]):
+            moved, wall = cell.copy(), walls[:, :, i:i + 1]
+            step = np.where(np.take_along_axis(within, wall, axis=2) < 0.5, -1, 1)
+            np.put_along_axis(moved, wall, np.take_along_axis(cell, wall, axis=2) + step, axis=2)
+            out.append(self.names(moved))
+        return np.concatenate(out, axis=1)
+
+
+def fit_buckets(sample: np.ndarray, k: int, recall: float, seed: int = 11) -> Buckets:
+    """The buckets that look at the fewest vectors among those that find ``recall`` of the sample's neighbours.
+
+    Neighbours within a sample are farther apart than in the whole table, so its recall is a cautious one.
+    """
+    rng = np.random.default_rng(seed)
+    asked = rng.permutation(len(sample))[:TRIED]
+    far = _distances(sample[asked], sample)
+    far[np.arange(len(asked)), asked] = np.inf
+    near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(asked), 0), dtype=int)
+    unit = float(np.median(np.take_along_axis(far, near, axis=1))) if near.size else 1.0
+    best = None
+    for tables in (4, 8, 16):
+        for hashes in (1, 2, 3, 4, 6, 8, 10):
+            for width in (0.5, 1.0, 2.0, 4.0, 8.0):
+                b = Buckets(rng.standard_normal((sample.shape[1], tables * hashes)) / (width * (unit or 1.0)), rng.uniform(0, 1, tables * hashes), tables, min(2, hashes), 0.0)
+                home, visited = b.home(sample), b.visited(sample[asked])
+                met = np.zeros((len(asked), len(sample)), dtype=bool)
+                for t in range(tables):
+                    for p in range(b.probes + 1):
+                        met |= visited[:, p * tables + t][:, None] == home[:, t][None, :]
+                found = float(np.take_along_axis(met, near, axis=1).mean()) if near.size else 1.0
+                cost = met.mean()
+                if found >= recall and (best is None or cost < best[0]):
+                    best = (cost, replace(b, recall=found))
+    if best is None:
+        # One cell in one table holds everything.
+        return Buckets(np.zeros((sample.shape[1], 1)), np.zeros(1), 1, 0, 1.0)
+    return best[1]
+
+
+def knn_join_approximate(df: DataFrame, row_id: str, vec: str, k: int = 5, *, recall: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``knn_join`` through locality-sensitive buckets: most of the k nearest other rows, distances exact.
+
+    Buckets are fitted on ``SAMPLE`` vectors at most, to the recall asked for, and every vector is put into them. A
+    bucket of any size is searched whole, in blocks. A row that shares no bucket with k others gets fewer.
+    """
+    v = F.col(vec).cast("array<double>")
+    vectors = cut_lineage(_distinct_vectors(df, v, row_id, k))
+    share = min(1.0, SAMPLE / max(1, vectors.count()))
+    least = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    sample = np.array([r["vec"] for r in least.select("vec").limit(2 * SAMPLE).collect()], dtype=np.float64)
+    if not len(sample):
+        return knn_join(df, row_id, vec, k, block_rows=block_rows)
+    buckets = fit_buckets(sample, k, recall)
+
+    def named(method: str) -> Column:
+        @F.pandas_udf("array<bigint>")
+        def run(column: pd.Series) -> pd.Series:
+            parts = _by_slices(column, buckets.directions.shape[1] * 4, lambda x, lo, hi: list(np.sort(getattr(buckets, method)(x), axis=1)))
+            return pd.Series([row for part in parts for row in part], dtype=object)
+
+        return F.explode(F.array_distinct(run("vec")))
+
+    donors = vectors.select("vec", "ids", named("home").alias("bucket"))
+    sizes = cut_lineage(donors.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    placed = donors.join(sizes, "bucket").select(
+        F.col("bucket").alias("t_bucket"), F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int").alias("t_block"), F.col("vec").alias("t_vec"), F.col("ids").alias("t_ids"))
+    asked = vectors.select("vec", named("visited").alias("bucket")).join(sizes, "bucket")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec", F.lit(3)), F.col("blocks")).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Each part of a bucket's askers meets each block of its vectors.
+    meetings = asked.select(F.col("bucket").alias("t_bucket"), F.col("block").alias("t_block"), F.col("part").alias("t_part")).distinct()
+    members = placed.join(meetings, ["t_bucket", "t_block"])
+    kind = vectors.schema["ids"].dataType.elementType.simpleString()
+
+    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"vec": [], "best": []})
+        best = _nearest(_matrix(left["vec"]), _matrix(right["t_vec"]), [ids.tolist() for ids in right["t_ids"]], k + 1)
+        return pd.DataFrame({"vec": left["vec"], "best": best})
+
+    found = asked.groupBy("bucket", "block", "part").cogroup(members.groupBy("t_bucket", "t_block", "t_part")).applyInPandas(
+        across, f"vec array<double>, best array<struct<dist:double,id:{kind}>>")
+    # The same neighbour may come from several tables.
+    once = found.select("vec", F.inline("best")).distinct()
+    top = once.withColumn("rn", F.row_number().over(Window.partitionBy("vec").orderBy("dist", "id"))).where(F.col("rn") <= k + 1)
+    best = top.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("dist", "id"))).alias("best"))
+    return _other_rows(df, row_id, v, best, k)
+
+
+def _other_rows(df: DataFrame, row_id: str, v: Column, found: DataFrame, k: int) -> DataFrame:
     rows = df.select(F.col(row_id).alias("id"), v.alias("vec")).join(found, "vec")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)
     return rows.select("id", F.posexplode(others).alias("rank", "b")).select(
         "id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("neighbour"), F.col("b.dist").alias("distance"))
 
 
+def neighbour_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: ``wanted`` neighbours of the exact search and the share of them ``found``, ties of distance counting as found."""
+    farthest = exact.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"), F.max("distance").alias("limit"))
+    hits = found.join(farthest, "id").groupBy("id").agg(F.count_if(F.col("distance") <= F.col("limit") * (1 + 1e-12)).alias("hits"))
+    return farthest.join(hits, "id", "left").agg(F.sum("wanted").alias("wanted"), (F.sum(F.least("hits", "wanted")) / F.sum("wanted")).alias("recall"))
+
+
 def mean_neighbour_distance(df: DataFrame, features: list[str], k: int = 5, *, name: str = "mean_distance",
                             block_rows: int = BLOCK_ROWS, max_pivots: int | None = None) -> DataFrame:
     """Rows without null features, with the mean distance to their k nearest other rows."""

@@ -99,3 +99,25 @@ def test_neighbours_keep_text_ids(spark):
     df = spark.createDataFrame([(f"s{i:02d}", [float(i), 0.0]) for i in range(30)], "name string, vec array<double>")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in knn_join(df, "name", "vec", 2, block_rows=8).collect()}
     assert got["s00", 1] == "s01" and got["s10", 1] == "s09" and got["s10", 2] == "s11"
+
+
+def test_approximate_neighbours(spark):
+    """Clusters, one of them most of the rows, with copies; fewer pairs than all, recall measured, distances exact."""
+    from gridstats.operators import neighbours
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16)) * 6
+    x = np.concatenate([centres[rng.integers(0, 30, 600)] + 0.3 * rng.standard_normal((600, 16)), centres[0] + 0.1 * rng.standard_normal((500, 16))])
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(2000 + i, x[7].tolist()) for i in range(9)] + [(3000, None)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    found = neighbours.knn_join_approximate(frame, "id", "v", 4, block_rows=64)
+    exact = neighbours.knn_join(frame, "id", "v", 4, block_rows=64)
+    row = neighbours.neighbour_recall(found, exact).first()
+    assert row["wanted"] == 4 * 1109 and row["recall"] >= 0.95
+    known = {(r["id"], r["neighbour"]): r["distance"] for r in exact.collect()}
+    got = found.collect()
+    assert all(known.get((r["id"], r["neighbour"]), r["distance"]) == pytest.approx(r["distance"]) for r in got)
+    assert len({(r["id"], r["neighbour"]) for r in got}) == len(got) and max(r["rank"] for r in got) == 4
+    assert neighbours.knn_join_approximate(frame.limit(0), "id", "v", 4).count() == 0
+    buckets = neighbours.fit_buckets(x, 4, 0.95)
+    share = np.mean([np.isin(buckets.home(x), row).any(axis=1).mean() for row in buckets.visited(x[:50])])
+    assert share < 0.8
