@@ -179,8 +179,8 @@ def _(t):
     for flag in ("A", "N", "R"):
         rows.where(F.col("l_returnflag") == flag).write.mode("append").parquet(landing)
         stream = incremental.landed_stream(t.spark, landing, rows.schema)
-        incremental.finished(incremental.running_mean(stream, ["l_suppkey"], ["l_quantity"], out, state))
-    return t.spark.read.parquet(out)
+        incremental.finished(incremental.running_mean(stream, ["l_suppkey"], ["l_quantity"], out, state, compact_every=2))
+    return incremental.read_running(t.spark, out, ["l_suppkey"])
 
 
 @query("incremental_scoring", "ST2", """

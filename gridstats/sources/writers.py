@@ -58,6 +58,7 @@ def publish(df: DataFrame, path: str) -> None:
     staging = where.suffix(f".{uuid.uuid4().hex}._building")
     try:
         write_csv(df, staging.toString()) if path.lower().endswith(".csv") else df.write.parquet(staging.toString())
+        files.mkdirs(where.getParent())
         if files.exists(where):
             files.delete(where, True)  # only what a crashed write left: the caller has looked
         if not files.rename(staging, where):
