@@ -1,28 +1,35 @@
 """Points in polygons without a nested-loop join.
 
-Regions are cut into square tiles. Every tile carries its candidate regions; a tile that no edge
-of a region touches is wholly inside or outside of it, so most points need no geometry at all.
-Points look up their one tile by an integer key, which keeps the row count and needs one hash join.
+Regions are covered by square tiles. A tile keeps the edges that touch it and one parity per region: whether an odd
+number of the region's other edges lies to its right on its lower border. That parity changes on the way up
+only at ends of the tile's own edges whose next edge lies to the right, so each own edge carries a mark for either
+end, and a point is tested against the edges of its tile alone, with the result of a ray through the whole
+region. A tile without edges is wholly inside or outside. Edges stored are those of the regions, times the tiles that each
+touches. Points look up their one tile by an integer key, which keeps the row count and needs one hash join; the tile
+table is stored first, so the planner knows its size when it chooses the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridstats.functions.columns import quoted
-from gridstats.operators.scalars import broadcast_within
-from gridstats.session import cut_lineage
+from gridstats.session import cut_lineage, stored
 
-MAX_BROADCAST_EDGES = 2_000_000
 RING_TYPE = "array<array<struct<x:double,y:double>>>"
+#: An edge counts for a tile that it misses by this share of the coordinates, more than rounding can move it.
+MARGIN = 1e-9
 
 
 def region_edges(regions: DataFrame, region: str = "region", rings: str = "rings") -> DataFrame:
-    """One row per polygon edge; rings may repeat their first vertex or not, holes are just rings."""
+    """One row per polygon edge with the points before and after it; rings may repeat their first vertex or not, holes are just rings."""
     ring = regions.select(region, F.explode(rings).alias("ring")).where(F.size("ring") >= 3)
-    nxt = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
-    edges = F.transform(F.arrays_zip(F.col("ring").alias("a"), nxt.alias("b")), lambda e: F.struct(
-        e["a"]["x"].alias("x1"), e["a"]["y"].alias("y1"), e["b"]["x"].alias("x2"), e["b"]["y"].alias("y2")))
+    turn = lambda n: F.concat(F.slice("ring", n + 1, F.size("ring") - n), F.slice("ring", 1, n))
+    last = F.concat(F.slice("ring", -1, 1), F.slice("ring", 1, F.size("ring") - 1))
+    points = {"p": last, "a": F.col("ring"), "b": turn(1), "n": turn(2)}
+    edges = F.transform(F.arrays_zip(*[v.alias(k) for k, v in points.items()]), lambda e: F.struct(
+        e["p"]["x"].alias("xp"), e["p"]["y"].alias("yp"), e["a"]["x"].alias("x1"), e["a"]["y"].alias("y1"),
+        e["b"]["x"].alias("x2"), e["b"]["y"].alias("y2"), e["n"]["x"].alias("xn"), e["n"]["y"].alias("yn")))
     return ring.select(F.col(region).alias("region"), F.inline(edges))
 
 
@@ -39,9 +46,14 @@ def _touches(e: Column, x: Column, y: Column) -> Column:
             & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
 
-def _strictly_inside(edges: Column, x: Column, y: Column) -> Column:
-    crossings = F.size(F.filter(edges, lambda e: F.coalesce(_crosses(e, x, y), F.lit(False))))
-    return (crossings % 2 == 1) & ~F.exists(edges, lambda e: _touches(e, x, y))
+def _strictly_inside(tile: Column, x: Column, y: Column) -> Column:
+    """Is the point, which lies in this tile, inside of the region and on none of its edges?"""
+    def passed(mark: Column, at: Column) -> Column:
+        return (mark & ((at > tile["low"]) != (at > y))).cast("int")
+
+    crossed = F.aggregate(tile["edges"], tile["odd"].cast("int"), lambda n, e: n + F.coalesce(_crosses(e, x, y), F.lit(False)).cast("int")
+                          + passed(e["m1"], e["y1"]) + passed(e["m2"], e["y2"]))
+    return (crossed % 2 == 1) & ~F.exists(tile["edges"], lambda e: _touches(e, x, y))
 
 
 def tile_index(value: str | Column, tile: float) -> Column:
@@ -49,43 +61,51 @@ def tile_index(value: str | Column, tile: float) -> Column:
     return F.floor(v / F.lit(float(tile))).cast("bigint")
 
 
+def _reach(xa: str, ya: str, xb: str, yb: str, low: Column, high: Column, tile: float) -> tuple[Column, Column]:
+    """First and last tile of a row that an edge may touch within the row's height."""
+    margin = F.lit(MARGIN) * (F.greatest(F.abs(xa), F.abs(xb), F.abs(ya), F.abs(yb)) + F.lit(float(tile)))
+    left, right = F.least(xa, xb), F.greatest(xa, xb)
+
+    def at(y: str) -> Column:
+        clamped = F.greatest(F.least(F.col(y), high + margin), low - margin)
+        x = F.col(xa) + (clamped - F.col(ya)) * F.try_divide(F.col(xb) - F.col(xa), F.col(yb) - F.col(ya))
+        # A flat edge is met along its whole length.
+        return F.greatest(F.least(F.coalesce(x, F.col(xa) if y == ya else F.col(xb)), right), left)
+
+    return (tile_index(F.least(at(ya), at(yb)) - margin, tile), tile_index(F.greatest(at(ya), at(yb)) + margin, tile))
+
+
 def region_tiles(regions: DataFrame, tile: float, region: str = "region", rings: str = "rings") -> DataFrame:
-    """Per tile: its candidate regions in id order, with the edges a point test there needs."""
-    edges = region_edges(regions, region, rings)
-    box = edges.groupBy("region").agg(
-        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"),
-        F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
-    tiles = box.select("region", F.explode(F.sequence(tile_index("y0", tile), tile_index("y9", tile))).alias("ty"), "x0", "x9")
-    tiles = tiles.select("region", "ty", F.explode(F.sequence(tile_index("x0", tile), tile_index("x9", tile))).alias("tx"))
-    band = edges.select("*", F.explode(F.sequence(
-        tile_index(F.least("y1", "y2"), tile), tile_index(F.greatest("y1", "y2"), tile))).alias("ty"))
-    left, right = F.col("tx") * F.lit(float(tile)), (F.col("tx") + 1) * F.lit(float(tile))
-    # Only edges of the tile's own row that are not wholly to its left can be crossed by a ray.
-    met = tiles.join(band, ["region", "ty"]).where(F.greatest("x1", "x2") >= left)
-    edge = F.struct("x1", "y1", "x2", "y2")
-    per_tile = met.groupBy("region", "tx", "ty").agg(
-        F.collect_list(edge).alias("edges"), F.count_if(F.least("x1", "x2") <= right).alias("local"))
-    mid_y = (F.col("ty") + 0.5) * F.lit(float(tile))
-    centre_inside = _strictly_inside(F.col("edges"), (F.col("tx") + 0.5) * F.lit(float(tile)), mid_y)
-    useful = per_tile.withColumn("whole", (F.col("local") == 0) & centre_inside)
-    useful = useful.where(F.col("whole") | (F.col("local") > 0))
-    candidate = F.struct("region", "whole", F.when(~F.col("whole"), F.col("edges")).alias("edges"))
-    return useful.groupBy("tx", "ty").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
+    """Per tile: its candidate regions in id order, each wholly inside or with the edges a point test there needs."""
+    margin = F.lit(MARGIN) * (F.greatest(F.abs("x1"), F.abs("x2"), F.abs("y1"), F.abs("y2")) + F.lit(float(tile)))
+    rows = region_edges(regions, region, rings).select("*", F.explode(F.sequence(
+        tile_index(F.least("y1", "y2") - margin, tile), tile_index(F.greatest("y1", "y2") + margin, tile))).alias("ty"))
+    low, high = F.col("ty") * F.lit(float(tile)), (F.col("ty") + 1) * F.lit(float(tile))
+    first, last = _reach("x1", "y1", "x2", "y2", low, high, tile)
+    rows = cut_lineage(rows.withColumns({"low": low, "first": first, "last": last,
+                                         "before": _reach("xp", "yp", "x1", "y1", low, high, tile)[0],
+                                         "after": _reach("x2", "y2", "xn", "yn", low, high, tile)[0]}))
+    # Along the lower border of a row, tiles with an odd number of edges beyond them come in runs.
+    ends = rows.where((F.col("y1") > F.col("low")) != (F.col("y2") > F.col("low"))).groupBy("region", "ty", "first").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("region", "ty").orderBy("first")
+    beyond = F.sum("n").over(w.rowsBetween(1, Window.unboundedFollowing))
+    runs = ends.select("region", "ty", "first", F.lead("first").over(w).alias("next"), beyond.alias("beyond")).where(F.col("beyond") % 2 == 1)
+    odd = runs.select("region", "ty", F.explode(F.sequence(F.col("first"), F.col("next") - 1)).alias("tx"), F.lit(True).alias("odd"))
+    near = rows.select("*", F.explode(F.sequence("first", "last")).alias("tx"))
+    edge = F.struct("x1", "y1", "x2", "y2", (F.col("before") > F.col("tx")).alias("m1"), (F.col("after") > F.col("tx")).alias("m2"))
+    own = near.groupBy("region", "tx", "ty").agg(F.collect_list(edge).alias("edges"), F.first("low").alias("low"))
+    every = own.join(odd, ["region", "tx", "ty"], "full")
+    candidate = F.struct("region", F.col("edges").isNull().alias("whole"), F.coalesce("odd", F.lit(False)).alias("odd"), "low", "edges")
+    return every.groupBy("tx", "ty").agg(F.sort_array(F.collect_list(F.struct("region", candidate.alias("tile")))).alias("candidates"))
 
 
 def assign_region(points: DataFrame, regions: DataFrame, *, x: str, y: str, tile: float, name: str = "region",
                   region: str = "region", rings: str = "rings") -> DataFrame:
-    """Add the id of the first region (in id order) a point lies strictly inside of, else null.
-
-    The tile table is built once and measured. While it is small the points stay in place; beyond
-    the limit they are shuffled to the tiles.
-    """
-    tiles = cut_lineage(region_tiles(regions, tile, region, rings).withColumnsRenamed({"tx": "__tx", "ty": "__ty"}))
-    edges = F.aggregate("candidates", F.lit(1), lambda n, c: n + F.coalesce(F.size(c["edges"]), F.lit(0)))
-    tiles = broadcast_within(tiles, edges, MAX_BROADCAST_EDGES)
+    """Add the id of the first region (in id order) a point lies strictly inside of, else null."""
+    tiles = stored(region_tiles(regions, tile, region, rings).withColumnsRenamed({"tx": "__tx", "ty": "__ty"}))
     placed = points.withColumns({"__tx": tile_index(x, tile), "__ty": tile_index(y, tile)})
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    hit = F.filter("candidates", lambda c: c["whole"] | F.coalesce(_strictly_inside(c["edges"], px, py), F.lit(False)))
+    hit = F.filter("candidates", lambda c: c["tile"]["whole"] | F.coalesce(_strictly_inside(c["tile"], px, py), F.lit(False)))
     joined = placed.join(tiles, ["__tx", "__ty"], "left")
     return joined.withColumn(name, F.get(hit, F.lit(0))["region"]).select(*quoted(points.columns), name)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridstats.functions.binning import edge_bin, hex_cell, width_bin
 from gridstats.functions.columns import safe_log10
-from gridstats.operators.quantiles import (_same, exact_median, exact_quantiles, feature_quantiles, melt)
+from gridstats.operators.quantiles import (_same, exact_median, exact_quantiles, feature_quantiles, melt, present)
 from gridstats.operators.scalars import attach_scalars, literal_row
 
 
@@ -188,7 +188,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("__lo", F.col("q1") - reach * (F.col("q3") - F.col("q1")))
     q = q.withColumn("__hi", F.col("q3") + reach * (F.col("q3") - F.col("q1")))
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    values = df.where(present(value)).select(*keys, F.col(value).alias("__v"))
     if keys:
         rows = _same(values, q.select(*keys, "__lo", "__hi"), keys, [])
     else:

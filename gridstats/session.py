@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -55,3 +56,10 @@ def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     rows = Observation()
     held = cut_lineage(df.observe(rows, F.count(F.lit(1)).alias("rows")))
     return held, rows.get["rows"]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cut from its lineage, and of a size that the planner knows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/gridstats-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -121,3 +121,33 @@ def test_approximate_neighbours(spark):
     buckets = neighbours.fit_buckets(x, 4, 0.95)
     share = np.mean([np.isin(buckets.home(x), row).any(axis=1).mean() for row in buckets.visited(x[:50])])
     assert share < 0.8
+
+
+def test_points_on_tile_borders_and_ragged_regions(spark):
+    """Vertices, flat edges and points on tile borders; a ragged ring; edges stored stay few beside tiles times edges."""
+    from gridstats.operators.spatial import region_tiles
+    rng = np.random.default_rng(4)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 60))
+    ragged = [(float(np.round(3 + (1 + 2 * r) * np.cos(t), 1)), float(np.round(3 + (1 + 2 * r) * np.sin(t), 1))) for t, r in zip(angle, rng.random(60))]
+    steps = [(0.0, 0.0), (6.0, 0.0), (6.0, 2.0), (4.0, 2.0), (4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (0.0, 6.0), (0.0, 4.0), (2.0, 4.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    shapes = {"a": [steps], "b": [ragged], "c": [[(x * 0.1, y * 0.1) for x, y in steps], [(5.0, 5.0), (5.0, 5.5), (5.5, 5.5)]]}
+    table = spark.createDataFrame([(k, v) for k, v in shapes.items()], "region string, rings " + RING_TYPE)
+    grid = [(i, round(float(a), 2), round(float(b), 2)) for i, (a, b) in enumerate((a, b) for a in np.arange(-1, 7, 0.2) for b in np.arange(-1, 7, 0.2))]
+    df = spark.createDataFrame(grid, "id int, x double, y double")
+
+    def inside(x, y, rings):
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                    return False
+                if (y1 > y) != (y2 > y) and x1 + (y - y1) * ((x2 - x1) / (y2 - y1)) > x:
+                    odd = not odd
+        return odd
+
+    want = {i: next((k for k in sorted(shapes) if inside(x, y, shapes[k])), None) for i, x, y in grid}
+    for tile in (0.1, 0.3, 1.0, 2.0, 50.0):
+        got = {r["id"]: r["region"] for r in assign_region(df, table, x="x", y="y", tile=tile).collect()}
+        assert got == want, tile
+    small = region_tiles(table.where("region = 'a'"), 0.1).selectExpr("sum(aggregate(candidates, 0, (n, c) -> n + coalesce(size(c.tile.edges), 0))) as n").first()["n"]
+    assert small <= 13 * 2 + 5 * sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(steps, steps[1:])) / 0.1
