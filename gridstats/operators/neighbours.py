@@ -336,51 +336,151 @@ def isolation_filter(df: DataFrame, features: list[str], *, k: int = 5, share: f
     return attach_scalars(scored, limit, "__l").where(F.col("__d") <= F.col("__l.limit")).drop("__d", "__l")
 
 
+def _masked(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Distances over the features that both rows have (NaN marks the others), scaled up by the share of features used."""
+    out = np.empty((len(queries), len(vectors)))
+    step = max(1, CELLS // max(1, vectors.size))
+    for i in range(0, len(queries), step):
+        diff = queries[i:i + step, None, :] - vectors[None, :, :]
+        shared = (~np.isnan(diff)).sum(axis=2)
+        sums = np.nansum(diff * diff, axis=2)
+        out[i:i + step] = np.where(shared > 0, np.sqrt(sums) * np.sqrt(vectors.shape[1] / np.maximum(shared, 1)), np.inf)
+    return out
+
+
+def _masked_nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Per query and feature it lacks, the k nearest of these donors that have it: q, feature, dist, id, value."""
+    asked, given = _matrix(left["vec"]), _matrix(right["t_vec"])
+    ids = right["id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    given, ids = given[order], ids[order]
+    dist, out = _masked(asked, given), []
+    for f in range(asked.shape[1]):
+        q, d = np.flatnonzero(np.isnan(asked[:, f])), np.flatnonzero(~np.isnan(given[:, f]))
+        if not len(q) or not len(d):
+            continue
+        # Donors are in the order of their ids, which a stable sort keeps among equals.
+        near = np.argsort(dist[np.ix_(q, d)], axis=1, kind="stable")[:, :k]
+        far = np.take_along_axis(dist[np.ix_(q, d)], near, axis=1)
+        at, column = np.nonzero(np.isfinite(far))
+        donor = d[near[at, column]]
+        out.append(pd.DataFrame({"q": left["q"].to_numpy()[q[at]], "feature": f, "dist": far[at, column], "id": ids[donor], "value": given[donor, f]}))
+    return pd.concat(out) if out else pd.DataFrame({"q": [], "feature": [], "dist": [], "id": [], "value": []})
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Per cell of donors: the range of each feature, whether all and whether any of its rows have it."""
+
+    low: np.ndarray
+    high: np.ndarray
+    every: np.ndarray
+    some: np.ndarray
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Least distance that any row of a cell can have to a query, whatever features either lacks.
+
+        Features that all rows of the cell have count with their gap; at most all that any row has are shared.
+        """
+        out = np.empty((len(queries), len(self.low)))
+        for i, q in enumerate(queries):
+            known = ~np.isnan(q)
+            gap = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
+            sums = np.where(known & self.every, np.nan_to_num(gap) ** 2, 0.0).sum(axis=1)
+            shared = (known & self.some).sum(axis=1)
+            out[i] = np.where(shared > 0, np.sqrt(sums * len(q) / np.maximum(shared, 1)), np.inf)
+        return out
+
+
+def _masked_search(asked: DataFrame, donors: DataFrame, means: list[float], k: int, block_rows: int, max_pivots: int | None) -> DataFrame:
+    """``q``, ``feature`` (its place), ``dist``, ``id``, ``value``: the k nearest donors of every query that have the feature.
+
+    ``asked`` holds ``q`` and ``vec``, ``donors`` ``id`` and ``vec``; null marks what a row lacks. One index of all
+    donors: cells around pivots, in vectors whose gaps hold the means, and the box of each cell.
+    """
+    width = len(means)
+    n = donors.count()
+    filled = F.transform("vec", lambda v, i: F.coalesce(v, F.array(*[F.lit(m) for m in means])[i]))
+    cells = max(1, min(math.isqrt(n) if max_pivots is None else max_pivots, math.ceil(n / block_rows)))
+    pivots = [r["v"] for r in donors.select("id", filled.alias("v")).orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()]
+    pivot_matrix = np.array(pivots, dtype=np.float64).reshape(len(pivots), width)
+
+    @F.pandas_udf("int")
+    def home(column: pd.Series) -> pd.Series:
+        return pd.Series([c for part in _by_slices(column, len(pivots), lambda x, lo, hi: _distances(x, pivot_matrix).argmin(axis=1)) for c in part], dtype="int32")
+
+    placed = cut_lineage(donors.withColumn("t_cell", home(filled)).select("id", F.col("vec").alias("t_vec"), "t_cell"))
+    value = [F.col("t_vec")[i] for i in range(width)]
+    shape = placed.groupBy("t_cell").agg(F.count(F.lit(1)).alias("n"), *[g(v).alias(f"{name}_{i}") for i, v in enumerate(value) for name, g in (("low", F.min), ("high", F.max), ("known", F.count))])
+    shape = cut_lineage(shape)
+    known = shape.collect()  # one row per cell, a square root of the donors at most
+    numbers = np.array([r["t_cell"] for r in known], dtype=np.int32)
+    column = lambda name: np.array([[r[f"{name}_{i}"] for i in range(width)] for r in known], dtype=np.float64).reshape(len(known), width)
+    size = np.array([[r["n"]] for r in known])
+    boxes = Boxes(column("low"), column("high"), column("known") == size, column("known") > 0)
+    blocks = F.broadcast(shape.select("t_cell", F.ceil(F.col("n") / block_rows).cast("int").alias("t_blocks")))
+    targets = cut_lineage(placed.join(blocks, "t_cell").withColumn("t_block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("t_blocks")).cast("int")).drop("t_blocks"))
+    parts = max(1, math.ceil(asked.count() / block_rows))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("q", F.lit(5)), F.lit(parts)).cast("int")).withColumn("cell", home(filled))
+    kinds = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in [*asked.schema.fields, *targets.schema.fields])}
+
+    def visit(visits: DataFrame) -> DataFrame:
+        pairs = visits.select(F.col("part").alias("p_part"), "t_cell", "t_block").distinct()
+        members = targets.join(pairs, ["t_cell", "t_block"]).select("p_part", F.col("t_cell").alias("p_cell"), F.col("t_block").alias("p_block"), "id", "t_vec")
+
+        def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return _masked_nearest(left, right, k)
+
+        return visits.select("q", "vec", "part", "t_cell", "t_block").groupBy("part", "t_cell", "t_block").cogroup(
+            members.groupBy("p_part", "p_cell", "p_block")).applyInPandas(across, f"q {kinds['q']}, feature int, dist double, id {kinds['id']}, value double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy("q", "feature").orderBy("dist", "id"))
+        return found.withColumn("rn", rn).where(F.col("rn") <= k)
+
+    first = asked.join(blocks, F.col("cell") == F.col("t_cell")).withColumn("t_block", F.pmod(F.xxhash64("q"), F.col("t_blocks")).cast("int"))
+    local = cut_lineage(visit(first))
+    # The farthest of the k found for the worst feature bounds the search; a feature with fewer leaves it open.
+    reach = best(local).groupBy("q", "feature").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"))
+    reach = reach.groupBy("q").agg(F.max(F.when(F.col("n") < k, float("inf")).otherwise(F.col("far"))).alias("reach"), F.count(F.lit(1)).alias("features"))
+
+    @F.pandas_udf("array<int>")
+    def reachable(column: pd.Series, reach: pd.Series) -> pd.Series:
+        def opened(x, lo, hi):
+            bound = boxes.bounds(x)
+            return [numbers[b <= r * (1 + 1e-9)].tolist() for b, r in zip(bound, reach.to_numpy()[lo:hi])]
+
+        return pd.Series([cells for part in _by_slices(column, len(known) * width, opened) for cells in part], dtype=object)
+
+    lacking = F.size(F.filter("vec", lambda v: v.isNull()))
+    more = first.select("q", "vec", "part", F.col("t_cell").alias("home_cell"), F.col("t_block").alias("seen")).join(reach, "q", "left")
+    bound = F.when(F.col("features") == lacking, F.col("reach")).otherwise(float("inf"))
+    more = more.withColumn("t_cell", F.explode(reachable("vec", bound))).join(blocks, "t_cell")
+    more = more.withColumn("t_block", F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)))
+    more = more.where((F.col("t_cell") != F.col("home_cell")) | (F.col("t_block") != F.col("seen")))
+    return best(local.unionByName(visit(more))).drop("rn")
+
+
 def knn_impute(train: DataFrame, df: DataFrame, features: list[str], row_id: str, k: int = 5, *,
                block_rows: int = BLOCK_ROWS, max_pivots: int | None = None) -> DataFrame:
     """Fill nulls by the distance-weighted mean of the k nearest training rows that have the value.
 
-    Distances use the features both rows have, scaled up by the share of features used. Rows fall
-    into patterns of present features; for one pair of patterns the shared features are fixed, and
-    the exact search applies. The loop runs over pairs of patterns that occur, not over rows.
-    A value no training row can supply falls back to the training mean.
+    Distances use the features both rows have, scaled up by the share of features used. One search over one index of
+    the training rows serves every pattern of missing features. A value no training row can supply falls back
+    to the training mean.
     """
-    def with_pattern(frame: DataFrame) -> DataFrame:
-        bits = [F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(0) for i, f in enumerate(features)]
-        return frame.withColumn("__p", sum(bits[1:], bits[0]))
-
-    lacking = with_pattern(df).where(F.col("__p") != (1 << len(features)) - 1)
-    donors = with_pattern(train)
-    asking = [r[0] for r in lacking.select("__p").distinct().collect()]
-    giving = [r[0] for r in donors.select("__p").distinct().collect()]
-    found = None
-    for a in asking:
-        for b in giving:
-            shared = [f for i, f in enumerate(features) if a & b & (1 << i)]
-            wanted = [f for i, f in enumerate(features) if b & ~a & (1 << i)]
-            if not shared or not wanted:
-                continue
-            vec = F.array(*[F.col(f).cast("double") for f in shared])
-            rows = lacking.where(F.col("__p") == a).select(F.col(row_id).alias("q"), vec.alias("vec"))
-            given = cut_lineage(_distinct_vectors(donors.where(F.col("__p") == b), vec, row_id, k - 1))
-            best = _search(rows.select("vec").distinct(), given, k, block_rows, max_pivots)
-            best = rows.join(best, "vec").select("q", F.inline("best"))
-            scaled = best.select("q", "id", (F.col("dist") * math.sqrt(len(features) / len(shared))).alias("dist"))
-            scaled = scaled.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in wanted])))
-            found = scaled if found is None else found.unionByName(scaled)
+    vec = F.array(*[F.col(f).cast("double") for f in features])
+    lacking = cut_lineage(df.where(F.exists(vec, lambda v: v.isNull())).select(F.col(row_id).alias("q"), vec.alias("vec")))
+    donors = cut_lineage(train.where(F.exists(vec, lambda v: v.isNotNull())).select(F.col(row_id).alias("id"), vec.alias("vec")))
     means = train.agg(*[F.avg(f).alias(f) for f in features])
-    filled = df
-    if found is not None:
-        rn = F.row_number().over(Window.partitionBy("q", "feature").orderBy("dist", "id"))
-        nearest = found.withColumn("rn", rn).where(F.col("rn") <= k)
-        pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
-        values = train.select(F.col(row_id).alias("id"), F.inline(F.array(*pairs)))
-        nearest = nearest.join(values, ["id", "feature"])
+    filled, found = df, None
+    if lacking.take(1) and donors.take(1):
+        found = _masked_search(lacking, donors, [m or 0.0 for m in means.first()], k, block_rows, max_pivots)
         exact = F.count_if(F.col("dist") == 0) > 0
         at_zero = F.avg(F.when(F.col("dist") == 0, F.col("value")))
         by_distance = F.sum(F.try_divide("value", "dist")) / F.sum(F.try_divide(F.lit(1.0), "dist"))
-        values = nearest.groupBy("q", "feature").agg(F.when(exact, at_zero).otherwise(by_distance).alias("value"))
-        wide = values.groupBy("q").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"__{f}") for f in features])
+        values = found.groupBy("q", "feature").agg(F.when(exact, at_zero).otherwise(by_distance).alias("value"))
+        wide = values.groupBy("q").agg(*[F.max(F.when(F.col("feature") == i, F.col("value"))).alias(f"__{f}") for i, f in enumerate(features)])
         filled = df.join(wide.withColumnRenamed("q", row_id), row_id, "left")
     marked = attach_scalars(filled, means, "__m")
     out = {f: F.coalesce(F.col(f).cast("double"), *([F.col(f"__{f}")] if found is not None else []), F.col(f"__m.{f}")) for f in features}

@@ -151,3 +151,36 @@ def test_points_on_tile_borders_and_ragged_regions(spark):
         assert got == want, tile
     small = region_tiles(table.where("region = 'a'"), 0.1).selectExpr("sum(aggregate(candidates, 0, (n, c) -> n + coalesce(size(c.tile.edges), 0))) as n").first()["n"]
     assert small <= 13 * 2 + 5 * sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(steps, steps[1:])) / 0.1
+
+
+@pytest.mark.parametrize("block_rows", [9, 2048])
+def test_imputation_under_any_pattern(spark, block_rows):
+    """Six features, dozens of missing patterns, copies, a row and a feature without values; small cells."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(150, 6)) + 4 * rng.integers(0, 3, (150, 1)), 1)
+    x[rng.random((150, 6)) < 0.4] = np.nan
+    x[20:60], x[70] = x[19], np.nan
+    x[:, 5] = np.nan
+    names = list("abcdef")
+    frame = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: [r[n] for n in names] for r in knn_impute(frame, frame, names, "id", 4, block_rows=block_rows).collect()}
+    assert len(got) == 150
+    for i in range(150):
+        for f in range(6):
+            if not np.isnan(x[i, f]):
+                assert got[i][f] == x[i, f]
+                continue
+            found = []
+            for j in range(150):
+                both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+                if not np.isnan(x[j, f]) and both.any():
+                    found.append((np.sqrt(((x[i][both] - x[j][both]) ** 2).sum()) * np.sqrt(6 / both.sum()), j))
+            found = sorted(found)[:4]
+            if f == 5:
+                assert got[i][f] is None
+            elif not found:
+                assert got[i][f] == pytest.approx(np.nanmean(x[:, f]))
+            elif found[0][0] == 0:
+                assert got[i][f] == pytest.approx(np.mean([x[j, f] for d, j in found if d == 0]))
+            else:
+                assert got[i][f] == pytest.approx(sum(x[j, f] / d for d, j in found) / sum(1 / d for d, j in found))
