@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, tuple[str, ...]] = {}
 
 MODULES = ("flux", "scalars", "filters", "joins", "aggregates", "statistics", "uncertainty", "contribution", "spatial",
-           "features", "models", "sources")
+           "features", "models", "sources", "training")
 
 
 class Tables:
