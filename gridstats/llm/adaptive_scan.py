@@ -241,7 +241,7 @@ def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = K)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1)).select(F.col("query_id").alias("key"))
     short = cut_lineage(queries.join(full, "key", "left_anti"))
     if short.take(1):
-        everywhere = short.select("key", "v", F.lit(float("inf")).alias("radius"), F.explode(F.sequence(F.lit(-1), F.lit(index.value.lists - 1))).cast("long").alias("list"))
+        everywhere = short.select("key", "v", F.lit(float("inf")).alias("radius"), F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(index.value.lists - 1).cast("long"))).alias("list"))
         found = found.join(full, F.col("query_id") == F.col("key"), "left_semi").unionByName(scanned(cut_lineage(everywhere)))
     return found
 
