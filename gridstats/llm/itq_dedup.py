@@ -11,7 +11,8 @@ Equal vectors collapse to one with a count. Cells return a link count and one ed
 pairs; components follow by star contraction.
 
 Null, zero and non-finite vectors, and lengths other than the commonest, link with nothing.
-Repeated rows count as other vectors. An empty table gives no rows. Extra columns are not read.
+Parts of any finite size are allowed. Repeated rows, and rows that share an id, count as other vectors; an id's rows get
+the counts of their own vectors. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -144,7 +145,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     held = comparable(rows, key, vector)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     distinct = cut_lineage(held.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n")))
-    units = cut_lineage(distinct.withColumn("size", norm(F.col("v"))).select("key", "n", F.transform("v", lambda x: x / F.col("size")).alias("v")))
+    # Scaled by the largest part first: the squares of very large or small parts leave the doubles.
+    scaled = distinct.withColumn("top", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("top")))
+    units = cut_lineage(scaled.withColumn("size", norm(F.col("v"))).select("key", "n", F.transform("v", lambda x: x / F.col("size")).alias("v")))
     sample = matrix(bounded_sample(units, F.xxhash64("key", "v"), SAMPLE).toPandas()["v"])
     if len(sample) < 2:
         found = distinct.select("v", "key", (F.col("n") - 1).alias("links"), F.col("key").alias("component"))
