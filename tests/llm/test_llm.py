@@ -420,3 +420,117 @@ def test_pipeline_stages_on_odd_and_empty_rows(spark, docs, odd):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, SF_DIR).columns == frame.columns
             stage(spark, frame, SF_DIR).collect()
+
+
+# Ids past 2^53 next to a null, clashing names, very large parts, repeated ids.
+
+BIG = (1 << 60) + 1
+
+
+def big_ids(spark):
+    rows = [(BIG, "one text of some words", "en", "a"), (None, "a text without an id", "en", "a"), (BIG + 1, "one text of some words", "en", "a"), (BIG + 2, "tout autre chose", "fr", "b")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+
+
+def test_large_ids_next_to_null(spark):
+    frame, ids = big_ids(spark), {BIG, BIG + 1, BIG + 2, None}
+    assert {r["doc_id"] for r in packing.packed_documents(frame).collect()} == ids
+    found = {r["key"]: r for r in simhash.near_duplicates(frame).collect()}
+    assert set(found) == ids and found[BIG + 1]["component"] == BIG and found[None]["component"] is None
+    assert {r["key"] for r in langid.of_documents(frame).collect()} == ids
+
+
+def test_passages_of_documents_without_id(spark):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"start {shared} end"), (None, f"other {shared} tail"), (BIG, f"{shared} x"), (-(1 << 63), "short")]
+    got = {(r["doc"], r["lo"], r["hi"]) for r in suffix_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 1, 61), (BIG, 0, 60)}
+
+
+def test_shuffle_keeps_clashing_names(spark):
+    rows = spark.range(50).select("id", F.lit("s").alias("shard"), F.lit(1.5).alias("slot"), F.lit(7).alias("_row"), F.lit(8).alias("_bucket"), F.lit(9).alias("_at"))
+    got = external_shuffle.external_shuffle(rows, 4, 1, F.lit(1), bucket_rows=7)
+    assert sorted(got.columns) == ["_at", "_bucket", "_row", "id", "shard", "shard_before", "slot", "slot_before"]
+    found = got.collect()
+    assert sorted(r["id"] for r in found) == list(range(50)) and {(r["shard_before"], r["slot_before"], r["_at"]) for r in found} == {("s", 1.5, 9)}
+    assert sorted((r["shard"], r["slot"]) for r in found) == sorted((i % 4, i // 4) for i in range(50))
+
+
+def brute_search(rows, k):
+    out = {}
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in sorted({i for i, _ in rows if i % 20 == 0}):
+            v = np.array(min(x for i, x in rows if i == q))
+            scores = sorted((-float((v * np.array(x)).sum()), i) for i, x in rows if i != q)[:k]
+            out[q] = [(i, -s) for s, i in scores]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e160, 1e-160])
+def test_nearest_with_repeated_ids_and_extreme_parts(spark, scale):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 12))
+    rows = [(i, (v * (scale if i == 33 else 1.0)).tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist()), (40, x[41].tolist()), (55, x[55].tolist())]
+    frame = spark.createDataFrame([*rows, (None, x[0].tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in adaptive_scan.search(frame, "vec_id", "embedding", F.col("key") % 20 == 0, 10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = brute_search(rows, 10)
+    assert set(got) == set(want) and all([r for r, _, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) / len({i for i, _ in want[q]}) for q in want) / len(want)
+    assert hits >= 0.9
+    for q, found in got.items():
+        assert all(s == pytest.approx(dict(want[q])[i]) for _, i, s in found if i in dict(want[q]) and i != 40)
+
+
+def test_nearest_in_two_levels_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(adaptive_scan, "LIST_ROWS", 16)
+    monkeypatch.setattr(adaptive_scan, "COARSE", 8)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 24))[rng.integers(0, 60, 3000)] + 0.2 * rng.standard_normal((3000, 24))
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in adaptive_scan.search(frame, "vec_id", "embedding", F.col("key") % 20 == 0, 20).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = np.mean([len(found[q] & {int(i) for i in np.argsort(-(x @ x[q]))[:21] if i != q}) / 20 for q in range(0, 3000, 20)])
+    assert recall >= 0.9 and all(len(v) == 20 for v in found.values())
+
+
+def test_links_of_very_large_and_small_parts(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20, 8))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(np.repeat(x, 3, axis=0), [1.0, 1e200, 1e-200] * 20))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["key"]: (r["n_links"], r["component_id"]) for r in itq_dedup.near_duplicates(frame).collect()}
+    assert all(got[i][0] >= 2 and got[i][1] <= i // 3 * 3 for i in got)
+
+
+def test_language_posteriors_against_brute_force(docs):
+    """Likelihoods, hierarchical priors, declared evidence and the reject rule, computed anew from the fitted model."""
+    rows = docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"), F.col("lang").alias("declared"),
+                       F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.xxhash64("text").cast("string").alias("text_hash"))
+    model = langid.fit(rows, "text", "label", F.xxhash64("text_hash"))
+    got = {r["key"]: r for r in langid.fuse(langid.cut_lineage(langid.scores(rows, "key", "text", ["declared", "suffix", "host", "text_hash"], model)), model).collect()}
+    held = rows.collect()
+    k = len(model.languages)
+    logs = np.array([[row[langid.trigrams(r["text"] or "")].sum(dtype=np.float64) for row in model.logs] for r in held])
+    n = np.array([len(langid.trigrams(r["text"] or "")) for r in held])
+    softmax = lambda v: np.exp(v - v.max(axis=1, keepdims=True)) / np.exp(v - v.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    share = softmax(logs * langid.TEMPER)
+    heard = n > 0
+    smooth = lambda v, base, rows_: (v + rows_ * base) / (v.sum() + rows_)
+    world = smooth(share[heard].sum(axis=0), np.full(k, 1 / k), 1.0)
+    suffix = smooth(share[heard].sum(axis=0), world, langid.SUFFIX_ROWS)
+    total = share[heard].sum(axis=0)
+    for i, r in enumerate(held):
+        host = np.array([heard[j] and held[j]["host"] == r["host"] for j in range(len(held))])
+        told = np.array([heard[j] and held[j]["declared"] == r["declared"] for j in range(len(held))])
+        prior = smooth(share[host].sum(axis=0), suffix, langid.HOST_ROWS)
+        said = (share[told].sum(axis=0) + langid.DECLARED_ROWS) / (total + langid.DECLARED_ROWS * 20)
+        posterior = softmax((logs[i] * langid.TEMPER + np.log(prior) + np.log(said))[None])[0]
+        out = got[r["key"]]
+        assert out["confidence"] == pytest.approx(posterior.max(), rel=1e-6)
+        if n[i]:
+            assert out["language"] == model.languages[int(posterior.argmax())] or np.sort(posterior)[-2] == pytest.approx(posterior.max())
+        unlike = n[i] >= langid.JUDGED and logs[i].max() / n[i] < model.floor
+        assert out["kept"] == bool(n[i] > 0 and posterior.max() >= 0.5 and not unlike) or posterior.max() == pytest.approx(0.5)
