@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridstats.functions.binning import order_code, part_code
 from gridstats.functions.columns import col
 from gridstats.operators.ranges import running_sums
+from gridstats.operators.scalars import literal_row
 from gridstats.session import cut_and_count
 
 #: Size of the sketches, and the share of rows left on either side of a rank: three times the sketch's
@@ -79,7 +80,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[
     base = df.where(present(value)).select(*keys, F.col(value).cast("double").alias("__x"))
     brackets = _brackets(base, keys, ranks)
     x = F.col("__x")
-    rows = _same(base, brackets, keys, []) if keys else base.join(F.broadcast(brackets))
+    rows = _same(base, brackets, keys, []) if keys else base.withColumns(literal_row(brackets))
     # Between two edges all rows count as one; inside a bracket every value counts by itself.
     at = sum(((F.col(f"lo_{i}") <= x).cast("int") + (F.col(f"hi_{i}") < x).cast("int") for i in slots), F.lit(0))
     inside = reduce(lambda a, b: a | b, [x.between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in slots])
