@@ -168,6 +168,70 @@ def test_embedding_links_with_a_common_direction(spark, offset):
     assert links.sum() >= 2900 and [got[i] for i in ids] == links.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("offset", [0.0, 1.2, 2.0])
+def test_embedding_tables_recall(spark, offset):
+    """Pairs little above the least cosine, with and without a common direction; none is invented."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64)) + offset * np.sign(rng.standard_normal(64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, 64))
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = rng.uniform(0.9, 0.93, (1500, 1))
+    rows = list(enumerate(np.concatenate([x, near * x + np.sqrt(1 - near ** 2) * off]).tolist()))
+    got = {r["key"]: r for r in itq_dedup.near_duplicates_by_tables(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    ids, links = brute_vector_links(rows, 0.9)
+    want = dict(zip(ids, links.sum(axis=1)))
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * links.sum()
+    assert all(got[i]["n_links"] <= want[i] and got[i]["component_id"] <= i for i in want)
+
+
+def test_embedding_tables_split_cells(spark, monkeypatch):
+    """A dense group of a third of all rows, equal codes, copies, odd vectors and clashing names; cells in many slices."""
+    monkeypatch.setattr(itq_dedup, "SLICE", 60)
+    monkeypatch.setattr(itq_dedup, "PART", 16)
+    rng = np.random.default_rng(6)
+    hot, base = rng.standard_normal(32), rng.standard_normal((60, 32))
+    rows = [(i, (base[i % 60] + 0.1 * rng.standard_normal(32)).tolist()) for i in range(240)]
+    rows += [(1000 + i, (hot + 0.02 * rng.standard_normal(32)).tolist()) for i in range(120)]
+    rows += [(1200 + i, rows[0][1]) for i in range(25)] + [((1 << 60) + 1, rows[5][1])]
+    odd = [(2000, None), (2001, [0.0] * 32), (2002, [float("nan")] * 32), (2003, [None] * 32), (2004, []), (2005, [1.0])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    clash = frame.select("*", *[F.lit(1).alias(c) for c in ("key", "n", "v", "low", "high", "cell", "part", "i", "j", "packed", "several")])
+    got = {r["key"]: (r["n_links"], r["component_id"]) for r in itq_dedup.near_duplicates_by_tables(clash).collect()}
+    want = {r["key"]: (r["n_links"], r["component_id"]) for r in itq_dedup.near_duplicates(frame).collect()}
+    assert got.keys() == want.keys() and sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in got) and all(got[i] == (119, 1000) for i in range(1000, 1120))
+    assert all(got[i] == (0, i) for i in range(2000, 2006)) and got[(1 << 60) + 1][0] == got[5][0]
+    assert itq_dedup.near_duplicates_by_tables(frame.limit(0)).count() == 0
+    assert [r["n_links"] for r in itq_dedup.near_duplicates_by_tables(frame.where("vec_id = 1001")).collect()] == [0]
+    assert [r["n_links"] for r in itq_dedup.near_duplicates_by_tables(frame.where("vec_id >= 1200 and vec_id < 1225")).collect()] == [24] * 25
+
+
+def test_calibrated_tables_widen_with_the_input():
+    rng = np.random.default_rng(8)
+    sample = rng.standard_normal((3000, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projections = itq_dedup.rotations(sample)
+    tables = [itq_dedup.calibrate(sample, mean, projections, n, 0.9) for n in (10 ** 3, 10 ** 5, 10 ** 7)]
+    widths = [t.width for t, _ in tables]
+    assert widths == sorted(widths) and widths[0] < widths[-1] and all(blurred < 0.005 for _, blurred in tables)
+
+
+def test_pairs_meet_once():
+    """Codes whose substrings differ in two bits at most count under one value of one table."""
+    tables = itq_dedup.Tables(4, 16, 1, 96)
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))
+    for x, y in zip(a, b):
+        met = 0
+        for t in range(4):
+            for value in np.intersect1d(itq_dedup.substrings(np.array([x]), t, tables), itq_dedup.substrings(np.array([y]), t, tables)):
+                met += int(itq_dedup.meets(np.array([x]), np.array([y]), t, value, tables)[0])
+        assert met == 1
+
+
 def test_adaptive_scan_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("list", F.lit(1))
     rows = frame.collect()
