@@ -172,6 +172,13 @@ def taken(found: Column | str) -> Column:
     return F.aggregate(found, F.lit(0).cast("long"), lambda a, d: a + d["hi"] - d["lo"])
 
 
+def by_shard(found: Column | str, shards: int = SHARDS) -> Column:
+    """Words that each shard takes, ``shard:words`` joined by commas in order of shards; those without any are left out."""
+    words_of = lambda s: F.aggregate(F.filter(found, lambda d: d["shard"] == s), F.lit(0).cast("long"), lambda a, d: a + d["hi"] - d["lo"])
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("shard"), words_of(s).alias("n")))
+    return F.array_join(F.transform(F.filter(pairs, lambda x: x["n"] > 0), lambda x: F.concat_ws(":", x["shard"].cast("string"), x["n"].cast("string"))), ",")
+
+
 def local_shuffle(drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per draw in its shard, in an order shuffled within the shard's partition."""
     rows = drawn.select("_key", "_source", "_crc", "_copy", F.inline("_draws"))
@@ -209,7 +216,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole ``documents``."""
+    """Whole ``documents``; ``shards`` says how many words each output shard of the tree takes from a row."""
     drawn = draws(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return drawn.select(F.col("_key").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                        F.col("_target").alias("target"), taken("_draws").alias("taken"))
+                        F.col("_target").alias("target"), taken("_draws").alias("taken"), by_shard("_draws").alias("shards"))

@@ -318,6 +318,50 @@ def test_mixing_targets_and_reruns(docs, odd):
         assert sorted(map(str, again)) == sorted(map(str, drawn.collect()))
 
 
+def test_splitting_tree_is_exact(spark):
+    """Leaves add up to every source's quota and to equal shards, for any number of shards; halves follow the law."""
+    for quotas, shards in (([1000, 37, 0, 5, 12_345], 8), ([7, 1], 5), ([64], 3), ([3, 3], 1), ([0, 0], 4)):
+        frame = spark.createDataFrame(list(enumerate(quotas)), "_rank int, _quota long")
+        leaves = mixing.split_quotas(frame, shards, 7).collect()
+        per_source, per_shard = Counter(), Counter()
+        for r in leaves:
+            assert r["_blocks"] >= 0
+            per_source[r["_rank"]] += r["_blocks"]
+            per_shard[r["shard"]] += r["_blocks"]
+        assert all(per_source[i] == q for i, q in enumerate(quotas)) and set(per_shard) == set(range(shards))
+        assert max(per_shard.values()) - min(per_shard.values()) <= (shards - 1).bit_length()
+    frame = spark.createDataFrame([(0, 30), (1, 30)], "_rank int, _quota long")
+    first = [next(r["_blocks"] for r in mixing.split_quotas(frame, 2, seed).collect() if (r["shard"], r["_rank"]) == (0, 0)) for seed in range(12)]
+    assert len(set(first)) > 3 and abs(sum(first) / 12 - 15) < 4 * (30 * 0.25 * 30 / 59 / 12) ** 0.5
+
+
+def test_shards_of_the_mix(docs, odd):
+    """Every word of a pass goes to one shard at most, shards take what the tree gives them, and local order is by shard."""
+    for frame in (docs, odd, odd.limit(0)):
+        drawn = mixing.draws(frame, "doc_id", "source", "text").cache()
+        blocks = Counter()
+        for r in drawn.select("*", mixing.by_shard("_draws").alias("shards")).collect():
+            seen, words = Counter(), Counter()
+            for d in r["_draws"]:
+                assert 0 <= d["lo"] < d["hi"] <= r["_size"] and 0 <= d["shard"] < mixing.SHARDS
+                words[d["shard"]] += d["hi"] - d["lo"]
+                blocks[r["_source"], d["shard"]] += d["hi"] - d["lo"]
+                for place in range(d["lo"], d["hi"]):
+                    seen[d["round"], place] += 1
+            assert all(n == 1 for n in seen.values())
+            assert r["shards"] == ",".join(f"{s}:{n}" for s, n in sorted(words.items()))
+        plan = mixing.plan(mixing.units(frame, "doc_id", "source", "text")).collect()
+        for r in plan:
+            short = -r["_of"] % mixing.BLOCK_WORDS * (mixing.MOST_PASSES + 1)
+            for run in r["_runs"]:
+                want = (run["hi"] - run["lo"]) * mixing.BLOCK_WORDS
+                assert want - short <= blocks[r["_source"], run["shard"]] <= want
+            assert [run["lo"] for run in r["_runs"]] == [0, *[run["hi"] for run in r["_runs"]][:-1]] and r["_runs"][-1]["hi"] == r["_quota"]
+        local = mixing.local_shuffle(drawn).collect()
+        assert Counter((r["_source"], r["shard"]) for r in local).keys() == blocks.keys()
+        assert sum(r["hi"] - r["lo"] for r in local) == sum(blocks.values())
+
+
 def brute_targets(size):
     order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
