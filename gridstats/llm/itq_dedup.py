@@ -384,8 +384,8 @@ def table_links(units: DataFrame, sample: np.ndarray, least: float) -> DataFrame
 
     vectors = units.withColumn("code", encode("v")).select("key", "n", "v", "code.low", "code.high")
     per_task = 40 * SLICE // (tables.count * (1 + tables.radius * tables.width))
-    coded = vectors.select("low", "high").repartition(math.ceil(count / per_task), "low", "high")
-    coded = cut_lineage(coded.groupBy("low", "high").agg(F.count("*").alias("several")))
+    coded = vectors.groupBy("low", "high").agg(F.count("*").alias("several"))
+    coded = cut_lineage(coded.repartition(math.ceil(count / per_task), "low", "high"))
     entries = coded.count() * tables.count * (1 + tables.radius * tables.width)
     per_table = entries / tables.count
     top = min(tables.width, max(tables.width - 16, min(10, math.ceil(math.log2(max(1, per_table / SLICE))))))
