@@ -184,3 +184,32 @@ def test_imputation_under_any_pattern(spark, block_rows):
                 assert got[i][f] == pytest.approx(np.mean([x[j, f] for d, j in found if d == 0]))
             else:
                 assert got[i][f] == pytest.approx(sum(x[j, f] / d for d, j in found) / sum(1 / d for d, j in found))
+
+
+def test_vectors_are_copied_few_times(spark):
+    """In many dimensions bounds rule out little: a vector then visits a few large units, not every small block."""
+    from gridstats.operators import neighbours
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 24))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(600, [float("nan")] * 24)], "id bigint, v array<double>")
+    handed = []
+    meet = neighbours._meet
+
+    def counted(asked, given, *rest):
+        handed.append(asked.count() + given.count())
+        return meet(asked, given, *rest)
+
+    neighbours._meet = counted
+    try:
+        found = neighbours.knn_join(frame, "id", "v", 3, block_rows=10).collect()
+        near = neighbours.knn_join_approximate(frame, "id", "v", 3, block_rows=10).collect()
+    finally:
+        neighbours._meet = meet
+    got = {}
+    for r in sorted(found, key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append((pytest.approx(r["distance"]), r["neighbour"]))
+    want = brute(x, 3)
+    assert {i: v for i, v in got.items() if i < 600} == {i: [(d, j) for d, j in v] for i, v in want.items()}
+    assert len(handed) == 3 and max(handed) <= 601 * 16
+    exact = {(i, j) for i, v in want.items() for _, j in v}
+    assert len({(r["id"], r["neighbour"]) for r in near} & exact) >= 0.9 * len(exact)
