@@ -213,3 +213,30 @@ def test_vectors_are_copied_few_times(spark):
     assert len(handed) == 3 and max(handed) <= 601 * 16
     exact = {(i, j) for i, v in want.items() for _, j in v}
     assert len({(r["id"], r["neighbour"]) for r in near} & exact) >= 0.9 * len(exact)
+
+
+def test_imputation_copies_donors_few_times(spark):
+    """Gaps far from each other in the order of rows: donors are copied per part of their visitors, not per part of all rows."""
+    from gridstats.operators import neighbours
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(900, 3)) * 50, 2)
+    rows = [(i, None if i % 3 == 0 else float(a), float(b), float(c)) for i, (a, b, c) in enumerate(x)]
+    frame = spark.createDataFrame([*rows, (900, None, 1.0, 2.0), (901, None, 1.0, 2.0)], "id bigint, a double, b double, c double")
+    handed = []
+    meet = neighbours._meet
+
+    def counted(asked, given, *rest):
+        handed.append((asked.count(), given.count()))
+        return meet(asked, given, *rest)
+
+    neighbours._meet = counted
+    try:
+        got = {r["id"]: r["a"] for r in knn_impute(frame, frame, ["a", "b", "c"], "id", 3, block_rows=16).collect()}
+    finally:
+        neighbours._meet = meet
+    assert got[900] == got[901] and [a for a, _ in handed][0] == 301 and max(a for a, _ in handed) < 301 * 30 and all(g <= 902 for _, g in handed)
+    donors = [i for i in range(900) if i % 3]
+    for i in range(0, 900, 90):
+        found = sorted((np.sqrt(((x[i, 1:] - x[j, 1:]) ** 2).sum()), j) for j in donors)[:3]
+        w = np.array([1 / d for d, _ in found])
+        assert got[i] == pytest.approx((w * x[[j for _, j in found], 0]).sum() / w.sum())
