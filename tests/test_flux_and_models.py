@@ -170,3 +170,12 @@ def test_encodings_and_gaps(spark, tmp_path):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_category_tables_have_a_known_size(spark):
+    """Rows are not dealt out by their category: a small table of codes is broadcast to them."""
+    from gridstats.operators import boosting
+    train = spark.range(400).selectExpr("id", "double(id % 7) as x", "if(id % 50 = 0, 'b', 'a') as kind", "string(id % 3) as sort", "double(id % 5) as y")
+    fitted = boosting.fit_features(train, ["x"], {"kind": "target", "sort": "onehot"}, "y")
+    plan = fitted.apply(train)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2 and fitted.apply(train).count() == 400
