@@ -179,3 +179,13 @@ def test_category_tables_have_a_known_size(spark):
     fitted = boosting.fit_features(train, ["x"], {"kind": "target", "sort": "onehot"}, "y")
     plan = fitted.apply(train)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2 and fitted.apply(train).count() == 400
+
+
+def test_fit_spreads_large_partitions(spark, monkeypatch):
+    from gridstats.operators import boosting
+    rows = boosting.assemble(spark.range(1000).coalesce(1).selectExpr("double(id) as x", "double(id % 9) as y"), ["x"])
+    assert boosting.spread(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(boosting, "TASK_BYTES", 408 * 100)
+    spread = boosting.spread(rows)
+    assert spread.rdd.getNumPartitions() == 10 and sorted(r["x"] for r in spread.collect()) == [float(i) for i in range(1000)]
+    assert boosting.spread(rows.limit(0)).count() == 0
