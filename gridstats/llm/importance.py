@@ -4,8 +4,8 @@ The dictionary holds the commonest words, each bounded by delimiters and with it
 as payload. An automaton scan of a text emits the payloads in order; the stretches between them hold
 words outside of the dictionary, whose payloads are computed on the spot, so features are whole whatever
 the dictionary holds. A run of adjacent words is a feature: its CRC is composed from the payloads alone,
-and its bucket is the CRC modulo their number. One scan counts buckets in the corpus and one in the target; another
-scan adds the buckets' gains up to each document's weight. Gumbel noise from the document's id
+and its bucket is the CRC modulo their number. Every text is scanned once: a row's buckets are stored, counted, and
+their gains added up to its weight. Gumbel noise from the document's id
 turns the largest scores into a draw without replacement.
 
 Only bounded data travels to all tasks: ``WORDS`` words of at most ``LONGEST`` bytes and one gain per bucket.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridstats.llm.common import table
 from gridstats.operators.ranges import numbered
-from gridstats.session import cut_lineage
+from gridstats.session import cut_lineage, stored
 
 BUCKETS, GRAM, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 WORDS, LONGEST, HELD, PART = 1 << 16, 64, 1 << 20, 1 << 20
+#: Buckets that a task holds before it passes them on.
+PASSED = 1 << 22
 #: ASCII other than digits and letters delimits words; A to Z are lowered; other bytes belong to words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -101,7 +104,8 @@ class Scanner:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def scan(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        found = np.array(list(self.automaton.iter(data.decode("latin-1"))) if len(self.crc) else [], dtype=np.int64).reshape(-1, 2)
+        matches = self.automaton.iter(data.decode("latin-1")) if len(self.crc) else ()
+        found = np.fromiter(chain.from_iterable(matches), dtype=np.int64).reshape(-1, 2)
         end, word = found[:, 0], found[:, 1]
         crc, length = self.crc[word], self.length[word]
         if int(length.sum()) == len(data) - data.count(b" "):
@@ -158,20 +162,47 @@ def frequent(texts: DataFrame, words: int = WORDS) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.where(size >= least).select("word").collect()] if least is not None else []
 
 
-def bucket_counts(texts: DataFrame, scanner, gram: int = GRAM, count: int = BUCKETS) -> np.ndarray:
-    """Features per bucket over all texts."""
+def bucket_rows(batches, scan: Scanner, gram: int, count: int, most: int = PASSED):
+    """Batches of key, number of words and buckets of all features, from batches of key and text."""
+
+    def rows(keys, words, found):
+        ends = np.cumsum([0, *map(len, found)])
+        values = np.concatenate([np.empty(0, dtype=np.int32), *found]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([keys, pa.array(words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
+                                          names=["_key", "n_words", "buckets"])
+
+    for batch in batches:
+        start, words, found, held = 0, [], [], 0
+        for i, t in enumerate(batch.column(1).to_pylist()):
+            at, n = scan.buckets(t, gram, count) if t else (np.empty(0, dtype=np.int32), 0)
+            words.append(n)
+            found.append(at)
+            held += len(at)
+            if held > most:
+                yield rows(batch.column(0).slice(start, len(words)), words, found)
+                start, words, found, held = i + 1, [], [], 0
+        yield rows(batch.column(0).slice(start, len(words)), words, found)
+
+
+def bucketed(docs: DataFrame, scanner, key: str | None, text: str, gram: int = GRAM, count: int = BUCKETS) -> DataFrame:
+    """``_key``, ``n_words`` and ``buckets`` of every row."""
+    keyed = docs.select((F.col(key) if key else F.lit(0)).alias("_key"), F.col(text).cast("string").alias("_text"))
+    kind = keyed.schema["_key"].dataType.simpleString()
+    return keyed.mapInArrow(lambda batches: bucket_rows(batches, scanner(), gram, count), f"_key {kind}, n_words long, buckets array<int>")
+
+
+def bucket_counts(rows: DataFrame, count: int = BUCKETS) -> np.ndarray:
+    """Features per bucket over all ``bucketed`` rows."""
 
     def run(batches):
-        scan, total = scanner(), np.zeros(count, dtype=np.int64)
+        total = np.zeros(count, dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    total += np.bincount(scan.buckets(t, gram, count)[0], minlength=count)
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=count)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
     out = np.zeros(count, dtype=np.int64)
-    for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one per bucket
+    for row in rows.select("buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one per bucket
         out[row["bucket"]] = row["n"]
     return out
 
@@ -186,25 +217,24 @@ def weighed(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
             gram: int = GRAM, buckets: int = BUCKETS, words: int = WORDS) -> DataFrame:
     """``key``, ``n_words``, ``n_features`` and ``weight`` (floored mean of gains) of every row."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text).cast("string"))
-    dictionary = context.broadcast(frequent(texts, words))
+    dictionary = context.broadcast(frequent(docs.select(F.col(text).cast("string")), words))
     scanner = lambda: Scanner(dictionary.value)
-    gain = context.broadcast(gains(bucket_counts(texts, scanner, gram, buckets),
-                                   bucket_counts(target.select(F.col(target_text).cast("string")), scanner, gram, buckets)))
+    # Stored: a scan costs far more than reading its buckets again.
+    held = stored(bucketed(docs, scanner, key, text, gram, buckets))
+    gain = context.broadcast(gains(bucket_counts(held, buckets),
+                                   bucket_counts(bucketed(target, scanner, None, target_text, gram, buckets), buckets)))
 
     def run(batches):
-        scan, worth = scanner(), gain.value
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                at, n = scan.buckets(t, gram, buckets) if t else ((), 0)
-                rows.append((n, len(at), int(worth[at].sum()) // len(at) if len(at) else 0))
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_key", "n_words", "n_features", "weight"])
+            lists = batch.column(2)
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            upto = np.append(0, np.cumsum(gain.value[lists.flatten().to_numpy()]))
+            end = np.cumsum(n)
+            weight = (upto[end] - upto[end - n]) // np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(weight)], names=["_key", "n_words", "n_features", "weight"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(
-        run, f"_key {kind}, n_words long, n_features long, weight long")
+    found = held.mapInArrow(run, f"_key {kind}, n_words long, n_features long, weight long")
     return found.withColumnRenamed("_key", key)
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,23 @@ def test_importance_repeated_rows_are_ranked_each(spark):
     assert sorted(r["rank"] for r in got.where("rank is not null").select("rank").collect()) == list(range(1, 2001))
 
 
+def test_every_text_is_scanned_once(spark):
+    """The scan is op12's cost: weights come from stored buckets, not from another scan of the texts."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    found = importance.weighed(docs, docs.limit(0), words=100)
+    assert not any("documents" in f for f in found.inputFiles()) and found.count() == docs.count()
+
+
+def test_rows_passed_on_in_parts_stay_whole():
+    texts = [" ".join(f"w{i % 3} x{i}" for _ in range(i % 4)) or None for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"_key": list(range(30)), "_text": pa.array(texts, pa.string())})
+    scan = importance.Scanner([b"w1"])
+    for most in (0, 3, 1 << 20):
+        rows = [r for part in importance.bucket_rows([batch, batch.slice(0, 0)], scan, 1, 997, most) for r in part.to_pylist()]
+        assert rows == [{"_key": i, "n_words": len(words_of(t or "")), "buckets": [zlib.crc32(w.encode()) % 997 for w in words_of(t or "")]}
+                        for i, t in enumerate(texts)]
+
+
 def test_payload_composition():
     parts = [b"", b"a", b"\x00\x00", "ärger".encode(), b"x" * 1000]
     for a in parts:
