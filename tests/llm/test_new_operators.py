@@ -86,6 +86,20 @@ def test_collocations_control_characters(spark):
         assert rows_of(collocations.mined(frame, least=2, budget=budget)) == brute_collocations(frame.collect(), 2, 2000)
 
 
+def test_bundles_hold_their_suffixes_in_less(spark):
+    """op11's disk: suffixes move as numbers of words, much smaller than as strings, and come back whole."""
+    names = pa.array([None, *[f"wörd{i}" for i in range(1, 400)], "a\x1fAb"], pa.string())
+    rng = np.random.default_rng(5)
+    for count in (1, 5000):
+        rows = np.sort(rng.integers(1, 401, (count, 5)), axis=0).astype(np.int32)
+        rows[::2, 4], rows[::4, 3] = 0, 0
+        depth, n = rng.integers(3, 6, count).astype(np.int32), rng.integers(1, 70_000, count)
+        data = collocations.packed(names, rows, depth, n)
+        suffix, depths, counts = collocations.unpacked(data)
+        assert suffix.equals(collocations.joined(names, rows, 5)) and depths.tolist() == depth.tolist() and counts.tolist() == n.tolist()
+    assert len(data) < sum(len(x) for x in suffix.to_pylist()) / 2
+
+
 def test_collocation_scores_past_64_bits(spark):
     big = 9_000_000_000_000
     phrases = spark.createDataFrame([("x", "a", 1, big), ("x", "b", 1, big - 1), ("x", "a b", 2, big - 7)], "lang string, phrase string, words int, f long")
